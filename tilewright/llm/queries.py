@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .perplexity_rules import op8_perplexity_rules
 from .token_counts import op4_token_counts
 from .token_files import op3_token_files
 from .trie_codec import op9_bpe_codec
@@ -13,6 +14,7 @@ from .trie_codec import op9_bpe_codec
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
+    "op8_perplexity_rules": op8_perplexity_rules,
     "op9_bpe_codec": op9_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {}
