@@ -10,11 +10,14 @@ from .perplexity_rules import op8_perplexity_rules
 from .token_counts import op4_token_counts
 from .token_files import op3_token_files
 from .trie_codec import op9_bpe_codec
+from .url_filter import ORACLE_SQL as URL_FILTER_SQL
+from .url_filter import op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
+    "op6_url_filter": op6_url_filter,
     "op8_perplexity_rules": op8_perplexity_rules,
     "op9_bpe_codec": op9_bpe_codec,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_filter": URL_FILTER_SQL}
