@@ -12,12 +12,15 @@ from .token_files import op3_token_files
 from .trie_codec import op9_bpe_codec
 from .url_filter import ORACLE_SQL as URL_FILTER_SQL
 from .url_filter import op6_url_filter
+from .warc_captures import ORACLE_SQL as WARC_SQL
+from .warc_captures import op1_warc_captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_captures": op1_warc_captures,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op6_url_filter": op6_url_filter,
     "op8_perplexity_rules": op8_perplexity_rules,
     "op9_bpe_codec": op9_bpe_codec,
 }
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": URL_FILTER_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_captures": WARC_SQL, "op6_url_filter": URL_FILTER_SQL}
