@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .additive_classifier import op2_additive_classifier
 from .perplexity_rules import op8_perplexity_rules
 from .token_counts import op4_token_counts
 from .token_files import op3_token_files
@@ -17,6 +18,7 @@ from .warc_captures import op1_warc_captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_captures": op1_warc_captures,
+    "op2_additive_classifier": op2_additive_classifier,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op6_url_filter": op6_url_filter,
