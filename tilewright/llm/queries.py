@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .additive_classifier import op2_additive_classifier
+from .maxent_lm import op7_maxent_lm
 from .perplexity_rules import op8_perplexity_rules
 from .token_counts import op4_token_counts
 from .token_files import op3_token_files
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op6_url_filter": op6_url_filter,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_perplexity_rules": op8_perplexity_rules,
     "op9_bpe_codec": op9_bpe_codec,
 }
