@@ -15,6 +15,7 @@ do not matter.
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import table, text_column, text_steps
 from .pretokens import pieces
 
 #: Words kept between batches; a cache only.
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 #: Words put into one trie.
 TRIE_WORDS = 20_000
 _WORD = -1
@@ -49,35 +50,46 @@ def encode_words(vocab: vocabs.Vocab, words: list[bytes]) -> dict[bytes, bytes]:
 
 
 def _walk(vocab: vocabs.Vocab, root: dict, out: dict[bytes, bytes]) -> None:
-    token_of, fits, longest = vocab.token_of, vocab.fits, vocab.longest
+    known, fits = vocab.beginnings, vocab.fits
     path = bytearray()
-    last, begins = [-1], [0]  # by depth
+    # By depth: the last token, where it begins, and where tokens may begin that are not yet complete.
+    last, begins, live = [-1], [0], [(0,)]
     todo = [(child, byte, 1) for byte, child in root.items() if byte != _WORD]
     if _WORD in root:
         out[b""] = b""
     while todo:
         node, byte, depth = todo.pop()
-        del path[depth - 1 :], last[depth:], begins[depth:]
+        del path[depth - 1 :], last[depth:], begins[depth:], live[depth:]
         path.append(byte)
-        for start in range(max(0, depth - longest), depth):
-            token = token_of.get(bytes(path[start:]))
-            if token is not None and (not start or fits(last[start], token)):
-                break
-        else:
+        token, still = -1, []
+        for start in live[-1]:  # the longest first
+            mark = known.get(bytes(path[start:]), 0)
+            if mark:
+                if token < 0 and mark > 1 and (not start or fits(last[start], (mark >> 1) - 1)):
+                    token = (mark >> 1) - 1
+                    begin = start
+                if mark & 1:
+                    still.append(start)
+        if token < 0:
             raise ValueError("no token fits: not a byte-level vocabulary")
+        still.append(depth)
         last.append(token)
-        begins.append(start)
+        begins.append(begin)
+        live.append(still)
         for key, child in node.items():
             if key == _WORD:
                 ids, end = [], depth
                 while end:
                     ids.append(last[end])
                     end = begins[end]
-                out[child] = np.array(ids[::-1], dtype="<u4").tobytes()
+                out[child] = pack_ids[len(ids)](*ids[::-1]) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids[::-1])
             else:
                 todo.append((child, key, depth + 1))
 
 
+pack_ids = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 class WordCache:
     """Encodes texts piece by piece; ``encode`` gets the pieces not met before."""
 
@@ -85,6 +97,7 @@ class WordCache:
         self.encode = encode
         self.specials = specials
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -100,10 +113,12 @@ class WordCache:
         cut = pieces(texts)
         data = cut.data
         words = [data[a:b] for a, b in zip(cut.starts.tolist(), cut.ends.tolist())]
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
+        if len(self.known) > MAX_WORDS:  # what has not been met since the last time goes
+            self.known, self.older = {}, self.known
         if fresh := set(words).difference(self.known):
-            self.known.update(self.encode(sorted(fresh)))
+            again = fresh.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            self.known.update(self.encode(sorted(fresh - again)))
         ids = list(map(self.known.__getitem__, words))
         border = np.searchsorted(cut.text, np.arange(len(texts) + 1)).tolist()
         return [b"".join(ids[a:b]) for a, b in zip(border, border[1:])]
@@ -126,23 +141,39 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return text_column(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
+def decoded_texts(encoded: list[bytes], tokenizer: str) -> list[str]:
+    """The text that each run of ids stands for."""
+    bytes_of = vocabs.load(tokenizer).bytes_of
+    return [b"".join(map(bytes_of.__getitem__, np.frombuffer(x, dtype="<u4").tolist())).decode("utf-8", "replace") for x in encoded]
+
+
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """The rows of ``encode`` with ``decoded``, the text that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = vocabs.load(tokenizer).bytes_of
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                texts = [b"".join(map(bytes_of.__getitem__, np.frombuffer(x, dtype="<u4").tolist())).decode("utf-8", "replace") for x in part.column(1).to_pylist()]
+                texts = decoded_texts(part.column(1).to_pylist(), tokenizer)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that a task holds the vocabulary once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_steps(batches):
+            encoded = encoder(tokenizer).texts(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.binary()), pa.array(decoded_texts(encoded, tokenizer), pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return text_column(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Round trip of every text: number of ids, and digests of the ids and of the decoded text."""
-    return decode(encode(docs, tokenizer), tokenizer).select(
+    return round_trip(docs, tokenizer).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

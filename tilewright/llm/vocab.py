@@ -79,6 +79,15 @@ class Vocab:
             if ok:
                 self.token_of[raw[i]] = i
         self.longest = max(map(len, self.token_of))
+        self._pairs: dict[int, bool] = {}
+
+    @functools.cached_property
+    def beginnings(self) -> dict[bytes, int]:
+        """For all bytes that are or begin tokens: twice the token plus one (0 if none), plus 1 if longer tokens begin so."""
+        out = {t[:k]: 1 for t in self.token_of for k in range(1, len(t))}
+        for t, i in self.token_of.items():
+            out[t] = out.get(t, 0) | (i + 1) << 1
+        return out
 
     def threats(self, a: int) -> dict[int, int]:
         """Tokens that something at the right border of ``a`` merges with, each with the lowest such rank."""
@@ -98,11 +107,13 @@ class Vocab:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether ``a b`` is the encoding of its own bytes."""
-        threats = self.threats(a)
-        for l, taken in self.left[b]:
-            if threats.get(l, UNKNOWN) <= taken:
-                return False
-        return True
+        key = a << 20 | b
+        known = self._pairs.get(key)
+        if known is None:
+            if len(self._pairs) > 300_000:
+                self._pairs.clear()
+            known = self._pairs[key] = not self._crossed(a, b)
+        return known
 
 
 @functools.cache
