@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .additive_classifier import op2_additive_classifier
+from .jaccard_join import op5_jaccard_join
 from .maxent_lm import op7_maxent_lm
 from .perplexity_rules import op8_perplexity_rules
 from .token_counts import op4_token_counts
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_additive_classifier": op2_additive_classifier,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_maxent_lm": op7_maxent_lm,
     "op8_perplexity_rules": op8_perplexity_rules,
