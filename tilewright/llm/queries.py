@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .additive_classifier import op2_additive_classifier
+from .decontaminate import op10_decontaminate
 from .jaccard_join import op5_jaccard_join
 from .maxent_lm import op7_maxent_lm
 from .perplexity_rules import op8_perplexity_rules
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_maxent_lm": op7_maxent_lm,
     "op8_perplexity_rules": op8_perplexity_rules,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc_captures": WARC_SQL, "op6_url_filter": URL_FILTER_SQL}
