@@ -50,6 +50,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, text_col: str = "text", most: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are not in ``gone`` (gone_id, gone_hash).
+
+    ``gone`` is broadcast up to ``most`` rows (16 bytes each), and shuffled beyond.
+    Names are chosen so that they clash with none of ``docs``.
+    """
+    prefix = "gone"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    gone = saved(gone.select(F.col("gone_id").alias(f"{prefix}id"), F.col("gone_hash").alias(f"{prefix}hash")).distinct(), "gone")
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{prefix}id")) & (text == F.col(f"{prefix}hash")), "left_anti")
+
+
 def text_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and text columns alone, a null text as an empty one."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

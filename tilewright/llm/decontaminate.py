@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, table, text_steps, words_of
+from .common import mix64, saved, table, text_steps, without, words_of
 
 GRAM = 3
 THRESHOLD = 0.5
@@ -217,11 +217,7 @@ def _leaks(docs: DataFrame, prepared: DataFrame, reach: int, sizes: list[int], n
 
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a leak, with all their columns."""
-    gone = saved(leaks(docs, items).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "leaking")
-    if gone.count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (text == F.col("gone_hash")), "left_anti")
+    return without(docs, leaks(docs, items).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), most=MAX_BROADCAST)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, table, text_steps, words_of
+from .common import mix64, saved, table, text_steps, without, words_of
 
 #: Growth of sizes from band to band, and the share of further segments.
 BAND, EXTRA = 1.3, 0.25
@@ -310,12 +310,7 @@ def groups(docs: DataFrame, width: int, pct: int) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, pct: int = 80) -> DataFrame:
     """One document of each group of similar ones stays: that with the least id.  All columns stay."""
     found = saved(groups(docs, width, pct), "groups")
-    gone = found.where("doc_id <> component_id AND node IS NOT NULL").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    gone = saved(gone, "gone")
-    if gone.count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (text == F.col("gone_hash")), "left_anti")
+    return without(docs, found.where("doc_id <> component_id AND node IS NOT NULL").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), most=MAX_BROADCAST)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
