@@ -1,5 +1,13 @@
 """All queries by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import region_queries
+
+_ALL = {}
+for _module in (region_queries,):
+    _ALL |= _module.QUERIES
+
+QUERIES = {name: pair[0] for name, pair in _ALL.items()}
+ORACLE_SQL = {name: pair[1] for name, pair in _ALL.items() if pair[1]}
+FLAGSHIP = "G10_global_regions"
