@@ -129,7 +129,9 @@ def isolated_islands(spark, sf):
     return cells.islands(components8(spark, sf), 100)
 
 
-CC8_SQL = FOREGROUND_SQL + ", " + _cc_sql("fg", STEPS8, False) + f", comp AS (SELECT image_id, y, x, r, g, b, {PICK % 'root'} AS component FROM k JOIN cc USING (node))"
+CC8_SQL = TILED_SQL + f""", seams AS (
+  SELECT DISTINCT p.image_id, p.region AS a, q.region AS b FROM lab p, (VALUES (0,1),(1,0),(1,1),(1,-1)) s(dy, dx), lab q
+  WHERE q.image_id = p.image_id AND q.y = p.y + s.dy AND q.x = p.x + s.dx AND (p.tile_row <> q.tile_row OR p.tile_col <> q.tile_col))""" + MERGED_SQL[len(PAIRS_SQL):] + ", comp AS (SELECT m.image_id, m.y, m.x, fg.r, fg.g, fg.b, m.global_region AS component FROM merged m JOIN fg ON fg.image_id = m.image_id AND fg.y = m.y AND fg.x = m.x)"
 CC4_SQL = FOREGROUND_SQL + ", " + _cc_sql("fg", STEPS4, False) + f", comp AS (SELECT image_id, y, x, {PICK % 'root'} AS component FROM k JOIN cc USING (node))"
 CELL_SQL = CC8_SQL + """, cell AS (
   SELECT image_id, component, count(*) AS pixel_count, sum(r)::BIGINT AS sum_marker, avg(r) AS mean_marker, max(r) AS max_marker, min(r) AS min_marker,
