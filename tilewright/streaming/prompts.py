@@ -74,5 +74,6 @@ def requests_of(events: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """An addition of our own: event counts in tumbling windows, closed by a watermark where it streams."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    # event time has to be a timestamp with a zone
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return source.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value").cast("long")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
