@@ -219,3 +219,19 @@ def test_many_items_take_several_passes(spark, small, monkeypatch):
     one = {tuple(r) for r in decontaminate.op10_decontaminate(spark, small).collect()}
     monkeypatch.setattr(decontaminate, "MAX_SEEDS", 9)
     assert {tuple(r) for r in decontaminate.op10_decontaminate(spark, small).collect()} == one
+
+
+def test_blocks_find_links_that_the_stars_miss(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 16)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = []
+    for k in range(25):
+        keep = rng.random(60) > rng.choice([0.02, 0.06, 0.12])
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64)])))
+    held = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, elements binary")
+    nodes = spark.createDataFrame([(k, k // 2, 1) for k in range(25)], "a long, a_root long, cluster long")
+    got = [(r.a, r.b) for r in jaccard_join.block_links(nodes, held, 90).collect()]
+    want = {(x, y) for x in range(25) for y in range(25) if x // 2 > y // 2 and 100 * len(np.intersect1d(sets[x], sets[y])) >= 90 * len(np.union1d(sets[x], sets[y]))}
+    assert len(got) == len(set(got)) and set(got) == want and want

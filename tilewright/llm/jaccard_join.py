@@ -20,8 +20,9 @@ Sets with equal elements are one class, known by a 64-bit hash, and only
 classes are compared.  Candidates are verified exactly on the sets of shingle
 hashes, in three rounds so that large groups do not emit all their pairs: each
 class with the least class of its segments; then with the least classes of its
-other segments, where not yet connected; then every pair of a segment that is
-still in different components.  So no link that joins two components is lost.
+other segments, where not yet connected; then, for segments whose classes are
+still in different components, all classes of a cluster of such segments in
+blocks, two blocks to a task.  So no link that joins two components is lost.
 
 Null and empty texts, and texts of white space, have the empty set, link with
 nothing and are components of their own.  A null id is never a component's id
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ BAND, EXTRA = 1.3, 0.25
 #: Candidate classes whose ids are broadcast at most (16 bytes each).
 MAX_BROADCAST = 1_000_000
 SKETCH = 64
+#: Sets in a block, and columns of an incidence matrix at a time.
+BLOCK, COLUMNS = 128, 4096
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -290,9 +294,53 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, pct: int) -> DataFra
     members = saved(members.join(saved(split, "split-segments"), F.col("key") == F.col("of_key"), "left_semi"), "split-members")
     if members.isEmpty():
         return found
-    other = members.select(F.col("key").alias("of_key"), F.col("a").alias("b"), F.col("a_root").alias("b_root"))
-    third = members.join(other, (F.col("key") == F.col("of_key")) & (F.col("a_root") > F.col("b_root"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return found.unionByName(verified(saved(untried(third), "third-pairs"), sets, pct))
+    least = saved(members.groupBy(F.col("key").alias("of_key")).agg(F.min("a").alias("b")), "least-of-split")
+    near = members.join(least, F.col("key") == F.col("of_key")).select("a", "b")
+    clusters = components(near).select(F.col("node").alias("of_node"), F.col("root").alias("cluster"))
+    nodes = members.select("a", "a_root").distinct().join(clusters, F.col("a") == F.col("of_node"), "left").select("a", "a_root", F.coalesce("cluster", "a").alias("cluster"))
+    return found.unionByName(saved(block_links(saved(nodes, "unresolved"), sets, pct), "links"))
+
+
+def block_links(nodes: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The similar pairs between different components (a_root) of each cluster of nodes.
+
+    Nodes are dealt into blocks of about ``BLOCK``; a task gets two blocks of a
+    cluster, never more, and counts common elements of all their pairs at once
+    as a product of incidence matrices.
+    """
+    sizes = nodes.groupBy(F.col("cluster").alias("of_cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = nodes.join(saved(sizes, "cluster-sizes"), F.col("cluster") == F.col("of_cluster")).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    held = sets.select(F.col("node").alias("of_node"), "elements")
+    whole = dealt.join(held, F.col("a") == F.col("of_node")).select("cluster", "block", "blocks", "a", "a_root", "elements")
+    paired = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "a", "a_root", "elements")
+
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = [np.frombuffer(x, dtype=np.uint64) for x in part["elements"]]
+        size = np.array([len(x) for x in found])
+        values, inverse, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(found)), size)
+        column = (np.cumsum(times > 1) - 1)[inverse]
+        shared = np.flatnonzero(times[inverse] > 1)
+        row, column = row[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(found), len(found)), dtype=np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [at, at + COLUMNS])
+            incidence = np.zeros((len(found), COLUMNS), dtype=np.float32)
+            incidence[row[a:b], column[a:b] - at] = 1
+            common += incidence @ incidence.T
+        root, block = part["a_root"].to_numpy(), part["block"].to_numpy()
+        common = common.astype(np.int64)
+        fits = (100 * common >= pct * (size[:, None] + size[None, :] - common)) & (root[:, None] > root[None, :])
+        if key[1] != key[2]:
+            fits &= block[:, None] != block[None, :]
+        x, y = np.nonzero(fits)
+        node = part["a"].to_numpy()
+        return pd.DataFrame({"a": node[x], "b": node[y]})
+
+    return paired.groupBy("cluster", "first", "second").applyInPandas(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, width: int, pct: int) -> DataFrame:
