@@ -148,9 +148,14 @@ def words_of(text: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, n
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), starts, ends
-    code = _LOWER[raw] if lower else raw
+    return range_hashes(_LOWER[raw] if lower else raw, starts, ends), starts, ends
+
+
+def range_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes in each range, which does not depend on where it lies."""
+    n = len(code)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_VALUE[code] * _powers("up", n)[:n], out=total[1:])
-    hashed = (total[ends] - total[starts]) * _powers("down", n)[starts]
-    return mix64(hashed + (ends - starts).astype(np.uint64)), starts, ends
+    hashed = (total[ends] - total[starts]) * _powers("down", n + 1)[starts]
+    return mix64(hashed + (ends - starts).astype(np.uint64))

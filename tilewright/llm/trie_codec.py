@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab as vocabs
-from .common import table, text_column, text_steps
+from .common import range_hashes, table, text_column, text_steps
 from .pretokens import pieces
 
 #: Words kept between batches; a cache only.
@@ -111,17 +111,31 @@ class WordCache:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         cut = pieces(texts)
-        data = cut.data
-        words = [data[a:b] for a, b in zip(cut.starts.tolist(), cut.ends.tolist())]
+        data, starts, ends = cut.data, cut.starts, cut.ends
+        if not len(starts):
+            return [b""] * len(texts)
+        # Equal pieces of the batch meet by hash (their lengths are compared as well), so that
+        # Python handles each distinct piece once.
+        size = ends - starts
+        _, first, which = np.unique(range_hashes(np.frombuffer(data, dtype=np.uint8), starts, ends), return_index=True, return_inverse=True)
+        if (size[first][which] != size).any():
+            raise ValueError("two different pieces have one hash")
+        words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > MAX_WORDS:  # what has not been met since the last time goes
             self.known, self.older = {}, self.known
-        if fresh := set(words).difference(self.known):
-            again = fresh.intersection(self.older)
-            self.known.update((w, self.older[w]) for w in again)
-            self.known.update(self.encode(sorted(fresh - again)))
-        ids = list(map(self.known.__getitem__, words))
-        border = np.searchsorted(cut.text, np.arange(len(texts) + 1)).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(border, border[1:])]
+        if fresh := [w for w in words if w not in self.known]:
+            again = {w: self.older[w] for w in fresh if w in self.older}
+            self.known.update(again)
+            self.known.update(self.encode(sorted(w for w in fresh if w not in again)))
+        found = list(map(self.known.__getitem__, words))
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        begin = (np.cumsum(n) - n)[which]
+        n = n[which]
+        after = np.cumsum(n)
+        ids = flat[np.repeat(begin - (after - n), n) + np.arange(after[-1])]
+        border = np.append(0, after)[np.searchsorted(cut.text, np.arange(len(texts) + 1))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(border, border[1:])]
 
 
 @functools.cache
