@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,13 @@ def content_name(content: Column) -> Column:
 def clip_window(start: Column, duration: Column, most: float) -> tuple[Column, Column]:
     """Start (0 without one) and length (at most ``most``) of a clip."""
     return F.coalesce(start, F.lit(0.0)), F.least(F.coalesce(duration, F.lit(most)), F.lit(most))
+
+
+def between_strictly(value: Column, low: float, high: float | None) -> Column:
+    """Whether a value lies over ``low``, and below ``high`` if there is one."""
+    return value > low if high is None else (value > low) & (value < high)
+
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression, of a whole text, for a pattern with ``*`` and ``?``."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in glob) + "$"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import geometry_queries, mask_queries, region_queries, session_queries, track_queries
+from . import geometry_queries, lookup_queries, mask_queries, region_queries, session_queries, track_queries
 
 _ALL = {}
-for _module in (region_queries, mask_queries, geometry_queries, track_queries, session_queries):
+for _module in (region_queries, mask_queries, geometry_queries, track_queries, session_queries, lookup_queries):
     _ALL |= _module.QUERIES
 
 QUERIES = {name: pair[0] for name, pair in _ALL.items()}
