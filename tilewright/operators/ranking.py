@@ -58,7 +58,12 @@ def look_back(frames: DataFrame, n: int, stride: int) -> DataFrame:
 
 def nearest_frames(frames: DataFrame, marked: DataFrame, k: int) -> DataFrame:
     """For each frame the marked frames: the closest before, the closest from it on, then by distance up to ``k``."""
-    pairs = frames.select("video", "frame").join(marked.select("video", F.col("frame").alias("mark")), "video")
+    # Only the ``k`` marks on either side count: they are found by their number in the video, not by pairing all.
+    marks = ranked(marked.select("video", F.col("frame").alias("mark")), ["video"], "mark", "nth")
+    line = frames.select("video", "frame", F.lit(0).alias("is_mark")).unionByName(marked.select("video", "frame", F.lit(1).alias("is_mark")))
+    n_before = F.expr("coalesce(sum(is_mark) OVER (PARTITION BY video ORDER BY frame RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    placed = line.withColumn("n_before", n_before).where("is_mark = 0")
+    pairs = placed.select("video", "frame", F.explode(F.sequence(F.col("n_before") - (k - 1), F.col("n_before") + k)).alias("nth")).join(marks, ["video", "nth"]).drop("nth")
     pairs = pairs.withColumn("before", F.col("mark") < F.col("frame"))
     side = ranked(pairs, ["video", "frame", "before"], "abs(mark - frame), mark", "side_place")
     tier = F.when(F.col("side_place") == 1, F.when(F.col("before"), 0).otherwise(1)).otherwise(2)
