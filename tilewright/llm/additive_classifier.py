@@ -23,12 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, table, text_column, text_steps, words_of
+from .common import table, text_column, text_steps, with_text_columns, words_of
 from .perplexity_rules import base_counts
 
 #: Labelled documents that the fit takes at most.
@@ -215,15 +214,11 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     """The documents that score ``threshold`` or more, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        out = [np.zeros(0)]
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text, pa.string())], names=["k", "text"])
-        for _, texts in text_steps(iter([batch]), STEP_BYTES):
-            out.append(held.value.scores(features(texts)))
-        return pd.Series(np.concatenate(out))
-
-    return docs.where(scored(F.coalesce("text", F.lit(""))) >= threshold)
+    name = "quality_score"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    scored = with_text_columns(docs, lambda texts: [pa.array(held.value.scores(features(texts)))], f"{name} double")
+    return scored.where(F.col(name) >= threshold).drop(name)
 
 
 def op2_additive_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step looks at (a longer text is one step).
 STEP_BYTES = 2_000_000
@@ -91,6 +92,27 @@ def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> It
             at = to
 
 
+def with_text_columns(docs: DataFrame, of: Callable[[list[str]], list[pa.Array]], fields: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with columns computed from each text (a null one as an empty one).
+
+    Rows pass through in their Arrow batches, and leave in pieces of about
+    ``STEP_BYTES`` of text; neither side queues rows.
+    """
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, begin = pc.fill_null(batch.column(at).cast(pa.string()), ""), 0
+            for _, texts in text_steps(iter([pa.RecordBatch.from_arrays([text, text], names=["id", "text"])])):
+                part = batch.slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, *of(texts)], names=names)
+                begin += len(texts)
+
+    return docs.mapInArrow(run, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the word (wraps modulo 2**64)."""
     x = x.astype(np.uint64, copy=True)
