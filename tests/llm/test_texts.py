@@ -204,6 +204,15 @@ def test_op10(spark, small, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r["doc_id"] for r in rows if r["doc_id"] not in exact | edited)
 
 
+def test_op10_finds_edited_copies_of_a_frequent_item(spark):
+    item = [f"w{k}" for k in range(30)]
+    edited = [f"x{k}" if k in (6, 14, 22) else w for k, w in enumerate(item)]  # the broken seeds are the least frequent
+    rows = [(k, f"before {k} " + " ".join(item) + f" after {k}") for k in range(60)] + [(100, "and then " + " ".join(edited)), (101, " ".join(item[::-1]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (round(r.score, 6), r.first_word, r.last_word) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {**{k: (1, 2, 31) for k in range(60)}, 100: (0.85, 2, 31)}
+
+
 def test_alignment_score_is_that_of_the_full_table():
     rng = np.random.default_rng(0)
     for _ in range(200):

@@ -1,20 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment (operator 10).
+"""Benchmark decontamination: n-gram seeds, then local alignment (operator 10).
 
 * Texts and test items are lower-cased and cut into words at white space and
   ASCII punctuation.  An item's seeds are its three-word sequences (all its
   words, if it has fewer).
-* Spark counts in how many documents each seed occurs.  A seed is rare if at
-  most a small share of all documents has it, or if it is among the eight rarest
-  of its item; so every item keeps seeds, even one that a third of all documents
-  quote.
-* Rare seeds in a document mark passages, which reach as far around the seeds as
-  the longest item.  Passages join items on the seeds.
-* A Smith-Waterman alignment of the words scores each pair: a match counts 2, a
-  substitution -1, a gap -1, over twice the item's words.  So edited and
-  paraphrased copies score by what they keep.  Pairs of ``THRESHOLD`` or more are leaks.
-
-The seeds' hashes travel to the tasks in sorted arrays, ``MAX_SEEDS`` at a time;
-a larger benchmark takes several passes over the documents.
+* Every seed counts, however many documents have it, so a copy with any intact
+  seed is found whatever else quotes the item.  The tasks hold the items, look
+  their seeds up in each document and pair the two where they stand: no seed is
+  a key that rows meet on, so a frequent one makes no large group.
+* A pair goes on if the document, and then a passage around the item's seeds,
+  has enough of the item's words to reach the threshold by matches alone.  A
+  passage reaches as far as an alignment of the threshold can.
+* A Smith-Waterman alignment of the words scores what is left: a match counts 2,
+  a substitution -1, a gap -1, over twice the item's words.  So edited and
+  paraphrased copies score by what they keep.  Pairs of ``THRESHOLD`` or more are
+  leaks.  A task aligns the same passage and item once.
+
+A copy without one intact seed is not looked for.  The items travel to the tasks
+in arrays of about ``MAX_SEEDS`` seeds at a time; a larger benchmark takes
+several passes over the documents.
 
 Null and empty texts and items leak nothing.  Repeated documents give the same
 pairs; a pair is returned once for each id and distinct text.  Repeated items
@@ -25,6 +28,8 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +40,9 @@ from .common import mix64, saved, table, text_steps, without, words_of
 
 GRAM = 3
 THRESHOLD = 0.5
-#: A seed is rare in this share of documents, or in so many, or among so many of its item.
-RARE_SHARE, RARE_DOCS, RAREST = 0.0005, 10, 8
 MAX_SEEDS = 4_000_000
+#: Words of items that are looked up at once, and alignments that a task remembers.
+LOOKUP, REMEMBERED = 1_000_000, 50_000
 #: Pairs whose ids are broadcast at most.
 MAX_BROADCAST = 1_000_000
 _SPACED = bytes(0x20 if chr(b) in string.punctuation else b for b in range(256))
@@ -108,48 +113,52 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def seed_documents(docs: DataFrame, seeds: np.ndarray, sizes: list[int]) -> DataFrame:
-    """In how many documents each seed occurs: seed, documents."""
-    held = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(held.value), dtype=np.int64)
-        for _, texts in text_steps(batches):
-            for _, _, _, numbers in _hits(texts, held.value, sizes):
-                total[np.unique(numbers)] += 1
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 50_000):
-            part = found[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(held.value[part].view(np.int64)), pa.array(total[part])], names=["seed", "documents"])
-
-    return _texts(docs).mapInArrow(run, "seed long, documents long").groupBy("seed").agg(F.sum("documents").alias("documents"))
-
-
-def passages(docs: DataFrame, seeds: np.ndarray, sizes: list[int], reach: int) -> DataFrame:
-    """The passages around rare seeds: key, document, place of the first word, the words, and the seeds."""
-    held = docs.sparkSession.sparkContext.broadcast(seeds)
-    schema = "passage long, doc_id long, text_hash long, first_word long, words binary, seeds array<long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for ids, texts in text_steps(iter([batch])):
-                hashes = batch.column(2).slice(at, len(ids)).to_pylist()
-                ids_ = ids.to_pylist()
-                at += len(ids)
-                rows = []
-                for k, found, places, numbers in _hits(texts, held.value, sizes):
-                    cut = np.flatnonzero(np.diff(places) > 2 * reach) + 1
-                    for place, number in zip(np.split(places, cut), np.split(numbers, cut)):
-                        a, b = max(0, int(place[0]) - reach), min(len(found), int(place[-1]) + GRAM + reach)
-                        part = found[a:b]
-                        key = int(mix64(np.array([hash((hashes[k], a)) & (2**64 - 1)], dtype=np.uint64) + np.uint64((ids_[k] or 0) & (2**63 - 1)))[0].view(np.int64))
-                        rows.append((key, ids_[k], hashes[k], a, part.tobytes(), np.unique(held.value[number]).view(np.int64).tolist()))
-                if rows:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["passage", "doc_id", "text_hash", "first_word", "words", "seeds"])
-
-    return _texts(docs).mapInArrow(run, schema)
+@dataclass
+class Items:
+    """Distinct items in flat arrays: item k's words and seeds lie between their begins k and k + 1."""
+
+    words: np.ndarray
+    word_begin: np.ndarray
+    seeds: np.ndarray  # sorted, distinct
+    of_item: np.ndarray  # the numbers of each item's seeds
+    item_begin: np.ndarray
+    of_seed: np.ndarray  # the items of each seed
+    seed_begin: np.ndarray
+    ids: list[list[int | None]]  # the ids that share the item
+
+    def item(self, k: int) -> np.ndarray:
+        return self.words[self.word_begin[k] : self.word_begin[k + 1]]
+
+    def with_seeds(self, numbers: np.ndarray) -> np.ndarray:
+        """The items that have any of the seeds."""
+        return np.unique(np.concatenate([self.of_seed[self.seed_begin[n] : self.seed_begin[n + 1]] for n in numbers.tolist()]))
+
+    def worded(self, items: np.ndarray, found: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the items so many of whose words are in ``found`` that matches alone reach the threshold."""
+        there, out = np.unique(found), []
+        size = self.word_begin[items + 1] - self.word_begin[items]
+        total = np.cumsum(size)
+        at = 0
+        while at < len(items):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LOOKUP, side="right")))
+            begin = np.cumsum(size[at:to]) - size[at:to]
+            word = self.words[np.arange(size[at:to].sum()) + np.repeat(self.word_begin[items[at:to]] - begin, size[at:to])]
+            known = there[np.minimum(np.searchsorted(there, word), len(there) - 1)] == word
+            out.append(items[at:to][np.add.reduceat(known.astype(np.int64), begin) >= threshold * size[at:to]])
+            at = to
+        return np.concatenate(out)
+
+
+def gathered(prepared: DataFrame) -> Items:
+    """The items of one pass: about ``MAX_SEEDS`` seeds."""
+    rows = prepared.groupBy("item").agg(F.collect_list(F.struct("item_id")).alias("ids"), F.first("seeds").alias("seeds")).toArrow()
+    words_ = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in rows["item"]]
+    seeds = [np.asarray(x.values.to_numpy(), dtype=np.int64).view(np.uint64) for x in rows["seeds"]]
+    begins = lambda parts: np.cumsum([0, *map(len, parts)])
+    distinct, number = np.unique(np.concatenate(seeds), return_inverse=True)
+    owner = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+    pairs = np.unique(np.stack([number, owner]), axis=1)
+    return Items(np.concatenate(words_), begins(words_), distinct, number, begins(seeds), pairs[1], np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), [[x["item_id"] for x in ids] for ids in rows["ids"].to_pylist()])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -167,51 +176,63 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def found_in(items: Items, found: np.ndarray, places: np.ndarray, numbers: np.ndarray, threshold: float, known: dict) -> Iterator[tuple[int, float, int, int]]:
+    """The leaked items of a document's words, given the places of seeds: item, score, first and last word."""
+    for k in items.worded(items.with_seeds(np.unique(numbers)), found, threshold).tolist():
+        item, own = items.item(k), places[np.isin(numbers, items.of_item[items.item_begin[k] : items.item_begin[k + 1]])]
+        # So many matches and insertions that the score is still the threshold.
+        reach, results = int(len(item) * max(1, 3 - 2 * threshold)), []
+        cut = np.flatnonzero(np.diff(own) > 2 * reach) + 1
+        for first, last in zip(own[np.append(0, cut)].tolist(), own[np.append(cut - 1, -1)].tolist()):
+            start = max(0, first - reach)
+            passage = found[start : last + GRAM + reach]
+            if np.isin(item, passage).sum() < threshold * len(item):
+                continue
+            key = k, blake2b(passage.tobytes(), digest_size=16).digest()
+            if key not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                best, end = align(item, passage)
+                known[key] = best, end, align(item[::-1], passage[:end][::-1])[1]
+            best, end, back = known[key]
+            results.append((best / (2 * len(item)), start + end - back, start + end - 1))
+        if results and max(results)[0] >= threshold:
+            yield k, *max(results)
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of documents and items: doc_id, text_hash, item_id, score, first_word, last_word."""
     prepared = saved(item_seeds(items), "items")
-    shape = prepared.agg(F.max("n_words").alias("reach"), F.collect_set("gram").alias("sizes"), F.coalesce(F.sum(F.size("seeds")), F.lit(0)).alias("n")).first()
-    n_docs = docs.count()
+    shape = prepared.agg(F.collect_set("gram").alias("sizes"), F.coalesce(F.sum(F.size("seeds")), F.lit(0)).alias("n")).first()
     parts = max(1, -(-shape.n // MAX_SEEDS))
-    pairs = [_leaks(docs, prepared.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == k), shape.reach or 0, sorted(shape.sizes), n_docs, threshold) for k in range(parts)]
+    pairs = [_leaks(docs, prepared.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k), sorted(shape.sizes), threshold) for k in range(parts)]
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _leaks(docs: DataFrame, prepared: DataFrame, reach: int, sizes: list[int], n_docs: int, threshold: float) -> DataFrame:
-    by_seed = prepared.select("item_id", F.xxhash64("item_id", "item").alias("item_key"), F.explode("seeds").alias("seed")).distinct()
-    every = np.sort(by_seed.select("seed").distinct().toPandas()["seed"].to_numpy(dtype=np.int64).view(np.uint64))  # MAX_SEEDS at most
-    counted = seed_documents(docs, every, sizes) if len(every) else by_seed.select("seed", F.lit(0).cast("long").alias("documents")).limit(0)
-    with_counts = by_seed.join(counted, "seed").withColumn("place", F.expr("row_number() OVER (PARTITION BY item_key ORDER BY documents, seed)"))
-    rare = saved(with_counts.where((F.col("documents") <= max(RARE_DOCS, int(RARE_SHARE * n_docs))) | (F.col("place") <= RAREST)).select("item_id", "item_key", F.col("seed").alias("rare_seed")), "rare-seeds")
-    chosen = np.sort(rare.select("rare_seed").distinct().toPandas()["rare_seed"].to_numpy(dtype=np.int64).view(np.uint64))
-    if not len(chosen):
-        return prepared.select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), "item_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("last_word")).limit(0)
-    marked = saved(passages(docs, chosen, sizes, reach).dropDuplicates(["passage"]), "passages")
-    joined = marked.select("passage", F.explode("seeds").alias("seed")).join(rare, F.col("seed") == F.col("rare_seed")).select("passage", "item_id", "item_key").distinct()
-    whole = joined.withColumnRenamed("passage", "of_passage").join(marked.drop("seeds"), F.col("of_passage") == F.col("passage"))
-    texts = prepared.select(F.xxhash64("item_id", "item").alias("of_key"), "item")
-    pairs = whole.join(texts.dropDuplicates(["of_key"]), F.col("item_key") == F.col("of_key"))
+def _leaks(docs: DataFrame, prepared: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
+    schema = "doc_id long, text_hash long, item_id long, score double, first_word long, last_word long"
+    if prepared.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    held = docs.sparkSession.sparkContext.broadcast(gathered(prepared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, known = held.value, {}
         for batch in batches:
-            scores, first, last = [], [], []
-            for start, passage, item in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
-                passage, item = np.frombuffer(passage.as_buffer(), dtype=np.uint64), np.frombuffer(item.as_buffer(), dtype=np.uint64)
-                best, end = align(item, passage)
-                _, back = align(item[::-1], passage[:end][::-1])
-                scores.append(best / (2 * len(item)))
-                first.append(start + end - back)
-                last.append(start + end - 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(scores, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                names=["doc_id", "text_hash", "item_id", "score", "first_word", "last_word"],
-            )
+            at = 0
+            for ids, texts in text_steps(iter([batch])):
+                ids_, hashes, rows = ids.to_pylist(), batch.column(2).slice(at, len(ids)).to_pylist(), []
+                at += len(ids)
+                for n, found, places, numbers in _hits(texts, of.seeds, sizes):
+                    for k, *result in found_in(of, found, places, numbers, threshold, known):
+                        rows += [(ids_[n], hashes[n], item_id, *result) for item_id in of.ids[k]]
+                if rows:
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "text_hash", "item_id", "score", "first_word", "last_word"])
 
-    scored = pairs.select("doc_id", "text_hash", "item_id", "first_word", "words", "item").mapInArrow(run, "doc_id long, text_hash long, item_id long, score double, first_word long, last_word long")
-    best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("best"))
+    best = _texts(docs).mapInArrow(run, schema).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("best"))
     return best.select("doc_id", "text_hash", "item_id", "best.score", "best.first_word", "best.last_word")
 
 
