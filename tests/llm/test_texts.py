@@ -180,6 +180,15 @@ def test_op7(spark, small, empty, head, monkeypatch):
     assert maxent_lm.op7_maxent_lm(spark, empty).count() == 0
 
 
+def test_op7_rows_grow_with_the_contexts(spark):
+    rng = np.random.default_rng(8)
+    few, many = [spark.createDataFrame([(k, " ".join(map(str, rng.integers(0, top, 500)))) for k in range(60)], "doc_id long, text string") for top in (5, 3000)]
+    assert maxent_lm.fit(few)[1].weights.shape[1] == maxent_lm.ROWS
+    counts, model = maxent_lm.fit(many)  # about 30,000 contexts of two words, and 2 * 3,000 of one
+    assert model.weights.shape[1] == maxent_lm.MAX_ROWS
+    assert counts.agg({"n": "sum"}).first()[0] == 60 * 501 and counts.columns == ["token", "n"]
+
+
 def test_op7_factors_are_distributions():
     rng = np.random.default_rng(1)
     model = maxent_lm.Model(10, 3, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(maxent_lm.SHARED), np.zeros(32, np.float32), np.zeros((32, 32), np.float32), rng.normal(size=(2, maxent_lm.ROWS, 32)).astype(np.float32))
