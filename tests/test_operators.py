@@ -76,6 +76,16 @@ def test_suppression_is_greedy(spark):
     assert {r.id for r in geometry.suppress(df, "grp", 0.3).collect()} == {b[0] for b in kept}
 
 
+def test_suppression_takes_no_group_whole(spark, monkeypatch):
+    boxes = [(k, 1, 10 * k, 0, 10 * k + 20, 10, 100 - k) for k in range(12)]  # a chain: each overlaps the next by a third
+    boxes += [(100, 1, 500, 0, 520, 10, 5), (100, 1, 500, 0, 520, 10, 5), (101, None, 0, 0, 9, 9, 1), (102, None, 0, 0, 9, 9, 2), (103, 1, 700, 0, 700, 10, 1), (104, 1, 700, 0, 700, 10, 2)]
+    df = spark.createDataFrame(boxes, "id long, grp long, x1 long, y1 long, x2 long, y2 long, score long")
+    kept = geometry.suppress(df, "grp", 0.3)
+    plan = kept._jdf.queryExecution().toString()
+    assert "InPandas" not in plan
+    assert sorted(r.id for r in kept.collect()) == [0, 2, 4, 6, 8, 10, 100, 102, 103, 104]
+
+
 def test_run_lengths_round_trip(spark):
     rng = np.random.default_rng(3)
     grid = rng.random((9, 7)) < 0.5

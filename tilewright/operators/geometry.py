@@ -7,12 +7,10 @@ is kept only in the first cell that both reach, so no distinct is needed.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, cut
 
 
 def overlapping(boxes: DataFrame, cell: int, by: list[str]) -> DataFrame:
@@ -77,20 +75,30 @@ def density_clusters(points: DataFrame, eps: int, least: int) -> DataFrame:
     return named.select(F.col("node").alias("id"), F.col("root").alias("cluster")).unionByName(border)
 
 
-def suppress(boxes: DataFrame, by: str, most: float) -> DataFrame:
-    """Greedy suppression in each group: by score, a box goes if it overlaps a kept one by more than ``most``."""
+def suppress(boxes: DataFrame, by: str, most: float, cell: int = 64) -> DataFrame:
+    """Greedy suppression in each group: by score, a box goes if it overlaps a kept one by more than ``most``.
 
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "id"], ascending=[False, True])
-        x1, y1, x2, y2 = (part[c].to_numpy(dtype=np.float64) for c in ("x1", "y1", "x2", "y2"))
-        area, alive, kept = (x2 - x1) * (y2 - y1), np.ones(len(part), dtype=bool), []
-        for i in range(len(part)):
-            if alive[i]:
-                kept.append(i)
-                w = np.minimum(x2[i], x2) - np.maximum(x1[i], x1)
-                h = np.minimum(y2[i], y2) - np.maximum(y1[i], y1)
-                common = np.clip(w, 0, None) * np.clip(h, 0, None)
-                alive &= ~(common > most * (area[i] + area - common))
-        return part.iloc[kept][[by, "id"]]
-
-    return boxes.groupBy(by).applyInPandas(greedy, f"{by} long, id long")
+    Pairs over ``most`` come from the grid.  Each round keeps every open box that no
+    better open box suppresses and drops its neighbours, until none is open; so the
+    result is that of the greedy order, and rounds grow with the longest chain of
+    ever worse neighbours, not with the boxes.
+    """
+    # rows of a group with the same id are boxes of their own
+    named = cut(boxes.select(by, "id", "x1", "y1", "x2", "y2", "score").withColumn("box", F.monotonically_increasing_id()))
+    group = F.struct(F.col(by).isNull().alias("none"), F.coalesce(F.col(by), F.lit(0)).alias("of")).alias("group")  # null is a group like others
+    met = overlapping(named.select(group, F.col("box").alias("id"), "x1", "y1", "x2", "y2").where("x1 < x2 AND y1 < y2"), cell, ["group"])
+    size = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")).cast("double") * (F.col(f"{p}y2") - F.col(f"{p}y1"))
+    common = (F.least("x2", "b_x2") - F.greatest("x1", "b_x1")).cast("double") * (F.least("y2", "b_y2") - F.greatest("y1", "b_y1"))
+    over = met.where(common > most * (size("") + size("b_") - common)).select("a", "b")
+    ranks = named.select("box", F.struct(F.col("score").isNull().alias("n"), (-F.col("score")).alias("s"), F.col("id").isNull().alias("m"), "id", "box").alias("rank"))
+    sides = over.join(ranks.toDF("a", "ra"), "a").join(ranks.toDF("b", "rb"), "b")
+    worse = F.col("ra") < F.col("rb")
+    edges = cut(sides.select(F.when(worse, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(worse, F.col("b")).otherwise(F.col("a")).alias("worse")))
+    dropped = None
+    while not edges.isEmpty():
+        # edges join open boxes only; the best of each chain is kept, its neighbours go with all their edges
+        top = edges.select("better").distinct().join(edges.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
+        out = cut(edges.join(top, "better", "left_semi").select(F.col("worse").alias("box")).distinct())
+        dropped = out if dropped is None else dropped.unionByName(out)
+        edges = cut(edges.join(out, F.col("better") == F.col("box"), "left_anti").join(out, F.col("worse") == F.col("box"), "left_anti"))
+    return (named if dropped is None else named.join(dropped, "box", "left_anti")).select(F.col(by).cast("long").alias(by), F.col("id").cast("long").alias("id"))
