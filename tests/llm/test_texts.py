@@ -154,6 +154,17 @@ def test_every_similar_pair_shares_a_kept_segment():
                 assert any(x[k] and y.get(k) for k in x), (pct, size)
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " end"), (3, b), (3, b), (3, b + " end"), (None, b), (3, c), (5, c), (None, d), (7, "two words"), (7, "two words"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string")
+    kept = jaccard_join.keep_one(docs)
+    got = Counter((r.doc_id, (r.text or "")[:20]) for r in kept.collect())
+    assert got == Counter({(None, a[:20]): 1, (3, b[:20]): 1, (3, c[:20]): 1, (None, d[:20]): 1, (7, "two words"): 1, (8, ""): 2})
+    assert kept.columns == docs.columns
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 4), (20, 21), (3, 3)]
     found = jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()

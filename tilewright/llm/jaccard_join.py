@@ -344,21 +344,36 @@ def block_links(nodes: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int, pct: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, n_shingles, node, and component_id, the least id of its component."""
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, node, component_id, the least id of its component, and ``stays``, whether it has the id and text that stay."""
     sketched = saved(sketch(docs, width, pct), "sketches")
     roots = saved(components(links(docs, sketched, width, pct)), "roots").withColumnRenamed("node", "of_node")
     full = sketched.where("node IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "node")
     placed = saved(full.join(roots, F.col("node") == F.col("of_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("of_node"), "placed")
-    names = saved(placed.groupBy(F.col("root").alias("of_root")).agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "names")
-    named = placed.join(names, F.col("root") == F.col("of_root")).select("doc_id", "text_hash", "n_shingles", "node", "component_id")
-    empty = sketched.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", "node", F.col("doc_id").alias("component_id"))
+    names = saved(placed.groupBy(F.col("root").alias("of_root")).agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")), "names")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    named = placed.join(names, F.col("root") == F.col("of_root")).select("doc_id", "text_hash", "n_shingles", "node", "component_id", stays.alias("stays"))
+    empty = sketched.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", "node", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     return named.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, width: int = 5, pct: int = 80) -> DataFrame:
-    """One document of each group of similar ones stays: that with the least id.  All columns stay."""
-    found = saved(groups(docs, width, pct), "groups")
-    return without(docs, found.where("doc_id <> component_id AND node IS NOT NULL").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), most=MAX_BROADCAST)
+    """One row of each group of similar documents stays: of the least id (null last), then text hash.  All columns stay.
+
+    Of rows with that id and text any one stays.  Rows without a shingle are like no other, and all stay.
+    """
+    found = saved(groups(docs, width, pct), "groups").where("node IS NOT NULL")
+    key = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
+    repeated = saved(found.where("stays").groupBy(*key).count().where("count > 1").drop("count"), "repeated")
+    kept = without(docs, found.where("NOT stays").select(*key).unionByName(repeated), most=MAX_BROADCAST)
+    if repeated.isEmpty():
+        return kept
+    prefix = "kept"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    keyed = docs.withColumns({f"{prefix}id": F.col("doc_id").cast("long"), f"{prefix}hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    again = repeated.toDF(f"{prefix}of_id", f"{prefix}of_hash")
+    rows = keyed.join(again, F.col(f"{prefix}id").eqNullSafe(F.col(f"{prefix}of_id")) & (F.col(f"{prefix}hash") == F.col(f"{prefix}of_hash")), "left_semi")
+    return kept.unionByName(rows.dropDuplicates([f"{prefix}id", f"{prefix}hash"]).select(*docs.columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
