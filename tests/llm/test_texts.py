@@ -55,6 +55,19 @@ def test_op8_stage_keeps_the_same_rows(spark, small, empty):
     assert perplexity_rules.keep(spark.read.parquet(f"{empty}/documents.parquet")).count() == 0
 
 
+def test_op8_bands_change_smoothly_with_the_size_of_a_language(spark):
+    rng = np.random.default_rng(3)
+    rows = [(lang, float(x), False) for lang, middle in (("aa", 1.4), ("bb", 1.8)) for x in rng.normal(middle, 0.04, 400)]
+    limits = {}
+    for n in (3, 19, 20):
+        rare = [("cc", 1.6 + 0.04 * (k % 3 - 1), False) for k in range(n)]
+        got = perplexity_rules.bands(spark.createDataFrame(rows + rare, "lang string, surprise double, base_failed boolean")).collect()
+        limits[n] = next((r.low, r.high) for r in got if r.band_lang == "cc")
+    for low, high in limits.values():  # six within-language deviations, not those between languages
+        assert 1.2 < low < 1.45 and 1.75 < high < 2.0
+    assert np.allclose(limits[19], limits[20], atol=0.02)
+
+
 def test_kneser_ney_probabilities_sum_to_one(monkeypatch):
     rng = np.random.default_rng(2)
     codes = np.unique(rng.integers(0, 40**4, 4000) % (12 * 40**3))
