@@ -63,8 +63,11 @@ def density_clusters(points: DataFrame, eps: int, least: int) -> DataFrame:
 
     A point with at least ``least`` points (itself included) within ``eps`` is a
     core point; cores within ``eps`` are one cluster, named after its least core.
-    A border point goes to the least cluster it is near to.
+    A border point goes to the least cluster it is near to.  Fewer points than
+    ``least`` are one cluster, named after the least point.
     """
+    if points.limit(least).count() < least:
+        return points.select("id", F.expr("min(id) OVER ()").alias("cluster"))  # fewer than ``least`` rows
     pairs = within_distance(points, eps, inclusive=True)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     n = both.groupBy("a").count()

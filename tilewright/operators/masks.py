@@ -92,18 +92,15 @@ def boundary(pix: DataFrame, of: list[str], height: int, width: int) -> DataFram
 
 def boundary_score(truth: DataFrame, found: DataFrame, keys: DataFrame, of: list[str], height: int, width: int, radius: int) -> DataFrame:
     """Precision, recall and F of boundaries that match within ``radius`` pixels."""
-    a, b = boundary(truth, of, height, width), boundary(found, of, height, width)
+    # Both boundaries are made once; one pass then sums who is near whom.
+    both = boundary(truth, of, height, width).withColumn("real", F.lit(True)).unionByName(boundary(found, of, height, width).withColumn("real", F.lit(False)))
     disk = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
     steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disk)))
-
-    def matched(one: DataFrame, other: DataFrame) -> DataFrame:
-        wide = other.select(*of, "y", "x", steps.alias("s")).select(*of, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-        return one.join(wide, [*of, "y", "x"], "left_semi").groupBy(*of).agg(F.count("*").alias("n"))
-
-    sizes = lambda df, name: df.groupBy(*of).agg(F.count("*").alias(name))
-    out = keys.join(sizes(a, "n_truth"), of, "left").join(sizes(b, "n_found"), of, "left")
-    out = out.join(matched(b, a).withColumnRenamed("n", "hit_found"), of, "left").join(matched(a, b).withColumnRenamed("n", "hit_truth"), of, "left")
-    out = out.na.fill(0, ["n_truth", "n_found", "hit_found", "hit_truth"])
+    wide = both.select(*of, "y", "x", "real", steps.alias("s")).select(*of, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "real", ((F.col("s.dy") == 0) & (F.col("s.dx") == 0)).alias("own"))
+    flag = lambda own, real: F.bool_or((F.col("own") if own else F.lit(True)) & (F.col("real") == real))
+    at = wide.groupBy(*of, "y", "x").agg(flag(True, True).alias("t"), flag(True, False).alias("f"), flag(False, True).alias("near_t"), flag(False, False).alias("near_f")).where("t OR f")
+    sums = at.groupBy(*of).agg(F.count_if("t").alias("n_truth"), F.count_if("f").alias("n_found"), F.count_if(F.col("f") & F.col("near_t")).alias("hit_found"), F.count_if(F.col("t") & F.col("near_f")).alias("hit_truth"))
+    out = keys.join(sums, of, "left").na.fill(0, ["n_truth", "n_found", "hit_found", "hit_truth"])
     t, f = F.col("n_truth"), F.col("n_found")
     precision = F.when((f == 0) & (t > 0), 1.0).when((f > 0) & (t == 0), 0.0).when((f == 0) & (t == 0), 1.0).otherwise(F.col("hit_found") / f)
     recall = F.when((f == 0) & (t > 0), 0.0).when((f > 0) & (t == 0), 1.0).when((f == 0) & (t == 0), 1.0).otherwise(F.col("hit_truth") / t)

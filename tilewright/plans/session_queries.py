@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks
+from ..operators import evaluation
+from ..operators.graph import cut
 from ..sources import derived
 from ..streaming import prompts
-from . import mask_queries
 
 
 def final_state(spark, sf):
@@ -18,13 +18,28 @@ def windows(spark, sf):
     return prompts.windowed(derived.read(spark, sf, "events"))
 
 
-def evaluation(spark, sf):
-    """Per image and object the overlap of two maskings, per image means, and the mean over all objects."""
-    each = masks.overlap(*mask_queries._pair(spark, sf), mask_queries._keys(spark, sf), ["image_id", "tile_row"]).where("either > 0")
-    detail = each.select(F.col("image_id").cast("string").alias("sequence"), F.format_string("%03d", "tile_row").alias("obj"), F.round(100 * F.col("common") / F.col("either"), 4).alias("j"))
-    means = each.groupBy("image_id").agg(F.round(100 * F.avg(F.col("common") / F.col("either")), 4).alias("j")).select(F.col("image_id").cast("string").alias("sequence"), F.lit("mean").alias("obj"), "j")
-    overall = each.agg(F.round(100 * F.avg(F.col("common") / F.col("either")), 4).alias("j")).select(F.lit("Global score").alias("sequence"), F.lit("").alias("obj"), "j")
-    return overall.unionByName(means).unionByName(detail)
+FRAME, WIDTH = 32, 128
+
+
+def _objects(pix):
+    """Objects of the frames 0 to 3 of a video: every image is one, cut into strips."""
+    at = pix.select(F.col("image_id").alias("video"), F.floor(F.col("y") / FRAME).cast("int").alias("frame"), F.floor(F.col("x") / 43).cast("int").alias("object"), (F.col("y") % FRAME).alias("y"), "x", "r", "g", "b")
+    return at.where("object <> 1 OR frame > video % 3")
+
+
+def _evaluated(spark, sf):
+    """Truth, in which some videos lack object 2, and prediction."""
+    pix = cut(_objects(derived.pixels(spark, sf)))
+    truth = pix.where("r + b > 120 AND g <= 80 AND (object <> 2 OR video % 3 > 0)").select(*evaluation.OF, "y", "x")
+    found = pix.where("r + b > 150 AND g <= 60").select(*evaluation.OF, "y", "x")
+    size = lambda df: df.select("video", F.explode(F.array(*(F.lit(k) for k in range(WIDTH // FRAME)))).alias("frame"), F.lit(FRAME).alias("height"), F.lit(WIDTH).alias("width"))
+    videos = pix.select("video").distinct()
+    return truth, found, evaluation.matched_frames(size(videos), size(videos))
+
+
+def evaluated(spark, sf):
+    """Per object of the truth and over all: overlap and boundary measure."""
+    return evaluation.report(evaluation.object_scores(*_evaluated(spark, sf), FRAME, WIDTH))
 
 
 def strict_match(spark, sf):
@@ -37,13 +52,37 @@ def strict_match(spark, sf):
 REQUESTS = """req AS (SELECT user_id AS session, event_id AS at_, CASE WHEN event_type = 'view' THEN 'mask' WHEN event_type IN ('click', 'purchase') THEN 'points' WHEN event_type = 'signup' THEN 'clear' WHEN value > 100 THEN 'reset' ELSE 'remove' END AS action,
   CAST(floor(floor(value * 100) / 7) AS BIGINT) % 4 AS obj, CAST(floor(value * 100) AS BIGINT) % 3 AS frame FROM events)"""
 
+def _edge_sql(name: str) -> str:
+    near = lambda dy, dx: f"bool_or(dy = {dy} AND dx = {dx})"
+    return f"""e{name} AS (SELECT video, frame, object, y - dy AS y, x - dx AS x, {near(0, 0)} AS m, {near(0, 1)} AS e, {near(1, 0)} AS s, {near(1, 1)} AS se
+      FROM {name}, (VALUES (0,0),(0,1),(1,0),(1,1)) d(dy, dx) WHERE y >= dy AND x >= dx GROUP BY 1, 2, 3, 4, 5),
+    b{name} AS (SELECT video, frame, object, y, x FROM e{name} WHERE CASE WHEN y = {FRAME - 1} AND x = {WIDTH - 1} THEN false WHEN y = {FRAME - 1} THEN m <> e WHEN x = {WIDTH - 1} THEN m <> s ELSE m <> e OR m <> s OR m <> se END)"""
+
+
+def _near_sql(one: str, other: str, name: str) -> str:
+    return f"""{name} AS (SELECT video, frame, object, count(*) AS hits FROM b{one} p WHERE EXISTS (SELECT 1 FROM b{other} q, (VALUES (0,0),(0,1),(0,2),(1,0),(1,1),(2,0),(0,-1),(0,-2),(-1,0),(-1,-1),(-2,0),(1,-1),(-1,1)) d(dy, dx)
+      WHERE q.video = p.video AND q.frame = p.frame AND q.object = p.object AND q.y = p.y + dy AND q.x = p.x + dx) GROUP BY 1, 2, 3)"""
+
+
+#: Samples of an object begin where truth or prediction first has it; objects that only the prediction has are left out.
+EVALUATED_SQL = derived.PIXELS_SQL + f""", o AS (SELECT image_id AS video, y // {FRAME} AS frame, x // 43 AS object, y % {FRAME} AS y, x, r, g, b FROM pix),
+t AS (SELECT * FROM o WHERE (object <> 1 OR frame > video % 3) AND r + b > 120 AND g <= 80 AND (object <> 2 OR video % 3 > 0)), p AS (SELECT * FROM o WHERE (object <> 1 OR frame > video % 3) AND r + b > 150 AND g <= 60),
+first AS (SELECT video, object, min(frame) AS frame FROM (SELECT video, object, frame FROM t UNION ALL SELECT video, object, frame FROM p) GROUP BY 1, 2),
+keys AS (SELECT video, object, k::INT AS frame FROM first, range(4) r(k) WHERE k >= frame AND (video, object) IN (SELECT (video, object) FROM t)),
+u AS (SELECT video, frame, object, count(*) FILTER (t.r IS NOT NULL AND p.r IS NOT NULL) / count(*) AS iou FROM t FULL JOIN p USING (video, frame, object, y, x) GROUP BY 1, 2, 3),
+{_edge_sql("t")}, {_edge_sql("p")}, {_near_sql("p", "t", "hp")}, {_near_sql("t", "p", "ht")},
+nt AS (SELECT video, frame, object, count(*) AS n_t FROM bt GROUP BY 1, 2, 3), np AS (SELECT video, frame, object, count(*) AS n_p FROM bp GROUP BY 1, 2, 3),
+m AS (SELECT keys.*, coalesce(iou, 1) AS iou, CASE WHEN n_p IS NULL THEN 1.0 WHEN n_t IS NULL THEN 0 ELSE coalesce(hp.hits, 0) / n_p END AS prec, CASE WHEN n_t IS NULL THEN 1.0 WHEN n_p IS NULL THEN 0 ELSE coalesce(ht.hits, 0) / n_t END AS rec
+  FROM keys LEFT JOIN u USING (video, frame, object) LEFT JOIN nt USING (video, frame, object) LEFT JOIN np USING (video, frame, object) LEFT JOIN hp USING (video, frame, object) LEFT JOIN ht USING (video, frame, object)),
+per AS (SELECT video, object, 100 * avg(round(iou, 6)) AS j, 100 * avg(round(CASE WHEN prec + rec = 0 THEN 0 ELSE 2 * prec * rec / (prec + rec) END, 6)) AS f FROM m GROUP BY 1, 2)"""
+
 QUERIES = {
     "Z02_Z06_prompt_sessions": (final_state, "WITH " + REQUESTS + """, m AS (SELECT q.*, (SELECT coalesce(max(at_), -1) FROM req r WHERE r.session = q.session AND (r.action = 'reset' OR r.action = 'remove' AND r.obj = q.obj OR r.action = 'clear' AND r.obj = q.obj AND r.frame = q.frame)) AS cut FROM (SELECT DISTINCT session, obj, frame FROM req) q),
         n AS (SELECT session, obj, frame, cut, max(at_) FILTER (action = 'mask' AND at_ > cut) AS mask_at FROM m JOIN req USING (session, obj, frame) GROUP BY 1, 2, 3, 4),
         p AS (SELECT session, obj, frame, mask_at, count(*) FILTER (action = 'points' AND at_ > greatest(cut, coalesce(mask_at, -1))) AS n_points FROM n JOIN req USING (session, obj, frame) GROUP BY 1, 2, 3, 4)
         SELECT session, obj, frame, CASE WHEN n_points > 0 THEN 'points' ELSE 'mask' END AS kind, n_points FROM p WHERE n_points > 0 OR mask_at IS NOT NULL"""),
     "addition_tumbling_windows": (windows, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(CAST(floor(value) AS BIGINT))::BIGINT AS total FROM events GROUP BY 1, 2"),
-    "A27_A28_K12_evaluation": (evaluation, "WITH " + mask_queries.PAIR_SQL + """, u AS (SELECT image_id, tile_row, count(*) FILTER (t.r IS NOT NULL AND f.r IS NOT NULL) / count(*) AS j FROM t FULL JOIN f USING (image_id, tile_row, y, x) GROUP BY 1, 2)
-        SELECT 'Global score' AS sequence, '' AS obj, round(100 * avg(j), 4) AS j FROM u UNION ALL SELECT image_id::VARCHAR, 'mean', round(100 * avg(j), 4) FROM u GROUP BY image_id UNION ALL SELECT image_id::VARCHAR, printf('%03d', tile_row), round(100 * j, 4) FROM u"""),
+    "J09_A27_A28_A29_K12_evaluation": (evaluated, "WITH " + EVALUATED_SQL + """ SELECT 'Global score' AS sequence, '' AS obj, round((avg(j) + avg(f)) / 2, 6) AS jf, round(avg(j), 6) AS j, round(avg(f), 6) AS f FROM per
+        UNION ALL SELECT video::VARCHAR, lpad(object::VARCHAR, 3, '0'), round((j + f) / 2, 6), round(j, 6), round(f, 6) FROM per"""),
     "J10_strict_match": (strict_match, "WITH " + derived.FRAMES_SQL + ", a AS (SELECT DISTINCT video, object, true AS truth FROM frames WHERE value > 30), b AS (SELECT DISTINCT video, object, true AS found FROM frames WHERE frame > 20) SELECT video, object, coalesce(truth, false) AS truth, coalesce(found, false) AS found FROM a FULL JOIN b USING (video, object)"),
 }
