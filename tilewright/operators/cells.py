@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
 from .regions import tile_regions, merged_regions, seam_pairs
 
 
@@ -62,8 +63,8 @@ def flooded_background(pix: DataFrame, side: int, tile: int) -> DataFrame:
     """Pixels without a value, and whether the flood from the image's border reaches them (four neighbours)."""
     images = pix.select("image_id").distinct()
     grid = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"))
-    holes = tile_regions(grid.join(pix, ["image_id", "y", "x"], "left_anti"), tile, diagonal=False)
-    labelled = merged_regions(holes, seam_pairs(holes))
+    holes = cut(tile_regions(grid.join(pix, ["image_id", "y", "x"], "left_anti"), tile, diagonal=False))
+    labelled = cut(merged_regions(holes, seam_pairs(holes)))
     last = side - 1
     outer = labelled.where(f"y = 0 OR x = 0 OR y = {last} OR x = {last}").select("image_id", "global_region").distinct().withColumn("outside", F.lit(True))
     return labelled.join(outer, ["image_id", "global_region"], "left").select("image_id", "y", "x", F.coalesce("outside", F.lit(False)).alias("outside"))

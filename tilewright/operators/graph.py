@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ready(spark: SparkSession) -> None:
-    """Only where the session names no checkpoint folder (tests on one machine), set a local one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only where one machine is the cluster (tests), a local one is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tilewright-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows from the shared checkpoint folder: lineage ends here."""
-    ready(df.sparkSession)
-    return df.checkpoint()
+    """The rows from a table written to the shared folder: lineage ends here, and each row is made once."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,7 +34,6 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b
     follows roots one step (pointer jumping), so rounds grow with the logarithm
     of the longest path.  ``nodes`` (column node) adds nodes without edges.
     """
-    ready(edges.sparkSession)
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct())
     named = both.select(F.col("u").alias("node")).distinct()
     if nodes is not None:

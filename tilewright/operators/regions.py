@@ -7,13 +7,14 @@ labels a tile with numpy, and only regions that touch a seam meet in joins.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, cut
 
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -25,32 +26,52 @@ def pixel_key(y: Column, x: Column) -> Column:
 
 
 def label_tile(y: np.ndarray, x: np.ndarray, around: list[tuple[int, int]]) -> np.ndarray:
-    """For each pixel the least key of its component within the tile."""
+    """For each pixel the least key of its component within the tile.
+
+    Each round takes the least label around and then follows labels to labels, so
+    rounds grow with the logarithm of the longest path.
+    """
     top, left = y.min(), x.min()
-    grid = np.full((y.max() - top + 3, x.max() - left + 3), np.iinfo(np.int64).max)
-    key = y.astype(np.int64) * SHIFT + x
+    place = np.full((y.max() - top + 3, x.max() - left + 3), len(y))
     at = (y - top + 1, x - left + 1)
-    grid[at] = key
+    order = np.lexsort([x, y])  # in the order of keys, so that labels are positions
+    at = (at[0][order], at[1][order])
+    place[at] = np.arange(len(y))
+    near = [place[at[0] + dy, at[1] + dx] for dy, dx in around]
+    label = np.arange(len(y) + 1)
     while True:
-        now = grid[at]
-        least = now
-        for dy, dx in around:
-            least = np.minimum(least, grid[at[0] + dy, at[1] + dx])
-        if (least == now).all():
-            return now
-        grid[at] = least
+        least = label[:-1]
+        for n in near:
+            least = np.minimum(least, label[n])
+        if (least == label[:-1]).all():
+            break
+        # a pixel's label may improve that of the pixel it names
+        new = label.copy()
+        np.minimum.at(new, label[:-1], least)
+        new[:-1] = np.minimum(new[:-1], least)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        label = new
+    key = y.astype(np.int64) * SHIFT + x
+    out = np.empty(len(y), dtype=np.int64)
+    out[order] = key[order][label[:-1]]
+    return out
 
 
-def tile_regions(pix: DataFrame, tile: int, diagonal: bool = True) -> DataFrame:
-    """Adds tile_row, tile_col and region: the least pixel key of the pixel's component within its tile."""
+def tile_regions(pix: DataFrame, tile: int, diagonal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """Adds tile_row, tile_col and region: the least pixel key of the pixel's component within its tile.  Columns in ``carry`` stay."""
     around = EIGHT if diagonal else FOUR
 
     def label(part: pd.DataFrame) -> pd.DataFrame:
         part["region"] = label_tile(part["y"].to_numpy(), part["x"].to_numpy(), around)
         return part
 
-    rows = pix.select("image_id", "y", "x", F.floor(F.col("y") / tile).cast("int").alias("tile_row"), F.floor(F.col("x") / tile).cast("int").alias("tile_col"))
-    return rows.groupBy("image_id", "tile_row", "tile_col").applyInPandas(label, "image_id long, y int, x int, tile_row int, tile_col int, region long")
+    rows = pix.select("image_id", "y", "x", *carry, F.floor(F.col("y") / tile).cast("int").alias("tile_row"), F.floor(F.col("x") / tile).cast("int").alias("tile_col"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy("image_id", "tile_row", "tile_col").applyInPandas(label, f"{schema}, region long")
 
 
 def seam_pairs(labelled: DataFrame, diagonal: bool = False) -> DataFrame:
@@ -76,10 +97,10 @@ def merged_regions(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
     return keyed.join(roots, F.col("node_key") == F.col("node"), "left").withColumn("global_region", F.coalesce("global_region", "region")).drop("node_key", "node")
 
 
-def whole_image_components(pix: DataFrame, tile: int, diagonal: bool = True) -> DataFrame:
-    """Pixels with ``component``: the least pixel key of the component in the whole image."""
-    labelled = tile_regions(pix, tile, diagonal)
-    return merged_regions(labelled, seam_pairs(labelled, diagonal)).select("image_id", "y", "x", F.col("global_region").alias("component"))
+def whole_image_components(pix: DataFrame, tile: int, diagonal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """Pixels with ``component``: the least pixel key of the component in the whole image.  Columns in ``carry`` stay."""
+    labelled = cut(tile_regions(pix, tile, diagonal, carry))
+    return merged_regions(labelled, seam_pairs(labelled, diagonal)).select("image_id", "y", "x", *carry, F.col("global_region").alias("component"))
 
 
 def shape(of: list[str], pix: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def merged_instances(pix: DataFrame, scores: DataFrame, least: int, tile: int) -
     ``pix`` has image_id, y, x, inst; regions under ``least`` pixels are dropped, the
     rest are numbered from 1 in reading order.  An instance without a score counts 0.
     """
-    labelled = whole_image_components(pix, tile).join(pix.select(*PIXEL, "inst"), PIXEL)
+    labelled = whole_image_components(pix, tile, carry=["inst"])
     members = labelled.groupBy("image_id", "component", "inst").agg(F.count("*").alias("n"))
     scored = members.join(scores.select("image_id", "inst", "score"), ["image_id", "inst"], "left")
     merged = scored.groupBy("image_id", "component").agg(F.sum("n").alias("area"), F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.sort_array(F.collect_list("inst")).alias("members")).where(F.col("area") >= least)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cells, regions
-from ..operators.graph import components_sql
+from ..operators.graph import components_sql, cut
 from ..sources import derived
 from ..sources.derived import FOREGROUND_SQL, TILE
 
 K = regions.SHIFT
+CHANNELS = ("r", "g", "b")
+#: Components of whole images do not depend on the tiles they are labelled in; these are of the size that images come in.
+WORK_TILE = 512
 STEPS8 = "(VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) s(dy, dx)"
 STEPS4 = "(VALUES (-1,0),(0,-1),(0,1),(1,0)) s(dy, dx)"
 #: Keys that put the image first; the table's own key is the rest.
@@ -51,8 +54,6 @@ def labelled(spark, sf):
 
 
 def merged(spark, sf):
-    from ..operators.graph import cut
-
     lab = cut(labelled(spark, sf))
     return cut(regions.merged_regions(lab, regions.seam_pairs(lab)))
 
@@ -62,8 +63,6 @@ def tile_region_stats(spark, sf):
 
 
 def seam_pairs(spark, sf):
-    from ..operators.graph import cut
-
     return regions.seam_pairs(cut(labelled(spark, sf)))
 
 
@@ -81,30 +80,30 @@ def area_summary(spark, sf):
     return regions.area_summary(regions.global_regions(merged(spark, sf)), ["image_id"], 0.25)
 
 
-def components8(spark, sf):
-    return regions.whole_image_components(derived.foreground(spark, sf), TILE)
+def components8(spark, sf, carry=()):
+    return regions.whole_image_components(derived.foreground(spark, sf), WORK_TILE, carry=carry)
 
 
 def components4(spark, sf):
-    return regions.whole_image_components(derived.foreground(spark, sf), TILE, diagonal=False)
+    return regions.whole_image_components(derived.foreground(spark, sf), WORK_TILE, diagonal=False)
 
 
 def labels_with_area(spark, sf):
-    comp = components8(spark, sf)
+    comp = cut(components8(spark, sf))
     return comp.join(comp.groupBy("image_id", "component").agg(F.count("*").alias("area")), ["image_id", "component"])
 
 
 def cell_stats(spark, sf):
-    comp = components8(spark, sf).join(derived.foreground(spark, sf), ["image_id", "y", "x"])
+    comp = components8(spark, sf, CHANNELS)
     return cells.cell_stats(comp).withColumn("mean_marker", F.round("mean_marker", 6))
 
 
 def positive_cells(spark, sf):
-    return cells.positive_cells(cells.cell_stats(components8(spark, sf).join(derived.foreground(spark, sf), ["image_id", "y", "x"])), 300, 10, 100).select("image_id", "component")
+    return cells.positive_cells(cells.cell_stats(components8(spark, sf, CHANNELS)), 300, 10, 100).select("image_id", "component")
 
 
 def grown_cells(spark, sf):
-    comp = components8(spark, sf).join(derived.foreground(spark, sf), ["image_id", "y", "x"])
+    comp = components8(spark, sf, CHANNELS)
     return cells.final_class(cells.grown_cells(comp), marker_threshold=200, low=3, high=200)
 
 
@@ -113,7 +112,7 @@ def cell_score(spark, sf):
 
 
 def cell_export(spark, sf):
-    comp = components8(spark, sf).join(derived.foreground(spark, sf), ["image_id", "y", "x"])
+    comp = components8(spark, sf, CHANNELS)
     return cells.export_rows(cells.cell_stats(comp))
 
 
@@ -122,11 +121,11 @@ def flooded_background(spark, sf):
 
 
 def small_components(spark, sf):
-    return cells.without_small(components8(spark, sf), 4)
+    return cells.without_small(cut(components8(spark, sf)), 4)
 
 
 def isolated_islands(spark, sf):
-    return cells.islands(components8(spark, sf), 100)
+    return cells.islands(cut(components8(spark, sf)), 100)
 
 
 CC8_SQL = TILED_SQL + f""", seams AS (

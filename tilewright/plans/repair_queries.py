@@ -8,10 +8,10 @@ from ..operators import masks, repairs, run_strings
 from ..operators.graph import components_sql, cut
 from ..operators.regions import SHIFT
 from ..sources import derived
-from ..sources.derived import SIDE, TILE
+from ..sources.derived import SIDE
 from . import region_queries
 from .mask_queries import RUNS_SQL
-from .region_queries import CC8_SQL, STEPS4, STEPS8
+from .region_queries import CC8_SQL, STEPS4, STEPS8, WORK_TILE
 
 MOST, LEAST, PADDING = 12, 6, 2
 
@@ -32,11 +32,11 @@ def _dense(spark, sf):
 
 
 def holes(spark, sf):
-    return repairs.holes(cut(_dense(spark, sf)), 48, 48, MOST, TILE)
+    return repairs.holes(cut(_dense(spark, sf)), 48, 48, MOST, WORK_TILE)
 
 
 def _cells(spark, sf):
-    comp = cut(region_queries.components8(spark, sf).join(derived.foreground(spark, sf), ["image_id", "y", "x"]))
+    comp = cut(region_queries.components8(spark, sf, region_queries.CHANNELS))
     kinds = comp.groupBy("image_id", "component").agg(F.when(F.count_if(F.col("r") >= F.col("b")) >= F.count_if(F.col("r") < F.col("b")), "positive").otherwise("negative").alias("class"), F.count("*").alias("n"))
     return comp, kinds.where("n > 3")
 
@@ -55,8 +55,8 @@ def merged(spark, sf):
     fg = derived.foreground(spark, sf)
     inst = cut(fg.withColumn("inst", (F.floor(F.col("y") / 4) * 100 + F.floor(F.col("x") / 4)).cast("int")))
     scores = inst.groupBy("image_id", "inst").agg((F.max("r") / 250).alias("score")).where("inst % 7 > 0")
-    out = repairs.merged_instances(inst, scores, LEAST, TILE)
-    return out.select("image_id", F.col("new_id").cast("long").alias("region_id"), F.col("area").alias("pixel_count"), F.round("score", 4).alias("avg_score"), F.array_join(F.transform("members", lambda m: m.cast("string")), ";").alias("member_instances"))
+    out = repairs.merged_instances(inst, scores, LEAST, WORK_TILE)
+    return out.select("image_id", F.col("new_id").cast("long").alias("region_id"), F.col("area").alias("pixel_count"), F.round("score", 8).alias("avg_score"), F.array_join(F.transform("members", lambda m: m.cast("string")), ";").alias("member_instances"))
 
 
 def overlap_merged(spark, sf):
@@ -111,7 +111,7 @@ QUERIES = {
         n AS (SELECT image_id, y, x, (root % ({SHIFT}::HUGEINT * {SHIFT}))::BIGINT AS component, count(*) OVER (PARTITION BY root) AS area FROM k JOIN cc USING (node)) SELECT * FROM n WHERE area <= {MOST}"""),
     "G18_G19_borders": (borders, "WITH RECURSIVE " + BORDER_SQL + ", " + _wider_sql("b1", "b2") + ", " + _wider_sql("b2", "b3") + " SELECT b3.*, EXISTS (SELECT 1 FROM b1 WHERE b1.image_id = b3.image_id AND b1.y = b3.y AND b1.x = b3.x) AS is_first FROM b3"),
     "G17_K02_merged_instances": (merged, "WITH RECURSIVE " + CC8_SQL + f""", i AS (SELECT image_id, component, r, (y // 4 * 100 + x // 4)::INT AS inst FROM comp), sc AS (SELECT image_id, inst, max(r) / 250 AS score FROM i WHERE inst % 7 > 0 GROUP BY 1, 2),
-        mem AS (SELECT image_id, component, inst, count(*) AS n FROM i GROUP BY 1, 2, 3), g AS (SELECT image_id, component, sum(n)::BIGINT AS pixel_count, round(avg(coalesce(score, 0)), 4) AS avg_score, array_to_string(list(inst ORDER BY inst), ';') AS member_instances FROM mem LEFT JOIN sc USING (image_id, inst) GROUP BY 1, 2)
+        mem AS (SELECT image_id, component, inst, count(*) AS n FROM i GROUP BY 1, 2, 3), g AS (SELECT image_id, component, sum(n)::BIGINT AS pixel_count, round(avg(coalesce(score, 0)), 8) AS avg_score, array_to_string(list(inst ORDER BY inst), ';') AS member_instances FROM mem LEFT JOIN sc USING (image_id, inst) GROUP BY 1, 2)
         SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY component) AS region_id, pixel_count, avg_score, member_instances FROM g WHERE pixel_count >= {LEAST}"""),
     "A17_overlap_merged_cells": (overlap_merged, "WITH RECURSIVE " + CC8_SQL + f""", c0 AS (SELECT image_id, component, count(*) AS n, sum(y) AS sy, sum(x) AS sx, min(x) - {PADDING} AS x1, min(y) - {PADDING} AS y1, max(x) + {PADDING} AS x2, max(y) + {PADDING} AS y2 FROM comp GROUP BY 1, 2 HAVING count(*) > 3),
         cell AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY component) AS position, image_id::HUGEINT * {SHIFT}::HUGEINT * {SHIFT} + component AS node FROM c0),
