@@ -2,8 +2,11 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tilewright.operators import tiling
 from tilewright.sources import files
 from tilewright.streaming import prompts
 
@@ -19,13 +22,20 @@ def test_stream_of_sessions_ends_in_the_batch_state(spark, tmp_path):
     def take(batch, _):
         rows = batch.collect()
         for session in {r.session for r in rows}:
-            seen[session] = {tuple(r) for r in rows if r.session == session}
+            seen[session] = {tuple(r) for r in rows if r.session == session and r.kind != "gone"}
 
     prompts.follow(prompts.requests_of(source)).writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     want = {tuple(r) for r in prompts.final_state(prompts.requests_of(spark.createDataFrame(events))).collect()}
-    # a session whose last update left nothing emits no rows, so it keeps its former ones here
-    emptied = {s for s in seen if s not in {w[0] for w in want}}
-    assert set().union(*(v for s, v in seen.items() if s not in emptied)) == want
+    assert set().union(*seen.values()) == want
+
+
+def test_a_session_without_state_says_so(spark, tmp_path):
+    for k, action in enumerate(("points", "reset")):
+        spark.createDataFrame([(1, k, action, 2, 3)], "session long, at long, action string, obj long, frame long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("session long, at long, action string, obj long, frame long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = []
+    prompts.follow(source).writeStream.foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert (1, None, None, "gone", 0) in got and len(got) == 2
 
 
 def test_windows_of_a_stream(spark, tmp_path):
@@ -51,6 +61,35 @@ def test_images_and_frames(spark, tmp_path):
     assert [r.stem for r in files.frame_files(spark, str(tmp_path)).orderBy("frame").collect()] == ["2", "9", "10"]
 
 
+def test_no_frames_is_an_error(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("x")
+    with pytest.raises(ValueError):
+        files.frame_files(spark, str(tmp_path))
+
+
+def test_arrays_and_sidecars(spark, tmp_path):
+    grid = np.zeros((3, 4), dtype=np.uint16)
+    grid[1, 2], grid[2, 3] = 7, 300
+    np.save(tmp_path / "tile_1_2_0_4.npy", grid)
+    np.save(tmp_path / "tile_1_1_0_0.npy", grid)
+    (tmp_path / "tile_1_2_0_4_meta.json").write_text(json.dumps({"image_name": "a", "num_instances": 2, "tile_size": 4}))
+    tiles = tiling.with_sidecars(files.tile_files(spark, str(tmp_path)), files.sidecars(spark, str(tmp_path)))
+    assert {(r.tile_col, r.offset_x, r.num_instances) for r in tiles.collect()} == {(2, 4, 2), (1, 0, 0)}
+    pixels = files.array_pixels(files.arrays(spark, str(tmp_path))).where(F.col("path").contains("tile_1_2"))
+    assert {(r.y, r.x, r.inst) for r in pixels.collect()} == {(1, 2, 7), (2, 3, 300)}
+
+
+def test_gallery_and_annotations(spark, tmp_path):
+    for name in ("a/one.mp4", "b/one.mp4", "two.mp4", "b/x.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"v")
+    found = {r.code: r.path for r in files.gallery(spark, str(tmp_path)).collect()}
+    assert set(found) == {"one", "two"} and found["one"].endswith("b/one.mp4")
+    frames = spark.createDataFrame([("one",), ("two",)], "video string")
+    one = lambda v, a: spark.createDataFrame([(v, a)], "video string, annotation string")
+    assert {tuple(r) for r in files.with_annotations(frames, one("one", "m"), one("two", "u")).collect()} == {("one", "m", None), ("two", None, "u")}
+
+
 def test_coordinates(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Row,Col,More\n3,4,x\n5,6,y\n")
     assert [tuple(r) for r in files.coordinates(spark, str(tmp_path / "c.csv")).collect()] == [(3, 4), (5, 6)]

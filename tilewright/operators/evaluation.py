@@ -59,10 +59,9 @@ def report_lines(rows: DataFrame) -> DataFrame:
     """The report as text: ``at`` (the line's order) and ``line``, with the sequences padded to one width."""
     width = rows.agg(F.greatest(F.max(F.length("sequence")), F.lit(len("Global score"))).alias("_n"))
     named = rows.crossJoin(F.broadcast(width))  # one row
-    number = lambda c: F.lpad(F.format_string("%.1f", F.round(c, 1)), 4, " ")
     first = F.col("sequence") == "Global score"
-    number_ = lambda c: F.when(first, F.format_string("%.1f", F.round(c, 1))).otherwise(number(c))
-    line = F.concat(F.rpad("sequence", F.col("_n"), " "), F.lit(","), F.when(first, "   ").otherwise(F.col("obj")), F.lit(", "), number_("jf"), F.lit(", "), number_("j"), F.lit(", "), number_("f"))
+    number = lambda c: F.when(first, F.format_string("%.1f", F.round(c, 1))).otherwise(F.format_string("%4.1f", F.round(c, 1)))
+    line = F.concat(F.rpad("sequence", F.col("_n"), " "), F.lit(","), F.when(first, "   ").otherwise(F.col("obj")), F.lit(", "), number("jf"), F.lit(", "), number("j"), F.lit(", "), number("f"))
     head = width.select(F.lit("").alias("at"), F.concat(F.rpad(F.lit("sequence"), F.col("_n"), " "), F.lit(",obj,  J&F,    J,    F")).alias("line"))
     return head.unionByName(named.select(F.when(first, " ").otherwise(F.concat("sequence", F.lit("/"), "obj")).alias("at"), line.alias("line")))
 

@@ -99,3 +99,23 @@ def fit_within(width: Column, height: Column, size: int, largest: int | None) ->
         F.when(width < height, side).otherwise((side * width / height).cast("int")),
         F.when(width < height, (side * height / width).cast("int")).otherwise(side),
     )
+
+
+def size_threshold(cells: DataFrame, by: list[str], allowed: tuple[int, int, int] = (4, 7, 10), count: int = 500) -> DataFrame:
+    """The cell size below the first dip in the density of the sizes' square roots (column size).
+
+    The density is taken at ``count`` points from 0 on.  The root is at least the first
+    of ``allowed``, and the second where it is over the third.  With one cell or none it is 0.
+    """
+    root = F.sqrt("size")
+    sizes = cells.groupBy(*by, root.alias("root")).agg(F.count("*").alias("n"))
+    ends = sizes.groupBy(*by).agg(F.sum("n").alias("total"), ((F.max("root") + 1) / count).alias("step"))
+    points = sizes.join(ends, by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    gap = F.col("i") * F.col("step") - F.col("root")
+    density = points.groupBy(*by, "i", "step", "total").agg(F.round(F.sum(F.col("n") * F.exp(-gap * gap / 2)) / F.first("total"), 9).alias("d"))
+    keys = ", ".join(by)
+    around = density.withColumn("_a", F.expr(f"lag(d) OVER (PARTITION BY {keys} ORDER BY i)")).withColumn("_z", F.expr(f"lead(d) OVER (PARTITION BY {keys} ORDER BY i)"))
+    first = around.groupBy(*by, "step", "total").agg(F.coalesce(F.min(F.when((F.col("d") < F.col("_a")) & (F.col("d") < F.col("_z")), F.col("i"))), F.lit(1)).alias("i"))
+    at = (F.col("i") - 1) * F.col("step")
+    root_ = F.when(at < allowed[0], float(allowed[0])).when(at > allowed[2], float(allowed[1])).otherwise(at)
+    return first.select(*by, F.when(F.col("total") > 1, F.bround(root_ * root_).cast("long")).otherwise(F.lit(0)).alias("threshold"))

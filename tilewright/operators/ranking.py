@@ -114,10 +114,3 @@ def dense_ids(df: DataFrame, by: str, key: str) -> DataFrame:
 def truncate_and_stride(df: DataFrame, by: list[str], order: str, n: int, k: int) -> DataFrame:
     """The first ``n`` rows of each key, and of those every ``k``-th."""
     return ranked(df, by, order, "_place").where((F.col("_place") <= n) & ((F.col("_place") - 1) % k == 0)).drop("_place")
-
-
-
-
-def shards(df: DataFrame, order: str, n: int) -> DataFrame:
-    """Nearly equal shards in order; the first get one row more."""
-    return df.withColumn("shard", F.expr(f"ntile({n}) OVER (ORDER BY {order}) - 1"))

@@ -47,10 +47,6 @@ def clusters(spark, sf):
     return geometry.density_clusters(derived.points(spark, sf), 20, 3)
 
 
-def suppressed(spark, sf):
-    return geometry.suppress(derived.boxes(spark, sf), "grp", 0.1)
-
-
 def padded(spark, sf):
     box = derived.boxes(spark, sf)
     pad = 5
@@ -76,6 +72,5 @@ QUERIES = {
     "G08_density_clusters": (clusters, "WITH RECURSIVE " + POINTS_SQL + """, e AS (SELECT p.id AS a, q.id AS b FROM pts p JOIN pts q ON p.id <> q.id AND abs(p.x - q.x) <= 20 AND abs(p.y - q.y) <= 20 WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 400),
         core AS (SELECT id AS node FROM pts LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) ON a = id WHERE coalesce(n, 0) + 1 >= 3), sym AS (SELECT a, b FROM e WHERE a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)), """ + components_sql("core", "sym") + """
         SELECT node AS id, root AS cluster FROM cc UNION ALL SELECT a, min(root) FROM e JOIN cc ON node = b WHERE a NOT IN (SELECT node FROM core) GROUP BY 1"""),
-    "G14_suppressed_boxes": (suppressed, None),
     "X10_F16_padded_boxes": (padded, "WITH " + BOXES_SQL + " SELECT id, greatest(x1 - 5, 0) AS x1, greatest(y1 - 5, 0) AS y1, x2 + 5 AS x2, y2 + 5 AS y2, x2 - x1 AS w, y2 - y1 AS h FROM box"),
 }

@@ -117,7 +117,7 @@ def cell_export(spark, sf):
 
 
 def flooded_background(spark, sf):
-    return cells.flooded_background(derived.pixels(spark, sf), derived.SIDE, TILE)
+    return cells.flooded_background(derived.pixels(spark, sf), derived.SIDE, WORK_TILE)
 
 
 def small_components(spark, sf):
@@ -162,7 +162,6 @@ QUERIES = {
     "A05_cell_score": (cell_score, "WITH RECURSIVE " + GROWN_SQL + " SELECT image_id, count(*) AS n_total, count(*) FILTER (is_positive) AS n_positive, count(*) FILTER (NOT is_positive) AS n_negative, round_even(100.0 * count(*) FILTER (is_positive) / count(*), 1)::DOUBLE AS percent_positive FROM fin GROUP BY 1"),
     "K01_K04_cell_export": (cell_export, "WITH RECURSIVE " + CELL_SQL + """ SELECT image_id, component AS "Cell_ID", CASE WHEN is_positive THEN 'Yes' ELSE 'No' END AS "Is_Positive", pixel_count AS "Pixel_Count", sum_marker AS "Marker_Sum", printf('%.2f', round(mean_marker, 2)) AS "Marker_Mean", max_marker AS "Marker_Max", min_marker AS "Marker_Min", cy AS "Center_Y", cx AS "Center_X",
         CASE WHEN n_positive > n_negative THEN 'majority' WHEN n_positive = n_negative THEN 'tie' ELSE 'minority' END AS decision_reason FROM cell"""),
-    "G03_flooded_background": (flooded_background, None),
     "G12_without_small": (small_components, "WITH RECURSIVE " + CC8_SQL + ", n AS (SELECT *, count(*) OVER (PARTITION BY image_id, component) AS area FROM comp) SELECT image_id, y, x, component FROM n WHERE area > 4"),
     "G13_islands": (isolated_islands, "WITH RECURSIVE " + CC8_SQL + ", n AS (SELECT image_id, component, count(*) AS area FROM comp GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, component) AS place, max(area) OVER (PARTITION BY image_id) AS top FROM n) SELECT image_id, component, area FROM m WHERE CASE WHEN top < 100 THEN place = 1 ELSE area >= 100 END"),
 }

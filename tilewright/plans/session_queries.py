@@ -18,6 +18,32 @@ def windows(spark, sf):
     return prompts.windowed(derived.read(spark, sf, "events"))
 
 
+def opened(spark, sf):
+    """Sessions that sign-ups open and errors close."""
+    e = derived.read(spark, sf, "events")
+    action = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "close").otherwise("points")
+    return prompts.session_states(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("at"), action.alias("action")))
+
+
+def removed(spark, sf):
+    """The prompt state without each session's second object; in odd sessions an object that is not there."""
+    state = final_state(spark, sf)
+    gone = state.select("session").distinct().select("session", F.when(F.col("session") % 2 == 0, 1).otherwise(9).alias("obj"))
+    out = prompts.without_object(state, gone)
+    return out.select("session", "obj", "frame", F.col("idx").cast("long").alias("idx"), F.array_join(F.transform("affected", lambda f: f.cast("string")), ";").alias("affected"))
+
+
+def consolidated(spark, sf):
+    d = derived.frames(spark, sf).select(F.col("video").alias("session"), F.col("object").alias("obj"), "frame", "value")
+    return prompts.consolidated(d.where("value > 15").withColumn("value", F.col("value") * 10), d.where("frame % 2 = 0"))
+
+
+def propagated(spark, sf):
+    d = derived.frames(spark, sf)
+    starts = d.groupBy(F.col("video").alias("session")).agg(F.min(F.when(F.col("value") > 15, F.col("frame"))).alias("start"), (F.max("frame") + 1).alias("n_frames")).where("start IS NOT NULL")
+    return prompts.propagation(starts, 12)
+
+
 FRAME, WIDTH = 32, 128
 
 
@@ -84,5 +110,14 @@ QUERIES = {
     "addition_tumbling_windows": (windows, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(CAST(floor(value) AS BIGINT))::BIGINT AS total FROM events GROUP BY 1, 2"),
     "J09_A27_A28_A29_K12_evaluation": (evaluated, "WITH " + EVALUATED_SQL + """ SELECT 'Global score' AS sequence, '' AS obj, round((avg(j) + avg(f)) / 2, 6) AS jf, round(avg(j), 6) AS j, round(avg(f), 6) AS f FROM per
         UNION ALL SELECT video::VARCHAR, lpad(object::VARCHAR, 3, '0'), round((j + f) / 2, 6), round(j, 6), round(f, 6) FROM per"""),
+    "Z01_sessions": (opened, """WITH r AS (SELECT user_id AS session, event_id AS at_, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'close' ELSE 'points' END AS action FROM events),
+        p AS (SELECT *, max(at_) FILTER (action = 'start') OVER w AS s, max(at_) FILTER (action <> 'points') OVER w AS t FROM r WINDOW w AS (PARTITION BY session ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT session, coalesce(max(at_) FILTER (action = 'start') > coalesce(max(at_) FILTER (action = 'close'), -1), false) AS is_open, count(*) FILTER (action <> 'start' AND NOT coalesce(s = t, false)) AS n_refused, count(*) FILTER (action = 'start') AS n_starts FROM p GROUP BY 1"""),
+    "Z06_removed_objects": (removed, "WITH st AS (" + "{STATE}" + """), a AS (SELECT session, array_to_string(list_sort(list(DISTINCT frame)), ';') AS affected FROM st WHERE session % 2 = 0 AND obj = 1 GROUP BY 1), l AS (SELECT * FROM st WHERE NOT (session % 2 = 0 AND obj = 1))
+        SELECT session, obj, frame, dense_rank() OVER (PARTITION BY session ORDER BY obj) - 1 AS idx, affected FROM l LEFT JOIN a USING (session)"""),
+    "Z07_consolidated": (consolidated, "WITH " + derived.FRAMES_SQL + " SELECT video AS session, object AS obj, frame, value * 10 AS value, true AS is_prompted FROM frames WHERE value > 15 UNION ALL SELECT video, object, frame, value, false FROM frames WHERE frame % 2 = 0 AND NOT value > 15"),
+    "Z08_Z09_propagation": (propagated, "WITH " + derived.FRAMES_SQL + """, s AS (SELECT video AS session, min(frame) FILTER (value > 15) AS start, max(frame) + 1 AS n FROM frames GROUP BY 1)
+        SELECT session, 'forward' AS direction, k::INT AS step, (start + k)::INT AS frame FROM s, range(13) r(k) WHERE start + k <= n - 1 UNION ALL SELECT session, 'backward', k::INT, (start - k)::INT FROM s, range(13) r(k) WHERE start > 0 AND start - k >= 0"""),
     "J10_strict_match": (strict_match, "WITH " + derived.FRAMES_SQL + ", a AS (SELECT DISTINCT video, object, true AS truth FROM frames WHERE value > 30), b AS (SELECT DISTINCT video, object, true AS found FROM frames WHERE frame > 20) SELECT video, object, coalesce(truth, false) AS truth, coalesce(found, false) AS found FROM a FULL JOIN b USING (video, object)"),
 }
+QUERIES["Z06_removed_objects"] = (removed, QUERIES["Z06_removed_objects"][1].replace("{STATE}", QUERIES["Z02_Z06_prompt_sessions"][1]))

@@ -60,9 +60,7 @@ def q_fallback(spark, sf):
 
 
 def q_units(spark, sf):
-    d = fr(spark, sf)
-    n = d.groupBy("video").agg(F.countDistinct("object").alias("n_objects"))
-    return n.select("video", F.explode(F.sequence(F.lit(1), F.col("n_objects"))).alias("copy")).join(d.select("video", "object").distinct(), "video")
+    return fr(spark, sf).select("video", "object").distinct()
 
 
 def q_eval_sample(spark, sf):
@@ -70,21 +68,6 @@ def q_eval_sample(spark, sf):
     return d.select("video", "frame").join(d.where("frame = 0").select("video", "object"), "video")
 
 
-def q_repeat(spark, sf):
-    d = fr(spark, sf).groupBy("video").agg(F.count("*").alias("n"))
-    # the fraction rounds up where a seeded hash of the key falls below it
-    factor = F.col("n") / 60
-    u = F.pmod(F.xxhash64("video", F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    return d.select("video", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.floor(factor) + (u < factor - F.floor(factor)).cast("int")).cast("int")))).alias("copy"))
-
-
-def q_window_sample(spark, sf):
-    d = fr(spark, sf)
-    n = d.groupBy("video").agg(F.max("frame").alias("last"))
-    start = n.select("video", F.pmod(F.xxhash64("video", F.lit(3)), F.greatest(F.col("last") - 6, F.lit(1))).cast("int").alias("start"))
-    return d.join(start, "video").where("frame >= start AND frame < start + 8").select("video", "frame", "object")
-
-
 def q_tiles(spark, sf):
     size = derived.read(spark, sf, "part").select("p_partkey", (F.col("p_size") * 40 + 300).alias("w"))
     step, tile = 448, 512
@@ -142,12 +125,9 @@ QUERIES = {
     "A33_A39_means_and_objects": (q_running, FR + " SELECT video, object, round(sum(value * frame) / sum(frame), 6) AS weighted_mean, count(*) AS n, count(DISTINCT frame) AS frames FROM frames GROUP BY 1, 2"),
     "A35_best_so_far": (lambda s, f: ranking.best_so_far(fr(s, f), V).select("video", "frame", "best"), FR + " SELECT video, frame, max(value) OVER (PARTITION BY video ORDER BY frame) AS best FROM frames"),
     "U01_U05_sets": (q_sets, FR + ", a AS (SELECT DISTINCT video, object FROM frames WHERE value > 20), b AS (SELECT DISTINCT video, object FROM frames WHERE frame % 2 = 0) SELECT *, 'both' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"),
-    "S20_S21_units": (q_units, FR + " SELECT n.video, r.k::INT AS copy, o.object FROM (SELECT video, count(DISTINCT object) AS n FROM frames GROUP BY 1) n JOIN range(1, 100) r(k) ON r.k <= n.n JOIN (SELECT DISTINCT video, object FROM frames) o ON o.video = n.video"),
+    "S20_units": (q_units, FR + " SELECT DISTINCT video, object FROM frames"),
     "S22_truncate_and_stride": (lambda s, f: ranking.truncate_and_stride(fr(s, f), V, "frame", 20, 3).select("video", "frame"), FR + " SELECT video, frame FROM frames WHERE frame < 20 AND frame % 3 = 0"),
     "R02_evaluation_sample": (q_eval_sample, FR + " SELECT a.video, a.frame, b.object FROM frames a JOIN frames b ON a.video = b.video AND b.frame = 0"),
-    "R01_window_sample": (q_window_sample, None),
-    "R03_repeat_factors": (q_repeat, None),
-    "R11_shards": (lambda s, f: ranking.shards(derived.read(s, f, "nation").select("n_nationkey"), "n_nationkey", 4), "SELECT n_nationkey, ntile(4) OVER (ORDER BY n_nationkey) - 1 AS shard FROM nation"),
     "X07_X08_point_grids": (q_grid, "SELECT n_nationkey AS k, round((i.i + 0.5) / n, 6)::DOUBLE AS x, round((j.j + 0.5) / n, 6)::DOUBLE AS y FROM (SELECT n_nationkey, n_nationkey % 4 + 1 AS n FROM nation) t JOIN range(9) i(i) ON i.i < n JOIN range(9) j(j) ON j.j < n"),
     "X12_overlapping_tiles": (q_tiles, "SELECT p_partkey, k::INT AS k, least(k * 448, greatest(w - 512, 0))::BIGINT AS start FROM (SELECT p_partkey, p_size * 40 + 300 AS w FROM part) t JOIN range(40) r(k) ON r.k <= greatest(ceil((w - 512) / 448), 0)"),
     "S04_S06_tile_names": (q_names, """WITH p AS (SELECT p_partkey, p_partkey % 13 AS r, p_partkey % 7 AS c FROM part) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN r + 1 WHEN 1 THEN r WHEN 2 THEN r END::INT AS tile_row, CASE p_partkey % 4 WHEN 0 THEN c + 1 WHEN 1 THEN c WHEN 2 THEN c END::INT AS tile_col,
