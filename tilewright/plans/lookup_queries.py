@@ -80,15 +80,15 @@ def pyramid(spark, sf):
 
 
 def summaries(spark, sf):
-    n = derived.read(spark, sf, "nation").select("n_regionkey", F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")).alias("e"))
-    return n.groupBy("n_regionkey").agg(F.to_json(F.sort_array(F.collect_list("e"))).alias("summary"))
+    o = derived.read(spark, sf, "orders").select("o_custkey", F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("n")).alias("e"))
+    return o.groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list("e"))).alias("summary"))
 
 
 def metadata(spark, sf):
-    c = derived.read(spark, sf, "nation")
+    c = derived.read(spark, sf, "customer")
     text = lambda col: F.col(col).cast("string")
-    merged = lookups.overridden(F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("1")), F.create_map(F.when(F.col("n_nationkey") % 2 == 0, "b").otherwise("c"), text("n_regionkey")))
-    return c.select("n_nationkey", F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("entries"), F.when(F.col("n_nationkey") <= 9, 8).when(F.col("n_nationkey") <= 19, 16).otherwise(32).alias("bits"))
+    merged = lookups.overridden(F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("1")), F.create_map(F.when(F.col("c_custkey") % 2 == 0, "b").otherwise("c"), text("c_nationkey")))
+    return c.select("c_custkey", F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("entries"), F.when(F.col("c_custkey") <= 255, 8).when(F.col("c_custkey") <= 65_535, 16).otherwise(32).alias("bits"))
 
 
 def sequences(spark, sf):
@@ -110,8 +110,8 @@ def annotations(spark, sf):
 
 
 def pages(spark, sf):
-    c = derived.read(spark, sf, "customer").select("c_nationkey", "c_custkey", F.col("c_custkey").cast("string").alias("stem"))
-    both = ranking.ranked(ranking.ranked(c, ["c_nationkey"], "stem", "lexical"), ["c_nationkey"], "c_custkey", "numeric")
+    c = derived.read(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 300).alias("folder"), "c_custkey", F.col("c_custkey").cast("string").alias("stem"))
+    both = ranking.ranked(ranking.ranked(c, ["folder"], "stem", "lexical"), ["folder"], "c_custkey", "numeric")
     return both.select("c_custkey", F.col("lexical").cast("long").alias("lexical"), F.col("numeric").cast("long").alias("numeric"), F.floor((F.col("numeric") - 1) / 10).cast("long").alias("page"))
 
 
@@ -197,8 +197,8 @@ QUERIES = {
         SELECT video, object, round(m, 6) AS mean_area, CASE WHEN m < 1024 THEN 'small' WHEN m < 9216 THEN 'medium' WHEN m IS NOT NULL THEN 'large' END AS size, first_frame, n_frames, changes FROM g"""),
     "A40_errors": (errors, FR + ", e AS (SELECT video, object, value > 20 AS found, value % 3 > 0 AS truth FROM frames) SELECT video, object, count(*) FILTER (found AND NOT truth) AS n_fp, count(*) FILTER (NOT found AND truth) AS n_fn, bool_and(found = truth) AS all_right FROM e GROUP BY 1, 2"),
     "A41_partition_errors": (partition_errors, "SELECT p_partkey AS l_partkey, count(DISTINCT grp) AS n_groups FROM part LEFT JOIN (SELECT l_partkey, l_linenumber % 2 AS grp FROM lineitem WHERE l_quantity > 10) ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT grp) <> 1"),
-    "K07_K08_metadata": (metadata, "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'a=0;b=' || n_regionkey ELSE 'a=0;b=1;c=' || n_regionkey END AS entries, CASE WHEN n_nationkey <= 9 THEN 8 WHEN n_nationkey <= 19 THEN 16 ELSE 32 END AS bits FROM nation"),
-    "K18_summaries": (summaries, "SELECT n_regionkey, '[' || string_agg('{\"k\":' || n_nationkey || ',\"n\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']' AS summary FROM nation GROUP BY 1"),
+    "K07_K08_metadata": (metadata, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'a=0;b=' || c_nationkey ELSE 'a=0;b=1;c=' || c_nationkey END AS entries, CASE WHEN c_custkey <= 255 THEN 8 WHEN c_custkey <= 65535 THEN 16 ELSE 32 END AS bits FROM customer"),
+    "K18_summaries": (summaries, "SELECT o_custkey, '[' || string_agg('{\"k\":' || o_orderkey || ',\"n\":\"' || o_orderstatus || '\"}', ',' ORDER BY o_orderkey) || ']' AS summary FROM orders GROUP BY 1"),
     "X09_crop_pyramid": (pyramid, f"""WITH p AS (SELECT p_partkey, p_size * 40 + 300 AS w, p_size * 30 + 401 AS h FROM part), l AS (SELECT *, (1 << layer)::INT AS side FROM p, (VALUES (0), (1), (2)) v(layer)),
         o AS (SELECT *, CASE WHEN layer = 0 THEN 0 ELSE CAST(trunc({512 / 1500}::DOUBLE * least(w, h) * 2 / side) AS INT) END AS overlap FROM l),
         c AS (SELECT *, ceil((overlap * (side - 1) + w) / side)::BIGINT AS cw, ceil((overlap * (side - 1) + h) / side)::BIGINT AS ch FROM o)
@@ -207,7 +207,7 @@ QUERIES = {
         FROM nation, (VALUES (0), (1), (2), (3)) v(k)"""),
     "U06_patterns": (patterns, "SELECT p_partkey FROM part WHERE p_type GLOB '*S*' AND NOT p_brand GLOB 'Brand#1?'"),
     "U07_annotations": (annotations, FR + " SELECT video, frame, 'manual' AS kind FROM frames WHERE object = 'click' UNION ALL SELECT video, frame, 'auto' FROM frames WHERE object = 'view' AND value > 10"),
-    "T01_T06_pages": (pages, "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey::VARCHAR) AS lexical, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS numeric, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 10 AS page FROM customer"),
+    "T01_T06_pages": (pages, "SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey // 300 ORDER BY c_custkey::VARCHAR) AS lexical, row_number() OVER (PARTITION BY c_custkey // 300 ORDER BY c_custkey) AS numeric, (row_number() OVER (PARTITION BY c_custkey // 300 ORDER BY c_custkey) - 1) // 10 AS page FROM customer"),
     "S13_S14_object_masks": (object_masks, FR + " SELECT a.video, a.frame, o.object, CASE WHEN a.object = o.object THEN a.value ELSE 0 END AS area FROM frames a JOIN (SELECT DISTINCT video, object FROM frames) o ON o.video = a.video"),
     "S27_probes": (probes, "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN p_size + 200 ELSE p_size + 100 END AS w, CASE WHEN p_partkey % 2 = 1 THEN p_size + 100 ELSE p_size + 200 END AS h, greatest(p_size, p_partkey % 40)::BIGINT AS duration FROM part"),
     "R05_mixture": (mixture, FR + ", n AS (SELECT video, ceil(count(*) / 8)::BIGINT AS batches FROM frames GROUP BY 1) SELECT video, batches, round(batches / sum(batches) OVER (), 6) AS share FROM n"),

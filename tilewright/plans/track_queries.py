@@ -25,10 +25,10 @@ CANDS = "WITH c AS (SELECT l_orderkey AS key, l_linenumber % 3 AS cand, round(ma
 
 
 def layers(spark, sf):
-    return derived.read(spark, sf, "lineitem").select((F.col("l_orderkey") % 997).alias("px"), F.col("l_linenumber").alias("layer"), F.col("l_suppkey").alias("object"), (F.round(F.col("l_discount") * 100).cast("long") - 2).alias("score"))
+    return derived.read(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 7).alias("px"), F.col("l_linenumber").alias("layer"), F.col("l_suppkey").alias("object"), (F.round(F.col("l_discount") * 100).cast("long") - 2).alias("score"))
 
 
-LAYERS = "WITH l AS (SELECT l_orderkey % 997 AS px, l_linenumber AS layer, l_suppkey AS object, round(l_discount * 100)::BIGINT - 2 AS score FROM lineitem)"
+LAYERS = "WITH l AS (SELECT l_orderkey // 7 AS px, l_linenumber AS layer, l_suppkey AS object, round(l_discount * 100)::BIGINT - 2 AS score FROM lineitem)"
 
 
 def _objects(spark, sf):
