@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,3 +38,16 @@ def between_strictly(value: Column, low: float, high: float | None) -> Column:
 def glob_pattern(glob: str) -> str:
     """The regular expression, of a whole text, for a pattern with ``*`` and ``?``."""
     return "^" + "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in glob) + "$"
+
+
+#: Arithmetic of configuration values, by the names that configurations use.
+RESOLVERS = {
+    "add": lambda *x: reduce(lambda a, b: a + b, x),
+    "times": lambda *x: reduce(lambda a, b: a * b, x),
+    "divide": lambda a, b: a / b,
+    "pow": lambda a, b: F.pow(a, b),
+    "subtract": lambda a, b: a - b,
+    "range": lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+    "int": lambda a: F.when(a < 0, F.ceil(a)).otherwise(F.floor(a)),
+    "ceil_int": lambda a: F.ceil(a),
+}

@@ -35,6 +35,21 @@ def within_distance(points: DataFrame, distance: int, inclusive: bool = False) -
     return here.join(near, ["cx", "cy"]).where((F.col("id") < F.col("b")) & close).select(F.col("id").alias("a"), "b", squared.alias("squared"))
 
 
+def matching_boxes(one: DataFrame, two: DataFrame, by: list[str], most: int = 2) -> DataFrame:
+    """Pairs (a, b) of boxes of two tables that overlap and none of whose edges differ by more than ``most``.
+
+    The left edges bring them together, in bands as wide as they may differ.
+    """
+    band = lambda c: F.floor(F.col(c) / (most + 1))
+    edges = ("x1", "y1", "x2", "y2")
+    left = one.select(*by, F.col("id").alias("a"), *edges, F.explode(F.sequence(band("x1") - 1, band("x1") + 1)).alias("_band"))
+    right = two.select(*by, F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in edges), band("x1").alias("_band"))
+    near = left.join(right, [*by, "_band"]).where("x1 <= b_x2 AND b_x1 <= x2 AND y1 <= b_y2 AND b_y1 <= y2")
+    for c in edges:
+        near = near.where(F.abs(F.col(c) - F.col(f"b_{c}")) <= most)
+    return near.select(*by, "a", "b")
+
+
 def grouped(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """``items`` with the least id of the group that ``pairs`` connect them to."""
     roots = components(pairs).select(F.col("node").alias("of"), "root")

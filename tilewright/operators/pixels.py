@@ -119,3 +119,15 @@ def size_threshold(cells: DataFrame, by: list[str], allowed: tuple[int, int, int
     at = (F.col("i") - 1) * F.col("step")
     root_ = F.when(at < allowed[0], float(allowed[0])).when(at > allowed[2], float(allowed[1])).otherwise(at)
     return first.select(*by, F.when(F.col("total") > 1, F.bround(root_ * root_).cast("long")).otherwise(F.lit(0)).alias("threshold"))
+
+
+def prompt_logits(points: DataFrame, by: list[str], height: int, width: int, cell: int, strong: float = 5.0) -> DataFrame:
+    """Prompts as a coarse raster: ``strong`` on points, its negative elsewhere, averaged over cells of ``cell`` pixels a side.
+
+    Points outside the image don't count; every cell of the image has a row.
+    """
+    inside = points.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(*by, "y", "x").distinct()
+    counts = inside.groupBy(*by, F.floor(F.col("y") / cell).cast("int").alias("y"), F.floor(F.col("x") / cell).cast("int").alias("x")).agg(F.count("*").alias("n"))
+    rows = points.select(*by).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height // cell - 1))))
+    grid = rows.select(*by, "y", F.explode(F.sequence(F.lit(0), F.lit(width // cell - 1))).alias("x"))
+    return grid.join(counts, [*by, "y", "x"], "left").select(*by, "y", "x", (strong * (2 * F.coalesce("n", F.lit(0)) / float(cell * cell) - 1)).alias("v"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, repairs, run_strings
+from ..functions import scalars
+from ..operators import cells, geometry, masks, pixels, regions, repairs, run_strings
 from ..operators.graph import components_sql, cut
 from ..operators.regions import SHIFT
 from ..sources import derived
-from ..sources.derived import SIDE
+from ..sources.derived import SIDE, TILE
 from . import region_queries
 from .mask_queries import RUNS_SQL
 from .region_queries import CC8_SQL, STEPS4, STEPS8, WORK_TILE
@@ -86,6 +87,33 @@ def rebuilt(spark, sf):
     return comp.join(number, ["image_id", "component"]).select("image_id", "y", "x", "label")
 
 
+def red_cells(spark, sf):
+    """The statistics of the cells that red pixels form."""
+    red = derived.pixels(spark, sf).where(pixels.is_red())
+    comp = regions.whole_image_components(red, WORK_TILE, carry=region_queries.CHANNELS)
+    return cells.cell_stats(comp).withColumn("mean_marker", F.round("mean_marker", 6))
+
+
+def prompt_logits(spark, sf):
+    points = derived.pixels(spark, sf).where("r > 150").select("image_id", (F.col("y") - 5).alias("y"), (F.col("x") + 7).alias("x"))
+    return pixels.prompt_logits(points, ["image_id"], SIDE, SIDE, 8)
+
+
+def region_instances(spark, sf):
+    """Merged regions with the tiles' instances whose box, within the tile, is theirs."""
+    merged_ = region_queries.merged(spark, sf)
+    shape = lambda keys, y, x: merged_.groupBy("image_id", *keys).agg(F.min(y).alias("y1"), F.min(x).alias("x1"), F.max(y).alias("y2"), F.max(x).alias("x2"))
+    whole = shape(["global_region"], "y", "x").withColumnRenamed("global_region", "id")
+    local = shape(["region"], F.col("y") % TILE, F.col("x") % TILE).withColumnRenamed("region", "id")
+    return geometry.matching_boxes(whole, local, ["image_id"])
+
+
+def resolved(spark, sf):
+    r, p = scalars.RESOLVERS, derived.read(spark, sf, "part")
+    a, b = F.col("p_size"), F.col("p_partkey")
+    return p.select("p_partkey", r["add"](a, b, F.lit(1)).alias("add"), r["times"](a, b).alias("times"), F.round(r["divide"](b, a), 6).alias("divide"), r["pow"](a, F.lit(2)).alias("pow"), r["subtract"](a, b).alias("subtract"), F.size(r["range"](a % 5)).alias("range"), r["int"]((a - b) / 7).alias("int"), r["ceil_int"](b / 7).alias("ceil_int"))
+
+
 _LENGTH = "CASE " + " ".join(f"WHEN x >= {-(1 << 5 * k - 1)} AND x < {1 << 5 * k - 1} THEN {k}" for k in range(1, 7)) + " ELSE 7 END"
 TEXT_SQL = RUNS_SQL + f""", l AS (SELECT image_id, list_concat(flatten(list([zeros, e - s + 1] ORDER BY s)), CASE WHEN max(e) < {SIDE * SIDE - 1} THEN [{SIDE * SIDE - 1} - max(e)] ELSE [] END) AS counts FROM z GROUP BY 1),
   d AS (SELECT image_id, i, CASE WHEN i > 3 THEN counts[i] - counts[i - 2] ELSE counts[i] END::BIGINT AS x FROM l, unnest(generate_series(1, len(counts))) t(i)),
@@ -119,6 +147,11 @@ QUERIES = {
         {components_sql("cell", "ce").replace("reach", "reach3").replace("cc AS", "oc AS")}
         SELECT image_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, sum(n)::BIGINT AS pixel_count, trunc(sum(sy) / sum(n))::INT AS cy, trunc(sum(sx) / sum(n))::INT AS cx, count(*) > 1 AS is_merged, array_to_string(list(position ORDER BY position), ';') AS members FROM cell JOIN oc USING (node) GROUP BY image_id, root"""),
     "G09_rebuilt_mask": (rebuilt, "WITH RECURSIVE " + CC8_SQL + " SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY component) AS label FROM comp"),
+    "A02_red_cell_stats": (red_cells, "WITH RECURSIVE " + region_queries.CELL_SQL.replace("r + b > 120 AND g <= 80", "r > 150 AND g < 100 AND b < 100") + " SELECT * REPLACE (round(mean_marker, 6) AS mean_marker) FROM cell"),
+    "F26_prompt_logits": (prompt_logits, "WITH " + derived.PIXELS_SQL + f", p AS (SELECT image_id, y - 5 AS y, x + 7 AS x FROM pix WHERE r > 150), c AS (SELECT image_id, y // 8 AS y, x // 8 AS x, count(*) AS n FROM p WHERE y BETWEEN 0 AND {SIDE - 1} AND x BETWEEN 0 AND {SIDE - 1} GROUP BY 1, 2, 3) SELECT i.image_id, a.y::INT AS y, b.x::INT AS x, 5.0::DOUBLE * (2 * coalesce(n, 0) / 64 - 1) AS v FROM (SELECT DISTINCT image_id FROM p) i CROSS JOIN range({SIDE // 8}) a(y) CROSS JOIN range({SIDE // 8}) b(x) LEFT JOIN c ON c.image_id = i.image_id AND c.y = a.y AND c.x = b.x"),
+    "J07_region_instances": (region_instances, "WITH RECURSIVE " + region_queries.MERGED_SQL + f""", w AS (SELECT image_id, global_region AS id, min(y) AS y1, min(x) AS x1, max(y) AS y2, max(x) AS x2 FROM merged GROUP BY 1, 2), l AS (SELECT image_id, region AS id, min(y % {TILE}) AS y1, min(x % {TILE}) AS x1, max(y % {TILE}) AS y2, max(x % {TILE}) AS x2 FROM merged GROUP BY 1, 2)
+        SELECT w.image_id, w.id AS a, l.id AS b FROM w JOIN l ON w.image_id = l.image_id AND abs(w.x1 - l.x1) <= 2 AND abs(w.y1 - l.y1) <= 2 AND abs(w.x2 - l.x2) <= 2 AND abs(w.y2 - l.y2) <= 2 AND w.x1 <= l.x2 AND l.x1 <= w.x2 AND w.y1 <= l.y2 AND l.y1 <= w.y2"""),
+    "X15_resolvers": (resolved, "SELECT p_partkey, p_size + p_partkey + 1 AS add, p_size * p_partkey AS times, round(p_partkey / p_size, 6) AS divide, pow(p_size, 2) AS pow, p_size - p_partkey AS subtract, (p_size % 5)::INT AS range, trunc((p_size - p_partkey) / 7)::BIGINT AS int, ceil(p_partkey / 7)::BIGINT AS ceil_int FROM part"),
     "G20_error_centres": (error_centres, "WITH " + derived.PIXELS_SQL + f""", w AS (SELECT image_id, y + dy AS y, x + dx AS x, bool_or(r + b > 120 AND g <= 80) AS t, bool_or(r > 60 AND image_id % 3 > 0 OR r + b > 120 AND g <= 80 AND image_id % 5 = 0) AS f FROM pix, range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE y + dy BETWEEN 0 AND {SIDE - 1} AND x + dx BETWEEN 0 AND {SIDE - 1} GROUP BY 1, 2, 3),
         e AS (SELECT image_id, y, x, t AS missed FROM w WHERE t <> f),
         rim AS (SELECT DISTINCT image_id, missed, y + s.dy AS y, x + s.dx AS x FROM e, {STEPS8} WHERE NOT EXISTS (SELECT 1 FROM e q WHERE q.image_id = e.image_id AND q.missed = e.missed AND q.y = e.y + s.dy AND q.x = e.x + s.dx)),
