@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_column, text_steps, with_text_columns, words_of
+from .common import frees, table, text_column, text_steps, with_text_columns, words_of
 from .perplexity_rules import base_counts
 
 #: Labelled documents that the fit takes at most.
@@ -183,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Addit
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     chosen = chosen.select(F.col("doc_id").alias("label_id"), "quality")
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, quality = 0, batch.column(2)
@@ -203,6 +204,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
     """Per row of ``docs``: id and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_steps(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(held.value.scores(features(texts)))], names=["doc_id", "score"])

@@ -7,6 +7,8 @@ task holds bounded by a few megabytes of text.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +21,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step looks at (a longer text is one step).
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
+
+
+def frees(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a task, after which the Python worker gives the memory it no longer uses back.
+
+    Workers outlive their tasks, and an executor pays for what they hold.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free_unused()
+
+    return wrapped
+
+
+def free_unused() -> None:
+    """Return the allocators' free memory to the system, where they can."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +58,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session has no such setting (tests on one machine) a local
-    temporary folder is set as the checkpoint folder and used.
+    Only where the session has no such setting and one machine is the cluster (tests), a
+    local temporary folder is set as the checkpoint folder and used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tilewright-"))
             current = spark.sparkContext.getCheckpointDir()
         base = current
@@ -102,6 +132,7 @@ def with_text_columns(docs: DataFrame, of: Callable[[list[str]], list[pa.Array]]
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
     names = schema.names
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, begin = pc.fill_null(batch.column(at).cast(pa.string()), ""), 0

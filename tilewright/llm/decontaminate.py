@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, table, text_steps, without, words_of
+from .common import frees, mix64, saved, table, text_steps, without, words_of
 
 GRAM = 3
 THRESHOLD = 0.5
@@ -67,6 +67,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
     """Per item: its words' hashes, and the seed at each position with its length."""
     schema = "item_id long, item binary, n_words int, gram int, seeds array<long>"
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_steps(batches):
             found = [words(t) for t in texts]
@@ -218,6 +219,7 @@ def _leaks(docs: DataFrame, prepared: DataFrame, sizes: list[int], threshold: fl
         return docs.sparkSession.createDataFrame([], schema)
     held = docs.sparkSession.sparkContext.broadcast(gathered(prepared))
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, known = held.value, {}
         for batch in batches:

@@ -21,8 +21,8 @@ classes are compared.  Candidates are verified exactly on the sets of shingle
 hashes, in three rounds so that large groups do not emit all their pairs: each
 class with the least class of its segments; then with the least classes of its
 other segments, where not yet connected; then, for segments whose classes are
-still in different components, all classes of a cluster of such segments in
-blocks, two blocks to a task.  So no link that joins two components is lost.
+still in different components, their classes in blocks, two blocks that share such a
+segment to a task.  So no link that joins two components is lost.
 
 Null and empty texts, and texts of white space, have the empty set, link with
 nothing and are components of their own.  A null id is never a component's id
@@ -40,13 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, table, text_steps, without, words_of
+from .common import frees, mix64, saved, table, text_steps, without, words_of
 
 #: Growth of sizes from band to band, and the share of further segments.
 BAND, EXTRA = 1.3, 0.25
 #: Candidate classes whose ids are broadcast at most (16 bytes each).
 MAX_BROADCAST = 1_000_000
 SKETCH = 64
+#: Classes whose signatures a task need not send again.
+REMEMBERED = 200_000
 #: Sets in a block, and columns of an incidence matrix at a time.
 BLOCK, COLUMNS = 128, 4096
 
@@ -136,20 +138,29 @@ def signatures(elements: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.n
 
 
 def sketch(docs: DataFrame, width: int, pct: int) -> DataFrame:
-    """Per row: id, hash of the text, size of the set, its class (null if empty), and its signatures."""
+    """Per row: id, hash of the text, size of the set, its class (null if empty), and its signatures.
+
+    Of copies that a task meets, one has the signatures.
+    """
     schema = "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, spares array<long>"
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes = Schemes(pct)
+        schemes, seen = Schemes(pct), set()
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             at, hashes = 0, batch.column(2)
             for ids, texts in text_steps(iter([batch])):
                 n, nodes, keys, spares, ends = [], [], [], [], [0]
                 for text in texts:
                     found = shingles(text.encode("utf-8", "replace"), width)
-                    key, spare = signatures(found, schemes)
+                    node = class_of(found)
+                    key, spare = nothing if node in seen else signatures(found, schemes)
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
                     n.append(len(found))
-                    nodes.append(class_of(found))
+                    nodes.append(node)
                     keys.append(key)
                     spares.append(spare)
                     ends.append(ends[-1] + len(key))
@@ -183,7 +194,7 @@ def shared_segments(sketched: DataFrame) -> DataFrame:
     """Segments that several classes have, after allocation: key and class."""
     rows = sketched.where("node IS NOT NULL").select("node", F.explode(F.arrays_zip("keys", "spares")).alias("s")).select("node", F.col("s.keys").alias("key"), F.col("s.spares").alias("spare"))
     # One row for each key and task is shuffled; a key that many copies have is summed before.
-    several = rows.groupBy(F.col("key").alias("several_key")).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("uses")).where("low < high").select("several_key", "uses")
+    several = sketched.where("node IS NOT NULL").select("node", F.explode("keys").alias("several_key")).groupBy("several_key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("uses")).where("low < high").select("several_key", "uses")
     several = saved(several, "segments")
     members = saved(rows.join(several.hint("shuffle_hash"), F.col("key") == F.col("several_key")).select("key", "node", "spare", "uses").distinct(), "members")
     # A set's segments in one scheme: as many as its size allows.
@@ -195,12 +206,15 @@ def shared_segments(sketched: DataFrame) -> DataFrame:
 def candidate_sets(docs: DataFrame, sketched: DataFrame, segments: DataFrame, width: int) -> DataFrame:
     """The sorted shingle hashes of each class in ``segments``, with a histogram of them."""
     wanted = segments.select(F.col("node").alias("wanted")).distinct()
-    first = sketched.select("node", F.struct("doc_id", "text_hash").alias("who")).join(wanted, F.col("node") == F.col("wanted"), "left_semi")
-    first = saved(first.groupBy("node").agg(F.min("who").alias("who")).select("node", F.col("who.doc_id").alias("of_doc"), F.col("who.text_hash").alias("of_hash")), "candidates")
+    # Copies are summed before the join, so a class of many is one row there.
+    first = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("who"))
+    first = first.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
+    first = saved(first.select("node", F.col("who.doc_id").alias("of_doc"), F.col("who.text_hash").alias("of_hash")), "candidates")
     if first.count() <= MAX_BROADCAST:
         first = F.broadcast(first)
     chosen = _texts(docs).join(first, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))).select("node", "text")
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, texts in text_steps(batches):
             found = [shingles(t.encode("utf-8", "replace"), width) for t in texts]
@@ -214,6 +228,7 @@ def candidate_sets(docs: DataFrame, sketched: DataFrame, segments: DataFrame, wi
 def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: first by sizes and histograms, then by the elements."""
 
+    @frees
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
@@ -222,6 +237,7 @@ def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 fits = np.abs(a - b).sum(1) <= total * (100 - pct) // (100 + pct)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits))
 
+    @frees
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -247,22 +263,21 @@ def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """The least node that each node of ``edges`` (a, b) is connected with: node, root.
 
-    Large and small stars in turn, until nothing changes; all steps are joins and sums.
+    Large and small stars in turn, until every node points at one that points at none
+    and at no other; all steps are joins and sums.
     """
     state = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     while True:
+        sides = state.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("hit")).unionByName(state.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("hit")))
+        if sides.groupBy("node").agg(F.sum("out").alias("out"), F.max("hit").alias("hit")).where("out > 1 OR out = 1 AND hit = 1").isEmpty():
+            return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("m")), "least")
+        least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = saved(large, "large-star")
-        least = saved(large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), "least")
+        least = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("of")).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         state = saved(small.where("a <> b").distinct(), "small-star")
-        now = state.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-        if now == mark:
-            return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
 
 
 def links(docs: DataFrame, sketched: DataFrame, width: int, pct: int) -> DataFrame:
@@ -297,23 +312,38 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, pct: int) -> DataFra
     least = saved(members.groupBy(F.col("key").alias("of_key")).agg(F.min("a").alias("b")), "least-of-split")
     near = members.join(least, F.col("key") == F.col("of_key")).select("a", "b")
     clusters = components(near).select(F.col("node").alias("of_node"), F.col("root").alias("cluster"))
-    nodes = members.select("a", "a_root").distinct().join(clusters, F.col("a") == F.col("of_node"), "left").select("a", "a_root", F.coalesce("cluster", "a").alias("cluster"))
-    return found.unionByName(saved(block_links(saved(nodes, "unresolved"), sets, pct), "links"))
+    placed = members.join(clusters, F.col("a") == F.col("of_node"), "left").select("key", "a", "a_root", F.coalesce("cluster", "a").alias("cluster"))
+    return found.unionByName(saved(block_links(saved(placed, "unresolved"), sets, pct), "links"))
 
 
-def block_links(nodes: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The similar pairs between different components (a_root) of each cluster of nodes.
+def block_links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """For each two components with a similar pair that shares a segment, such a pair.
 
-    Nodes are dealt into blocks of about ``BLOCK``; a task gets two blocks of a
-    cluster, never more, and counts common elements of all their pairs at once
-    as a product of incidence matrices.
+    ``members`` has the segments' nodes: key, a, a_root, cluster.  The nodes of a
+    component of ``BLOCK`` or more are dealt into blocks of their own, the others of a
+    cluster into common blocks.  Two blocks that share a segment go to a task,
+    never more, unless all in both are of one component; so a stray node meets a large
+    component's blocks, and they don't meet each other.  The task counts common
+    elements of all their pairs at once as a product of incidence matrices.
     """
-    sizes = nodes.groupBy(F.col("cluster").alias("of_cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = nodes.join(saved(sizes, "cluster-sizes"), F.col("cluster") == F.col("of_cluster")).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    held = sets.select(F.col("node").alias("of_node"), "elements")
-    whole = dealt.join(held, F.col("a") == F.col("of_node")).select("cluster", "block", "blocks", "a", "a_root", "elements")
-    paired = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "a", "a_root", "elements")
+    nodes = members.select("a", "a_root", "cluster").distinct()
+    roots = nodes.groupBy(F.col("a_root").alias("of_root")).agg(F.count("*").alias("size"), F.min("cluster").alias("in_cluster"))
+    roots = saved(roots, "root-sizes")
+    common = roots.where(F.col("size") < BLOCK).groupBy("in_cluster").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    own = F.ceil(F.col("size") / BLOCK).alias("blocks")
+    dealt = roots.where(F.col("size") >= BLOCK).select("of_root", "in_cluster", own, F.lit(True).alias("pure"))
+    dealt = dealt.unionByName(roots.where(F.col("size") < BLOCK).join(common, "in_cluster").select("of_root", "in_cluster", "blocks", F.lit(False).alias("pure")))
+    place = F.pmod(F.xxhash64(F.when(F.col("pure"), F.col("a")).otherwise(F.col("a_root"))), F.col("blocks"))
+    block = F.xxhash64("pure", F.when(F.col("pure"), F.col("a_root")).otherwise(F.col("in_cluster")), place)
+    at = nodes.drop("cluster").join(saved(dealt, "roots-dealt"), F.col("a_root") == F.col("of_root"))
+    at = saved(at.select(F.col("a").alias("node"), "a_root", block.alias("block"), F.when(F.col("pure"), F.col("a_root")).alias("pure_root")), "blocks")
+    there = saved(members.select("key", "a").join(at, F.col("a") == F.col("node")).select("key", "block", "pure_root").distinct(), "blocks-of-segments")
+    other = there.select(F.col("key").alias("of_key"), F.col("block").alias("second"), F.col("pure_root").alias("other_root"))
+    met = there.join(other, (F.col("key") == F.col("of_key")) & (F.col("block") <= F.col("second")) & ~F.coalesce(F.col("pure_root") == F.col("other_root"), F.lit(False)))
+    met = saved(met.select(F.col("block").alias("first"), "second").distinct(), "block-pairs")
+    sides = met.select("first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("side"))
+    held = sets.select(F.col("node").alias("a"), "elements")
+    paired = sides.join(at, F.col("side") == F.col("block")).select("first", "second", "block", F.col("node").alias("a"), "a_root").join(held, "a")
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         found = [np.frombuffer(x, dtype=np.uint64) for x in part["elements"]]
@@ -334,13 +364,14 @@ def block_links(nodes: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         root, block = part["a_root"].to_numpy(), part["block"].to_numpy()
         common = common.astype(np.int64)
         fits = (100 * common >= pct * (size[:, None] + size[None, :] - common)) & (root[:, None] > root[None, :])
-        if key[1] != key[2]:
+        if key[0] != key[1]:
             fits &= block[:, None] != block[None, :]
         x, y = np.nonzero(fits)
         node = part["a"].to_numpy()
-        return pd.DataFrame({"a": node[x], "b": node[y]})
+        one = np.unique(np.stack([root[x], root[y]]), axis=1, return_index=True)[1]  # a link for each two components
+        return pd.DataFrame({"a": node[x[one]], "b": node[y[one]]})
 
-    return paired.groupBy("cluster", "first", "second").applyInPandas(compare, "a long, b long")
+    return paired.groupBy("first", "second").applyInPandas(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, width: int, pct: int) -> DataFrame:

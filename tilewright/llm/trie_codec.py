@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab as vocabs
-from .common import range_hashes, table, text_column, text_steps
+from .common import frees, range_hashes, table, text_column, text_steps
 from .pretokens import pieces
 
 #: Words kept between batches; a cache only.
@@ -148,6 +148,7 @@ def encoder(path: str) -> WordCache:
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and ``ids``, the token ids as little-endian unsigned 32-bit integers."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_steps(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(encoder(tokenizer).texts(texts), pa.binary())], names=["doc_id", "ids"])
@@ -164,6 +165,7 @@ def decoded_texts(encoded: list[bytes], tokenizer: str) -> list[str]:
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """The rows of ``encode`` with ``decoded``, the text that the ids stand for."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -177,6 +179,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``decode(encode(docs))`` in one pass, so that a task holds the vocabulary once."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_steps(batches):
             encoded = encoder(tokenizer).texts(texts)
