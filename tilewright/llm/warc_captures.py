@@ -7,7 +7,7 @@ separator, so archives go to any file system Spark writes to, one gzip member
 a file, and a lost task is run again.
 
 Reading: archives are parsed record by record from their Content-Length, as a
-stream, so a task holds one record's block at a time.
+stream, so beside its file a task holds one record's block at a time.
 
 Assembly: the records of one capture are those that ``WARC-Concurrent-To``
 connects, in either direction, directly or through one record between.  A
@@ -17,9 +17,14 @@ row comes out per capture: the request, the response or revisit, and the list
 of metadata records.  Nested records hold headers and sizes, not bodies, so
 the row is bounded by the number of records.
 
-Null html counts as empty.  A null url gives no target.  Rows that repeat a
-page (same id, url and html) are one capture.  An empty table gives an empty
-archive and no captures.
+Null html counts as empty.  A null url gives no target.  Every row is a capture
+of its own, repeated rows and rows without an id too.  Of equal payloads the rows
+with the largest id (null is least) are responses, the others revisit one of them;
+without any id all are responses.  An empty table gives an empty archive and no captures.
+
+Archive files take about ``FILE_BYTES`` of records; a task of the reader holds one
+file, and Spark's reader of whole files ends at 2 GB, so larger archives have to be
+cut before.
 """
 
 from __future__ import annotations
@@ -32,14 +37,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, table
+from .common import frees, saved, scratch, table
 
 LEAST_REVISIT = 1000
-#: Captures in one archive file at most.
-FILE_CAPTURES = 4000
+#: Bytes of records in one archive file, about, and compressed bytes that are inflated at a time.
+FILE_BYTES, CHUNK = 64_000_000, 16_384
+#: Repeated payloads that are broadcast at most (a digest and two numbers each).
+MAX_BROADCAST = 200_000
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,22 +74,27 @@ def write_captures(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
         # white space and control characters have no place in a header
         F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
-    ).withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
+    ).withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html"), "row": F.monotonically_increasing_id()})
     # The response of each repeated payload.  Only digests are shuffled here, summed in the scan's
     # tasks first; a payload that a third of all pages share is one row afterwards.
-    first = pages.where(F.col("size") >= least_revisit).groupBy("sha1").agg(F.max("page_id").alias("response_page"), F.count("*").alias("n"))
-    first = first.where("n > 1").select(F.col("sha1").alias("first_sha1"), "response_page")
-    rows = pages.join(first.hint("shuffle_hash"), (F.col("sha1") == F.col("first_sha1")) & (F.col("size") >= least_revisit), "left")
-    revisit = F.coalesce(F.col("page_id") != F.col("response_page"), F.col("page_id").isNull() & F.col("response_page").isNotNull())
+    seen = Observation()
+    first = pages.observe(seen, F.count("*").alias("n"), F.sum("size").alias("bytes")).where(F.col("size") >= least_revisit)
+    first = first.groupBy(F.col("sha1").alias("first_sha1")).agg(F.max(F.struct("page_id", "row")).alias("top"), F.count("*").alias("times"))
+    first = saved(first.where("times > 1 AND top.page_id IS NOT NULL").select("first_sha1", F.col("top.page_id").alias("response_page"), F.col("top.row").alias("response_row")), "repeated-payloads")
+    each = (seen.get["bytes"] or 0) // max(1, seen.get["n"]) + 1500
+    # Whole pages travel only where the repeated digests are too many to be sent to them.
+    first = F.broadcast(first) if first.count() <= MAX_BROADCAST else first
+    rows = pages.join(first, (F.col("sha1") == F.col("first_sha1")) & (F.col("size") >= least_revisit), "left")
+    revisit = F.col("response_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_page"))
     digest = F.concat(F.lit("sha1:"), F.col("sha1"))
     uri, page = F.col("url"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    response_id = _record_id("response", F.col("page_id"), F.col("sha1"))
+    response_id = _record_id("response", F.col("row"), F.col("page_id"), F.col("sha1"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri)]
     host = F.regexp_extract(F.coalesce(uri, F.lit("")), r"://([^/?#]*)", 1)
     place = F.regexp_extract(F.coalesce(uri, F.lit("")), r"://[^/?#]*([^#]*)", 1)
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", F.col("page_id"), F.col("sha1"))), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", F.col("row"), F.col("page_id"), F.col("sha1"))), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.when(place == "", "/").otherwise(place), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")),
     )
     response = _record(
@@ -92,20 +104,20 @@ def write_captures(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
             *common,
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", F.when(revisit, PROFILE)),
-            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("response_page"), F.col("sha1")))),
+            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("response_row"), F.col("response_page"), F.col("sha1")))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", F.col("page_id"), F.col("sha1"))), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", F.col("row"), F.col("page_id"), F.col("sha1"))), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page-id: "), page, F.lit("\r\n")),
     )
     (
         rows.select(F.concat_ws(END, request, response, metadata).alias("value"))
         .write.option("lineSep", END)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", FILE_CAPTURES)
+        .option("maxRecordsPerFile", max(1, FILE_BYTES // each))
         .text(path)
     )
 
@@ -114,7 +126,7 @@ class _Inflated(io.RawIOBase):
     """The bytes of concatenated gzip members, or of plain content, without holding them all."""
 
     def __init__(self, content: bytes):
-        self.rest, self.at = content, 0
+        self.content, self.at = content, 0
         self.plain = content[:2] != b"\x1f\x8b"
         self.inner = None if self.plain else zlib.decompressobj(31)
 
@@ -123,20 +135,17 @@ class _Inflated(io.RawIOBase):
 
     def readinto(self, target) -> int:
         out = b""
-        while not out:
-            if self.plain:
-                out = self.rest[self.at : self.at + len(target)]
-                self.at += len(out)
-                break
+        if self.plain:
+            out = self.content[self.at : self.at + len(target)]
+            self.at += len(out)
+        while not out and not self.plain:
+            if self.inner.eof:  # the next member begins where this one ended
+                self.at -= len(self.inner.unused_data)
+                self.inner = zlib.decompressobj(31)
             data = self.inner.unconsumed_tail
-            if not data and not self.inner.eof:
-                data = self.rest[self.at : self.at + 65_536]
+            if not data:
+                data = self.content[self.at : self.at + CHUNK]
                 self.at += len(data)
-            elif self.inner.eof:
-                data = self.inner.unused_data + self.rest[self.at :]
-                self.rest, self.at = data, min(len(data), 65_536)
-                data = data[:65_536]
-                self.inner = zlib.decompressobj(31)
             if not data:
                 break
             out = self.inner.decompress(data, len(target))
@@ -202,6 +211,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     types = [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
@@ -241,7 +251,7 @@ def assemble(records_: DataFrame) -> DataFrame:
     """
     rows = saved(records_.where(F.col("type").isin("request", "response", "revisit", "metadata")).drop("payload"), "warc-records")
     rows = capture_ids(rows)
-    page_of = rows.where("page_id IS NOT NULL").select(F.col("capture").alias("of_capture"), F.col("page_id").alias("of_page"))
+    page_of = rows.where("page_id IS NOT NULL").groupBy(F.col("capture").alias("of_capture")).agg(F.min("page_id").alias("of_page"))
     # Many revisits may refer to one response; they are the large side of this join.
     revisits = rows.where("type = 'revisit'").join(page_of, F.col("refers_to") == F.col("of_capture"), "left")
     revisits = revisits.withColumnRenamed("of_page", "refers_to_page").drop("of_capture")
@@ -278,7 +288,7 @@ WITH p AS (
   SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_page FROM d
 )
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN last_page END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND last_page IS NOT NULL AND page_id IS DISTINCT FROM last_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last_page THEN last_page END AS refers_to
 FROM m
 """
