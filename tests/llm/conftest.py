@@ -57,10 +57,11 @@ def pages() -> list[dict]:
     html = [big, small, big, small, big, None, "", "é" * 600, "é" * 600, "x\r\n\r\nWARC/1.1\r\n" * 100, "a" * 1000, "a" * 1000, "a" * 999, "a" * 999]
     urls = [
         "http://A.Example.com/en/7?x=1", "https://example.com/en/81#f", "no scheme", None, "http://net/de/1", "http://b.example.net/de/81/", "http://org/es/", "http://xorg/es/", "://h/p",
-        "http://www.ads-track.example.com/a/?utm_source=z&b=2&a=1", "http://ads-track.example.com/a?a=1&b=2", "http://m.ads-track.org:80/q\n q", "http://example.org/en?://x", "http://",
+        "http://www.ads-track.example.com/a/?utm_source=feed&b=2&a=1", "http://ads-track.example.com/a?a=1&b=2", "http://m.ads-track.org:80/q\n q?c=1", "http://example.org/en?://x", "http://",
     ]
     rows = [{"page_id": k * 2 + 1, "url": u, "html": h} for k, (u, h) in enumerate(zip(urls, html))]
     rows.append(dict(rows[0]))
+    rows += [dict(rows[2], url="http://other.test/"), dict(rows[2], page_id=None), dict(rows[2], page_id=None)]
     for r in rows:
         r |= {"size": "s", "block": "b"}
     return rows

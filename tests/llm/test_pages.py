@@ -1,6 +1,7 @@
 """Operators 1 and 6 against DuckDB and plain Python."""
 
 import gzip
+import time
 
 import duckdb
 import pytest
@@ -17,22 +18,32 @@ def test_against_sql(spark, small, empty, name):
     found = query(spark, small)
     columns = found.columns
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT {'DISTINCT' if name == 'op1' else ''} page_id, url, html FROM '{small}/pages.parquet'")
+    con.execute(f"CREATE VIEW pages AS SELECT page_id, url, html FROM '{small}/pages.parquet'")
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
     assert query(spark, empty).count() == 0
 
 
-def test_filter_has_no_false_negatives_and_the_join_removes_false_positives(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)  # one block of 256 bits: nearly everything passes
-    urls = spark.createDataFrame([(k, f"http://h{k}.test/p") for k in range(400)], "page_id long, url string")
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_filter_has_no_false_negatives_and_the_join_removes_false_positives(spark, monkeypatch, bound):
+    monkeypatch.setattr(url_filter, "PER_BLOCK", 1000)  # one block of 256 bits: nearly everything passes
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", bound)  # joined by block, or broadcast
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", bound)
+    urls = spark.createDataFrame([(k, f"http://h{k}.test/p") for k in range(400)] + [(None, None)], "page_id long, url string")
     listed = urls.where("page_id % 2 = 0").select(url_filter.canonical(urls.url).alias("listed_url"))
     out = url_filter.judge(urls, listed, rules=()).collect()
-    assert {r.page_id for r in out if r.verdict == "block"} == set(range(0, 400, 2))
+    assert len(out) == 401 and {r.page_id for r in out if r.verdict == "block"} == set(range(0, 400, 2))
     assert all(r.possible for r in out if r.listed) and sum(r.possible for r in out) > 250
 
 
+def test_a_host_has_listed_and_unlisted_pages(spark):
+    urls = ["http://m.free-bets.org/en/1?utm_source=feed", "https://www.free-bets.org/en/2", "https://m.free-bets.org/en/1/#top", "http://m.free-bets.org/en/3?utm_source=feeds", "http://clean.org/en/1?utm_source=feed"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_filter.judge(pages, url_filter.listed_urls(pages), rules=())
+    assert [r.verdict for r in out.orderBy("page_id").collect()] == ["block", "allow", "block", "allow", "allow"]
+
+
 def test_no_python_in_the_url_filter(spark, small):
     plan = url_filter.op6_url_filter(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -70,10 +81,29 @@ def test_written_archives_are_whole(spark, small):
     path = scratch(spark, "warc-test")
     warc_captures.write_captures(spark.read.parquet(f"{small}/pages.parquet"), path)
     kinds = [r.type for r in warc_captures.read_records(spark, path).collect()]
-    assert kinds.count("request") == kinds.count("metadata") == 15 and len(kinds) == 45
+    assert kinds.count("request") == kinds.count("metadata") == 18 and len(kinds) == 54
 
 
 def test_cut_archives_are_an_error():
     whole = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 20\r\n\r\nshort"
     with pytest.raises(ValueError):
         list(warc_captures.records(whole))
+
+
+def test_every_row_is_a_capture_of_its_own(spark):
+    html = "<p>" + "same " * 400
+    pages = spark.createDataFrame([(5, "http://a/", html), (5, "http://b/", html), (None, "http://c/", html), (None, "http://c/", html)], "page_id long, url string, html string")
+    path = scratch(spark, "warc-test")
+    warc_captures.write_captures(pages, path)
+    read = warc_captures.read_records(spark, path)
+    assert read.count() == 12 and read.select("id").distinct().count() == 12
+    out = warc_captures.assemble(read).collect()
+    kinds = sorted((r.metadata[0].page_id or 0, r.response.record_type, r.response.record.refers_to_page, r.response.record.uri) for r in out)
+    assert kinds == [(0, "revisit", 5, "http://c/")] * 2 + [(5, "response", None, "http://a/"), (5, "response", None, "http://b/")]
+
+
+def test_many_members_are_read_in_linear_time():
+    member = gzip.compress(b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 5\r\n\r\nshort\r\n\r\n")
+    began = time.process_time()
+    assert sum(1 for _ in warc_captures.records(member * 40_000)) == 40_000
+    assert time.process_time() - began < 20
