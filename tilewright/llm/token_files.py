@@ -14,7 +14,7 @@ A file is a row of records, each followed by one line feed:
 All numbers are little-endian.  Every id takes the bits that the largest id of
 the vocabulary needs, so an id's place in its block is known without reading
 others: the footer's offsets and one block give any range of ids.  Files hold
-ranges of ascending document ids, in the order of their names.
+ranges of ascending document ids, in the order of the numbers in their names.
 
 Spark's own text writer stores the records, so the files land on whatever file
 system the path names, a task's file appears only when the task has succeeded,
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vocab as vocabs
-from .common import saved, scratch, table, text_column, text_steps
+from .common import frees, saved, scratch, table, text_column, text_steps
 from .trie_codec import WordCache
 
 BLOCK_IDS = 65_536
@@ -200,6 +200,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     size = rows.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = FileWriter(bits)
         end = end_id.to_bytes(4, "little")
@@ -243,6 +244,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         if current:
             yield current[0], name, current[1], n, crc
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
@@ -262,8 +264,10 @@ def global_places(read: DataFrame) -> DataFrame:
     """Adds ``start``: the number of ids in all documents before, over all files."""
     read = saved(read, "token-index")
     totals = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # One row for each file: a running sum over far fewer rows than documents.
-    before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    # One row for each file: a running sum over far fewer rows than documents.  Numbers in names
+    # have five digits and more beyond, so as text they would not be in order.
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = totals.select("file", (F.sum("n").over(Window.orderBy(number, "file")) - F.col("n")).alias("before"))
     return read.join(before, "file").withColumn("start", F.col("before") + F.col("place"))
 
 

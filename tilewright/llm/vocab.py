@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 #: Rank of what never merges.
 NEVER = 1 << 60
@@ -130,16 +131,13 @@ def split_special(texts: list[str], specials: dict[str, int]) -> tuple[list[str]
     """
     segments: list[str] = []
     after: list[tuple[int, int]] = []
+    mark = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True))))
     for k, text in enumerate(texts):
-        rest = text
-        while True:
-            found = [(at, -len(s), s) for s in specials if (at := rest.find(s)) >= 0]
-            if not found:
-                break
-            at, _, s = min(found)
-            segments.append(rest[:at])
-            after.append((k, specials[s]))
-            rest = rest[at + len(s) :]
-        segments.append(rest)
+        at = 0
+        for found in mark.finditer(text):
+            segments.append(text[at : found.start()])
+            after.append((k, specials[found[0]]))
+            at = found.end()
+        segments.append(text[at:])
         after.append((k, -1))
     return segments, after
