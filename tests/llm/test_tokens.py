@@ -131,3 +131,16 @@ def test_files_hold_ids_in_the_fewest_bits(spark, small, library):
     total = sum(len(ids_of(library, r["text"])) + 1 for r in rows_of(small))
     size = sum(r.length for r in spark.read.format("binaryFile").load(path).select("length").collect())
     assert 2 * total <= size < 2 * total + 13 * 200 + 100 * 40
+
+
+def test_files_are_in_the_order_of_their_numbers(spark):
+    rows = [(k, f"part-{n}-x.txt", 0, 10 * k + 1, 0) for k, n in enumerate(("00007", "99999", "100000", "100001"))]
+    read = spark.createDataFrame(rows, "doc_id long, file string, place long, n_tokens long, ids_crc32 long")
+    assert {r.doc_id: r.start for r in token_files.global_places(read).collect()} == {0: 0, 1: 1, 2: 12, 3: 33}
+
+
+def test_long_pieces_are_counted_by_chunk_maps():
+    rng = random.Random(1)
+    texts = ["x" * 5000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)), "ab" * 900, "é" * 700, "-" * 600 + "=" * 333, "".join(rng.choice("ACGT") for _ in range(3000)), "abc" * 70 + " x", "", "a" * 97, "b" * 160]
+    library = Tokenizer.from_file(PATH)
+    assert token_counts.count_texts(texts, PATH).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]

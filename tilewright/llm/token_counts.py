@@ -30,13 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab as vocabs
-from .common import table, text_column, text_steps
+from .common import frees, table, text_column, text_steps
 from .pretokens import pieces
 
 #: States after which the tables start anew (they are a cache; results do not depend on it).
 MAX_STATES = 120_000
-#: Bytes of a piece that step in numpy; the rest of longer pieces steps one by one.
-TOGETHER = 96
+#: Bytes of pieces between two looks at that bound.
+SLICE = 262_144
+#: Bytes of a piece that step beside other pieces; the rest of longer pieces is cut into chunks.
+TOGETHER, CHUNK = 96, 64
+#: How far before a chunk the states of its domain begin.
+BACK = np.array([64, 61, 47, 32])
 
 
 class Counter:
@@ -127,8 +131,17 @@ class Counter:
 
     def counts(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of tokens in each piece of ``data``."""
-        if len(self.states) > MAX_STATES:
-            self._clear()
+        out, at = np.zeros(len(starts), dtype=np.int64), 0
+        reach = np.cumsum(ends - starts)
+        while at < len(starts):  # the bound on states holds between slices
+            if len(self.states) > MAX_STATES:
+                self._clear()
+            to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + SLICE, side="right")))
+            out[at:to] = self._slice(data, starts[at:to], ends[at:to])
+            at = to
+        return out
+
+    def _slice(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = np.frombuffer(data, dtype=np.uint8)
         lengths = ends - starts
         order = np.argsort(-lengths, kind="stable")
@@ -141,20 +154,67 @@ class Counter:
         for p, live in enumerate(reach.tolist()):
             state[:live], change = self._step(state[:live], raw[at[:live] + p])
             total[:live] += change
-        for i in range(int(np.searchsorted(-lengths, -TOGETHER, side="left"))):
-            s, n = int(state[i]), 0
-            for b in data[at[i] + TOGETHER : at[i] + lengths[i]]:
-                t = self.to[s, b]
-                if t < 0:
-                    self._compile(s, b)
-                    t = self.to[s, b]
-                n += int(self.add[s, b])
-                s = int(t)
-            total[i] += n
+        long = int(np.searchsorted(-lengths, -TOGETHER, side="left"))
+        if long:
+            total[:long] += self._chunked(raw, at[:long] + TOGETHER, at[:long] + lengths[:long], state[:long])
         out = np.empty_like(total)
         out[order] = total
         return out
 
+    def _run(self, raw: np.ndarray, begins: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of bytes take their states, and the tokens they add."""
+        state, total = state.copy(), np.zeros(len(state), dtype=np.int64)
+        for p in range(int(lengths.max(initial=0))):
+            live = np.flatnonzero(lengths > p)
+            state[live], change = self._step(state[live], raw[begins[live] + p])
+            total[live] += change
+        return state, total
+
+    def _chunked(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The tokens that the rests of long pieces add, each from its state.
+
+        The rests are cut into chunks.  A chunk's map takes each state of its domain to an end
+        state and a count.  The domain is where the start state gets over the bytes before the
+        chunk, from ``len(BACK)`` places: the machine forgets its past within a few tokens.  The maps
+        compose in a prefix scan; a chunk whose true state lies outside its domain is run on its own.
+        """
+        chunks = -(-(ends - begins) // CHUNK)
+        piece = np.repeat(np.arange(len(begins)), chunks)
+        last = np.cumsum(chunks) - 1
+        first = last - chunks + 1
+        at = begins[piece] + (np.arange(len(piece)) - first[piece]) * CHUNK
+        size = np.minimum(CHUNK, ends[piece] - at)
+        width = len(BACK)
+        back = np.tile(BACK, len(at))
+        domain, _ = self._run(raw, np.repeat(at, width) - back, back, np.zeros(len(back), dtype=np.int32))
+        domain = domain.reshape(-1, width)
+        domain[first] = state[:, None]
+        end, count = self._run(raw, np.repeat(at, width), np.repeat(size, width), domain.ravel())
+        end, count = end.reshape(-1, width), count.reshape(-1, width)
+        # The place of each end state in the next chunk's domain; ``width`` if it has none.
+        maps = np.full((len(at), width + 1), width, dtype=np.intp)
+        same = end[:-1, :, None] == domain[1:, None, :]
+        maps[:-1, :width] = np.where(same.any(2), same.argmax(2), width)
+        maps[last] = 0  # the next piece starts from its own state
+        gap = 1
+        while gap < len(maps):
+            maps[gap:] = np.take_along_axis(maps[gap:], maps[:-gap], axis=1)
+            gap *= 2
+        place = np.append(0, maps[:-1, 0])
+        known = place < width
+        each = np.where(known, count[np.arange(len(at)), np.minimum(place, width - 1)], 0)
+        for k in np.unique(piece[~known]).tolist():  # from the first unknown state on, chunk by chunk
+            c = first[k] + int(np.argmax(~known[first[k] : last[k] + 1]))
+            now = end[c - 1, place[c - 1]]
+            for c in range(c, last[k] + 1):
+                found = np.flatnonzero(domain[c] == now)
+                if len(found):
+                    now, each[c] = end[c, found[0]], count[c, found[0]]
+                else:
+                    after, n = self._run(raw, at[c : c + 1], size[c : c + 1], np.array([now], dtype=np.int32))
+                    now, each[c] = after[0], n[0]
+        return np.bincount(piece, weights=each, minlength=len(begins)).astype(np.int64)
+
 
 @functools.cache
 def counter(path: str) -> Counter:
@@ -183,6 +243,7 @@ def count_texts(texts: list[str], path: str) -> np.ndarray:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, UTF-8 bytes, tokens, and whether they exceed ``limit``."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_steps(batches):
             yield pa.RecordBatch.from_arrays(
