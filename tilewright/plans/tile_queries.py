@@ -156,8 +156,8 @@ PATHS_SQL = """paths AS (SELECT p_partkey, 'd' || p_partkey % 5 || '/' || CASE p
 def _suppress_sql(score: str, most: float) -> str:
     size = lambda t: f"({t}.x2 - {t}.x1)::DOUBLE * ({t}.y2 - {t}.y1)"
     common = "(least(a.x2, b.x2) - greatest(a.x1, b.x1))::DOUBLE * (least(a.y2, b.y2) - greatest(a.y1, b.y1))"
-    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {score} DESC, id) AS r FROM box),
-      worse AS (SELECT a.grp, a.r, list(b.id) AS better FROM ranked a JOIN ranked b ON a.grp = b.grp AND b.r < a.r AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {common} > {most} * ({size('a')} + {size('b')} - {common}) GROUP BY 1, 2),
+    return f"""ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {score} DESC, id) AS r FROM box),
+      worse AS MATERIALIZED (SELECT a.grp, a.r, list(b.id) AS better FROM ranked a JOIN ranked b ON a.grp = b.grp AND b.r < a.r AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {common} > {most} * ({size('a')} + {size('b')} - {common}) GROUP BY 1, 2),
       steps(grp, r, kept) AS (SELECT DISTINCT grp, 0::BIGINT, []::BIGINT[] FROM box UNION ALL SELECT s.grp, s.r + 1, CASE WHEN w.better IS NOT NULL AND list_has_any(s.kept, w.better) THEN s.kept ELSE list_append(s.kept, b.id) END
         FROM steps s JOIN ranked b ON b.grp = s.grp AND b.r = s.r + 1 LEFT JOIN worse w ON w.grp = s.grp AND w.r = s.r + 1)
       SELECT grp, unnest(kept) AS id FROM (SELECT grp, arg_max(kept, r) AS kept FROM steps GROUP BY 1)"""
