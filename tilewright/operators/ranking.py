@@ -48,9 +48,16 @@ def without_ends(frames: DataFrame, by: list[str]) -> DataFrame:
     return frames.withColumn("_a", F.expr(f"min(frame) OVER (PARTITION BY {keys})")).withColumn("_z", F.expr(f"max(frame) OVER (PARTITION BY {keys})")).where("frame > _a AND frame < _z").drop("_a", "_z")
 
 
-def look_back(frames: DataFrame, n: int, stride: int) -> DataFrame:
-    """For each frame the memory frames that exist: the last one, and ``n - 2`` at multiples of ``stride`` before it."""
-    offsets = F.explode(F.array(*(F.struct(F.lit(k).alias("pos"), (F.col("frame") - 1 if k == 1 else F.floor((F.col("frame") - 2) / stride) * stride - (k - 2) * stride).alias("memory")) for k in range(1, n))))
+def look_back(frames: DataFrame, n: int, stride: int, reverse: bool = False) -> DataFrame:
+    """For each frame the memory frames that exist: the last one, and ``n - 2`` at multiples of ``stride`` before it.
+
+    With ``reverse`` frames are tracked from the last to the first, and the memory lies after them.
+    """
+    if reverse:
+        place = lambda k: F.col("frame") + 1 if k == 1 else F.ceil((F.col("frame") + 2) / stride) * stride + (k - 2) * stride
+    else:
+        place = lambda k: F.col("frame") - 1 if k == 1 else F.floor((F.col("frame") - 2) / stride) * stride - (k - 2) * stride
+    offsets = F.explode(F.array(*(F.struct(F.lit(k).alias("pos"), place(k).alias("memory")) for k in range(1, n))))
     wanted = frames.select("video", "frame", offsets.alias("m")).select("video", "frame", "m.*")
     there = frames.select("video", F.col("frame").alias("memory"), F.col("value").alias("memory_value"))
     return wanted.where("memory >= 0").join(there, ["video", "memory"])

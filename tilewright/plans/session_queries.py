@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation
 from ..operators.graph import cut
 from ..sources import derived
-from ..streaming import prompts
+from ..streaming import prompts, tracking
 
 
 def final_state(spark, sf):
@@ -75,6 +75,30 @@ def strict_match(spark, sf):
     return a.join(b, ["video", "object"], "full").select("video", "object", F.coalesce("truth", F.lit(False)).alias("truth"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def messages(spark, sf):
+    """Messages of tracking streams: views are frames, clicks prompts or requests, and so on."""
+    e, whole = derived.read(spark, sf, "events"), F.floor(F.col("value") * 100).cast("long")
+    kind = (
+        F.when(F.col("event_type") == "view", "frame")
+        .when(F.col("event_type") == "click", F.when(whole % 2 == 0, "stream").otherwise("frame"))
+        .when(F.col("event_type") == "purchase", F.when(whole % 3 == 0, "prompt").otherwise("abort"))
+        .when(F.col("event_type") == "signup", F.when(whole % 4 == 0, "end").otherwise("cancelled"))
+        .otherwise(F.when(whole % 5 == 0, "open").when(whole % 5 == 1, "clear").otherwise("end"))
+    )
+    return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("at"), kind.alias("kind"), (whole % 50).alias("frame"), "ts")
+
+
+EMPTY = "P1"
+
+
+def latest_masks(spark, sf):
+    """The last mask of each session, object and frame; some are empty, some dropped."""
+    e, whole = derived.read(spark, sf, "events"), F.floor(F.col("value") * 100).cast("long")
+    code = F.when(whole % 7 == 0, F.lit(None)).when(whole % 5 == 0, EMPTY).otherwise(F.concat(F.lit("c"), whole.cast("string")))
+    rows = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("at"), (whole % 3).alias("object"), (whole % 10).alias("frame"), code.alias("code"))
+    return tracking.latest(rows, EMPTY, ["at"])
+
+
 REQUESTS = """req AS (SELECT user_id AS session, event_id AS at_, CASE WHEN event_type = 'view' THEN 'mask' WHEN event_type IN ('click', 'purchase') THEN 'points' WHEN event_type = 'signup' THEN 'clear' WHEN value > 100 THEN 'reset' ELSE 'remove' END AS action,
   CAST(floor(floor(value * 100) / 7) AS BIGINT) % 4 AS obj, CAST(floor(value * 100) AS BIGINT) % 3 AS frame FROM events)"""
 
@@ -102,7 +126,26 @@ m AS (SELECT keys.*, coalesce(iou, 1) AS iou, CASE WHEN n_p IS NULL THEN 1.0 WHE
   FROM keys LEFT JOIN u USING (video, frame, object) LEFT JOIN nt USING (video, frame, object) LEFT JOIN np USING (video, frame, object) LEFT JOIN hp USING (video, frame, object) LEFT JOIN ht USING (video, frame, object)),
 per AS (SELECT video, object, 100 * avg(round(iou, 6)) AS j, 100 * avg(round(CASE WHEN prec + rec = 0 THEN 0 ELSE 2 * prec * rec / (prec + rec) END, 6)) AS f FROM m GROUP BY 1, 2)"""
 
+STREAM_SQL = """WITH m AS (
+  SELECT user_id AS session, event_id AS at_, w % 50 AS frame, CASE event_type WHEN 'view' THEN 'frame' WHEN 'click' THEN CASE WHEN w % 2 = 0 THEN 'stream' ELSE 'frame' END
+    WHEN 'purchase' THEN CASE WHEN w % 3 = 0 THEN 'prompt' ELSE 'abort' END WHEN 'signup' THEN CASE WHEN w % 4 = 0 THEN 'end' ELSE 'cancelled' END
+    ELSE CASE w % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'clear' ELSE 'end' END END AS kind
+  FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) AS w FROM events)
+), r AS (SELECT *, (SELECT max(p.at_) FROM m p WHERE p.session = m.session AND p.at_ <= m.at_ AND p.kind IN ('stream', 'open')) AS began FROM m
+), b AS (SELECT r.*, k.kind = 'stream' AS is_run FROM r LEFT JOIN m k ON k.session = r.session AND k.at_ = r.began
+), e AS (SELECT *, (SELECT min(q.at_) FROM m q WHERE q.session = b.session AND q.at_ > b.began AND q.kind = 'end') AS next_end FROM b
+), a AS (SELECT *, (SELECT min(q.at_) FROM r q WHERE q.session = e.session AND q.began = e.began AND q.kind = 'abort' AND (next_end IS NULL OR q.at_ < next_end)) AS abort_at FROM e
+), c AS (SELECT *, (SELECT min(q.at_) FROM r q WHERE q.session = a.session AND q.began = a.began AND (q.kind = 'end' OR q.kind = 'cancelled' AND q.at_ > abort_at)) AS stop_at FROM a
+), n AS (SELECT session, at_, kind, frame, CASE WHEN kind IN ('open', 'clear') THEN 'none' WHEN kind = 'prompt' THEN 'required' WHEN kind = 'stream' THEN 'requesting' WHEN NOT coalesce(is_run, false) THEN NULL
+    WHEN kind = 'frame' AND NOT coalesce(at_ > abort_at, false) AND NOT coalesce(at_ > stop_at, false) THEN 'partial' WHEN kind = 'abort' AND at_ = abort_at THEN 'aborting'
+    WHEN at_ = stop_at THEN CASE WHEN abort_at IS NOT NULL THEN 'aborted' ELSE 'full' END END AS new FROM c
+), s AS (SELECT *, coalesce(lag(new) OVER (PARTITION BY session ORDER BY at_), 'none') AS before FROM n WHERE new IS NOT NULL)
+SELECT session, at_ AS at, 'state' AS what, new AS state, NULL::BIGINT AS frame FROM s WHERE kind = 'open' OR new <> before UNION ALL SELECT session, at_, 'frame', NULL, frame FROM s WHERE new = 'partial'"""
+
 QUERIES = {
+    "Z09_Z12_stream_states": (lambda s, f: tracking.delivered(messages(s, f)), STREAM_SQL),
+    "Z11_latest_masks": (latest_masks, """WITH m AS (SELECT user_id AS session, event_id AS at_, w % 3 AS object, w % 10 AS frame, CASE WHEN w % 7 = 0 THEN NULL WHEN w % 5 = 0 THEN 'P1' ELSE 'c' || w END AS code FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) AS w FROM events))
+        SELECT session, object, frame, at_ AS at, code, code = 'P1' AS is_empty FROM (SELECT *, row_number() OVER (PARTITION BY session, object, frame ORDER BY at_ DESC) AS k FROM m) WHERE k = 1 AND code IS NOT NULL"""),
     "Z02_Z06_prompt_sessions": (final_state, "WITH " + REQUESTS + """, m AS (SELECT q.*, (SELECT coalesce(max(at_), -1) FROM req r WHERE r.session = q.session AND (r.action = 'reset' OR r.action = 'remove' AND r.obj = q.obj OR r.action = 'clear' AND r.obj = q.obj AND r.frame = q.frame)) AS cut FROM (SELECT DISTINCT session, obj, frame FROM req) q),
         n AS (SELECT session, obj, frame, cut, max(at_) FILTER (action = 'mask' AND at_ > cut) AS mask_at FROM m JOIN req USING (session, obj, frame) GROUP BY 1, 2, 3, 4),
         p AS (SELECT session, obj, frame, mask_at, count(*) FILTER (action = 'points' AND at_ > greatest(cut, coalesce(mask_at, -1))) AS n_points FROM n JOIN req USING (session, obj, frame) GROUP BY 1, 2, 3, 4)

@@ -112,6 +112,7 @@ QUERIES = {
     "W07_seen_so_far": (simple(ranking.seen_so_far), FR + " SELECT e.video, e.frame, o.object FROM frames e JOIN (SELECT video, object, min(frame) AS f FROM frames GROUP BY 1, 2) o ON o.video = e.video AND o.f <= e.frame"),
     "W08_without_ends": (lambda s, f: ranking.without_ends(fr(s, f), V).select("video", "frame", "object"), FR + " SELECT video, frame, object FROM (SELECT *, min(frame) OVER (PARTITION BY video) AS a, max(frame) OVER (PARTITION BY video) AS z FROM frames) WHERE frame > a AND frame < z"),
     "W09_look_back": (lambda s, f: ranking.look_back(fr(s, f), 7, 3), FR + ", w AS (SELECT video, frame, k::INT AS pos, (CASE WHEN k = 1 THEN frame - 1 ELSE floor((frame - 2) / 3) * 3 - (k - 2) * 3 END)::BIGINT AS memory FROM frames, range(1, 7) r(k)) SELECT w.video, w.frame, w.pos, w.memory, m.value AS memory_value FROM w JOIN frames m ON m.video = w.video AND m.frame = w.memory WHERE w.memory >= 0"),
+    "W09_Z13_look_back_reverse": (lambda s, f: ranking.look_back(fr(s, f), 7, 3, reverse=True), FR + ", w AS (SELECT video, frame, k::INT AS pos, (CASE WHEN k = 1 THEN frame + 1 ELSE ceil((frame + 2) / 3) * 3 + (k - 2) * 3 END)::BIGINT AS memory FROM frames, range(1, 7) r(k)) SELECT w.video, w.frame, w.pos, w.memory, m.value AS memory_value FROM w JOIN frames m ON m.video = w.video AND m.frame = w.memory"),
     "J11_nearest_frames": (lambda s, f: ranking.nearest_frames(fr(s, f), fr(s, f).where("object = 'click' AND value > 40"), 4), FR + ", p AS (SELECT a.video, a.frame, b.frame AS mark, b.frame < a.frame AS before FROM frames a JOIN frames b ON a.video = b.video WHERE b.object = 'click' AND b.value > 40), s AS (SELECT *, row_number() OVER (PARTITION BY video, frame, before ORDER BY abs(mark - frame), mark) AS sp FROM p), t AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY CASE WHEN sp = 1 AND before THEN 0 WHEN sp = 1 THEN 1 ELSE 2 END, abs(mark - frame), mark) AS place FROM s) SELECT video, frame, mark, place::INT AS place FROM t WHERE place <= 4"),
     "J12_fallback": (q_fallback, FR + " SELECT video, frame, CASE WHEN object = 'click' THEN 0 WHEN value > 30 THEN 1 ELSE 2 END::INT AS source, value FROM frames"),
     "J13_dense_ids": (lambda s, f: ranking.dense_ids(fr(s, f).where("frame > 3"), "video", "object"), FR + " SELECT video, object, dense_rank() OVER (PARTITION BY video ORDER BY object) - 1 AS idx FROM (SELECT DISTINCT video, object FROM frames WHERE frame > 3)"),
