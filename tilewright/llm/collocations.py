@@ -2,12 +2,12 @@
 
 Pass k reads all texts once and counts phrases of k words within pieces.  From the
 second pass on, a task counts a phrase only when both phrases of k - 1 words in it
-are frequent, which it looks up in a broadcast of their 64-bit hashes; beyond
+are frequent, which it looks up in a broadcast of their hashes; beyond
 ``MAX_BROADCAST`` of them the broadcast is a bit map of fixed size, which lets some
-more phrases through.  Either way the counts that Spark sums are keyed by language and
-phrase and are exact, and a phrase frequent enough is always counted whole, so the
-result does not depend on it.  (Within one step of a task, a few megabytes of text, phrases are told
-apart by 64-bit hashes.)
+more phrases through.  These passes count by hash, which never misses a frequent
+phrase, since phrases that share a hash can only raise a count.  A last pass counts the phrases of all
+levels found so, spelled out and keyed by language and phrase, so the level tables are
+exact.  (Within one step of a task, a few megabytes of text, phrases are told apart by 64-bit hashes.)
 
 A candidate's cuts are scored from the level tables alone, as every part of a
 frequent phrase is frequent.  A longer candidate that makes a candidate superfluous
@@ -35,6 +35,9 @@ from .common import frees, mix64, range_hashes, saved, table, text_steps
 LEAST, LONGEST, BEST = 100, 5, 2000
 #: Hashes of frequent phrases that are broadcast at most, and the size of the bit map beyond (16 MB).
 MAX_BROADCAST, MAP_BITS = 2_000_000, 1 << 27
+#: Bits of the hashes that levels are counted by.  Few bytes are shuffled for each of the many rare phrases;
+#: phrases that share a hash only let some more through, which the exact counts then drop.
+HASH_BITS = 40
 #: Rows of level tables that are broadcast at most; larger ones are joined with salted keys.
 MAX_LOOKUP, SALTS = 200_000, 8
 #: Bytes of text that a task counts at a time.
@@ -73,9 +76,9 @@ class Words:
 
 
 def in_lang(hashes: np.ndarray, lang: str) -> np.ndarray:
-    """The hashes of phrases as those of one language."""
+    """The hashes of phrases as those of one language, of HASH_BITS."""
     seed = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
-    return mix64(hashes ^ np.uint64(seed))
+    return mix64(hashes ^ np.uint64(seed)) >> np.uint64(64 - HASH_BITS)
 
 
 class Sorted:
@@ -102,12 +105,11 @@ class BitMap:
         return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def frequent(level: DataFrame) -> Callable[[np.ndarray], np.ndarray] | None:
-    """What tells the phrases of a level table by their hashes; None for an empty level."""
-    grams = level.where("phrase IS NOT NULL").select("gram")
+def frequent(grams: DataFrame) -> Callable[[np.ndarray], np.ndarray] | None:
+    """What tells the hashes in column ``gram``; None if there are none."""
     n = grams.count()
     if n <= MAX_BROADCAST:
-        return Sorted(grams.toPandas()["gram"].to_numpy(np.int64).view(np.uint64)) if n else None
+        return Sorted(grams.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)) if n else None
     place = F.col("gram").bitwiseAND(F.lit(MAP_BITS - 1))
     words = grams.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(gram & 63))")).alias("bits")).toPandas()  # at most MAP_BITS / 64 rows
     dense = np.zeros(MAP_BITS // 64, dtype=np.uint64)
@@ -115,30 +117,8 @@ def frequent(level: DataFrame) -> Callable[[np.ndarray], np.ndarray] | None:
     return BitMap(dense)
 
 
-def counted(docs: DataFrame, k: int, known: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """lang, phrase, gram (the phrase's hash), n: phrases of ``k`` words; for ``k`` = 1 also each language's words (null phrase).
-
-    ``known`` tells the hashes of frequent phrases of k - 1 words.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(known)
-
-    def of(lang: str, words: Words) -> Iterator[pa.RecordBatch]:
-        if k == 1:
-            at = np.arange(len(words.starts))
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([len(at)])], names=["lang", "phrase", "gram", "n"])
-        else:
-            at = np.flatnonzero(words.whole(k - 1))
-            fits = np.zeros(len(words.starts) + 1, dtype=bool)
-            fits[at] = held.value(in_lang(words.hashes(k - 1, at), lang))
-            n = max(len(words.starts) - k + 1, 0)
-            at = np.flatnonzero(fits[:n] & fits[1 : n + 1] & words.whole(k))
-        grams, first, times = np.unique(words.hashes(k, at), return_index=True, return_counts=True)
-        for begin in range(0, len(grams), 50_000):
-            part = slice(begin, begin + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams[part])), words.phrases(k, at[first[part]]), pa.array(in_lang(grams[part], lang).view(np.int64)), pa.array(times[part].astype(np.int64))],
-                names=["lang", "phrase", "gram", "n"],
-            )
+def _in_tasks(docs: DataFrame, of: Callable[[str, Words], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
+    """What ``of`` makes of the words of some megabytes of text of one language at a time."""
 
     @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +136,75 @@ def counted(docs: DataFrame, k: int, known: Callable[[np.ndarray], np.ndarray] |
             yield from of(lang, Words(some))
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "lang string, phrase string, gram long, n long").groupBy("lang", "phrase").agg(F.min("gram").alias("gram"), F.sum("n").alias("n"))
+    return rows.mapInArrow(run, fields)
 
 
-def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> list[DataFrame]:
-    """The level tables: frequent phrases of 1, 2, ... words, up to the last level that has any."""
-    out, known = [], None
-    for k in range(1, longest + 1):
-        level = saved(counted(docs, k, known).where((F.col("n") >= least) | F.col("phrase").isNull()), f"level{k}")
-        known = frequent(level)
-        if known is None and k > 1:
-            break
-        out.append(level)
+def _spelled(lang: str, words: Words, k: int, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """lang, k, phrase, gram, n of the phrases that begin at these words."""
+    grams, first, times = np.unique(words.hashes(k, at), return_index=True, return_counts=True)
+    for begin in range(0, len(grams), 50_000):
+        part = slice(begin, begin + 50_000)
+        size = len(grams[part])
+        columns = [pa.array([lang] * size), pa.array(np.full(size, k, dtype=np.int32)), words.phrases(k, at[first[part]]), pa.array(in_lang(grams[part], lang).view(np.int64)), pa.array(times[part].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "gram", "n"])
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """lang, phrase, gram, n of every word, and each language's words in all (null phrase)."""
+
+    def of(lang: str, words: Words) -> Iterator[pa.RecordBatch]:
+        n = len(words.starts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([1], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([n])], names=["lang", "k", "phrase", "gram", "n"])
+        yield from _spelled(lang, words, 1, np.arange(n))
+
+    rows = _in_tasks(docs, of, "lang string, k int, phrase string, gram long, n long")
+    return rows.groupBy("lang", "phrase").agg(F.min("gram").alias("gram"), F.sum("n").alias("n"))
+
+
+def counted(docs: DataFrame, k: int, known: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """gram, n: phrases of ``k`` words both of whose parts of k - 1 words ``known`` tells, by hash alone."""
+    held = docs.sparkSession.sparkContext.broadcast(known)
+
+    def of(lang: str, words: Words) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(words.whole(k - 1))
+        fits = np.zeros(len(words.starts) + 1, dtype=bool)
+        fits[at] = held.value(in_lang(words.hashes(k - 1, at), lang))
+        n = max(len(words.starts) - k + 1, 0)
+        at = np.flatnonzero(fits[:n] & fits[1 : n + 1] & words.whole(k))
+        grams, times = np.unique(in_lang(words.hashes(k, at), lang), return_counts=True)
+        for begin in range(0, len(grams), 100_000):
+            part = slice(begin, begin + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[part].view(np.int64)), pa.array(times[part].astype(np.int64))], names=["gram", "n"])
+
+    return _in_tasks(docs, of, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def spelled(docs: DataFrame, sets: dict[int, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """lang, k, phrase, n: exact counts of the phrases whose hashes the level's set tells."""
+    held = docs.sparkSession.sparkContext.broadcast(sets)
+
+    def of(lang: str, words: Words) -> Iterator[pa.RecordBatch]:
+        for k, known in held.value.items():
+            at = np.flatnonzero(words.whole(k))
+            yield from _spelled(lang, words, k, at[known(in_lang(words.hashes(k, at), lang))])
+
+    return _in_tasks(docs, of, "lang string, k int, phrase string, gram long, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+
+
+def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """The level tables in one (lang, k, phrase, n: frequent phrases, with exact counts), and each language's words in all."""
+    words = saved(counted_words(docs).where((F.col("n") >= least) | F.col("phrase").isNull()), "level1")
+    grams = words.where("phrase IS NOT NULL")
+    totals = words.where("phrase IS NULL").select("lang", "n")
+    known, sets = frequent(grams), {}
+    for k in range(2, longest + 1):
         if known is None:
             break
-    return out
+        known = frequent(saved(counted(docs, k, known).where(F.col("n") >= least), f"level{k}"))
+        if known is not None:
+            sets[k] = known
+    one = grams.select("lang", F.lit(1).alias("k"), "phrase", "n")
+    return (one.unionByName(saved(spelled(docs, sets).where(F.col("n") >= least), "levels")) if sets else one), totals
 
 
 def _looked_up(cuts: DataFrame, grams: DataFrame, n_grams: int, part: str, name: str) -> DataFrame:
@@ -188,11 +222,8 @@ def _looked_up(cuts: DataFrame, grams: DataFrame, n_grams: int, part: str, name:
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``best`` phrases by their weakest cut."""
-    tables = levels(docs, least, longest)
-    totals = tables[0].where("phrase IS NULL").select(F.col("lang").alias("t_lang"), F.col("n").alias("n"))
-    grams = tables[0].where("phrase IS NOT NULL").select("lang", "phrase", "n", F.lit(1).alias("k"))
-    for k, level in enumerate(tables[1:], start=2):
-        grams = grams.unionByName(level.select("lang", "phrase", "n", F.lit(k).alias("k")))
+    grams, totals = levels(docs, least, longest)
+    totals = totals.select(F.col("lang").alias("t_lang"), "n")
     n_grams = grams.count()
     candidates = grams.where("k > 1").select("lang", "phrase", F.col("n").alias("a"), "k", F.split("phrase", " ").alias("words"))
 
