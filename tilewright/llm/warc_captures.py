@@ -22,9 +22,14 @@ of its own, repeated rows and rows without an id too.  Of equal payloads the row
 with the largest id (null is least) are responses, the others revisit one of them;
 without any id all are responses.  An empty table gives an empty archive and no captures.
 
-Archive files take about ``FILE_BYTES`` of records; a task of the reader holds one
-file, and Spark's reader of whole files ends at 2 GB, so larger archives have to be
-cut before.
+Archive files take about ``FILE_BYTES`` of records: pages are written by classes of
+size, each a factor 16 wide, and the records of a file follow from its class's mean, so a file
+stays below 1 GB whatever its pages.  A task of the reader holds one file, and Spark's reader
+of whole files ends at 2 GB, so larger archives of others have to be cut before.
+
+A record's id follows from the page and from a number of the row that no other record needs to know.  Only
+responses that revisits refer to are named by page, URL and payload alone; if
+such a row is there several times, its copies are numbered instead of the rows.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frees, saved, scratch, table
@@ -47,6 +52,8 @@ LEAST_REVISIT = 1000
 FILE_BYTES, CHUNK = 64_000_000, 16_384
 #: Repeated payloads that are broadcast at most (a digest and two numbers each).
 MAX_BROADCAST = 200_000
+#: Sizes at which classes of pages end.
+CLASSES = (1 << 16, 1 << 20, 1 << 24)
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,27 +81,47 @@ def write_captures(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
         # white space and control characters have no place in a header
         F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
-    ).withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html"), "row": F.monotonically_increasing_id()})
+    ).withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
     # The response of each repeated payload.  Only digests are shuffled here, summed in the scan's
     # tasks first; a payload that a third of all pages share is one row afterwards.
-    seen = Observation()
-    first = pages.observe(seen, F.count("*").alias("n"), F.sum("size").alias("bytes")).where(F.col("size") >= least_revisit)
-    first = first.groupBy(F.col("sha1").alias("first_sha1")).agg(F.max(F.struct("page_id", "row")).alias("top"), F.count("*").alias("times"))
-    first = saved(first.where("times > 1 AND top.page_id IS NOT NULL").select("first_sha1", F.col("top.page_id").alias("response_page"), F.col("top.row").alias("response_row")), "repeated-payloads")
-    each = (seen.get["bytes"] or 0) // max(1, seen.get["n"]) + 1500
+    bounds = [0, *CLASSES, 1 << 40]
+    of_class = [(F.col("size") >= low) & (F.col("size") < high) for low, high in zip(bounds, bounds[1:])]
+    sums = [x for k, c in enumerate(of_class) for x in (F.count_if(c).alias(f"n{k}"), F.sum(F.when(c, F.col("size"))).alias(f"bytes{k}"))]
+    seen = pages.agg(*sums).first()
+    each = pages.where(F.col("size") >= least_revisit).groupBy(F.col("sha1").alias("first_sha1"), "page_id", "url").agg(F.count("*").alias("copies"))
+    first = each.groupBy("first_sha1").agg(F.max_by(F.struct("page_id", "url", "copies"), F.struct("page_id", "url")).alias("top"), F.sum("copies").alias("times"))
+    first = first.where("times > 1 AND top.page_id IS NOT NULL").select("first_sha1", F.col("top.page_id").alias("response_page"), F.col("top.url").alias("response_url"), F.col("top.copies").alias("response_copies"))
+    first = saved(first, "repeated-payloads")
+    copied = not first.where("response_copies > 1").isEmpty()
     # Whole pages travel only where the repeated digests are too many to be sent to them.
     first = F.broadcast(first) if first.count() <= MAX_BROADCAST else first
     rows = pages.join(first, (F.col("sha1") == F.col("first_sha1")) & (F.col("size") >= least_revisit), "left")
+    named = F.coalesce((F.col("page_id") == F.col("response_page")) & F.col("url").eqNullSafe(F.col("response_url")), F.lit(False))
+    rows = rows.withColumn("row", F.when(named, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1).cast("long"))
+    if copied:  # equal rows: one is taken, and made again as often as there were
+        several = F.coalesce(named & (F.col("response_copies") > 1), F.lit(False))
+        again = rows.where(several).groupBy("page_id", "url", "sha1", "size", "first_sha1", "response_page", "response_url", "response_copies").agg(F.first("html").alias("html"))
+        again = again.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("response_copies") - 1)))
+        rows = rows.where(~several).unionByName(again)
+    numbers = [seen[f"n{k}"] for k in range(len(of_class))]
+    for k, (c, n) in enumerate(zip(of_class, numbers)):
+        if n or k == 0:  # an empty table gives an empty archive
+            _write_records(rows if n == sum(numbers) else rows.where(c), path, max(1, FILE_BYTES // ((seen[f"bytes{k}"] or 0) // max(n, 1) + 1500)))
+
+
+def _write_records(rows: DataFrame, path: str, most: int) -> None:
+    """Adds the records of these rows to the archives at ``path``, at most ``most`` pages to a file."""
     revisit = F.col("response_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_page"))
     digest = F.concat(F.lit("sha1:"), F.col("sha1"))
     uri, page = F.col("url"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    response_id = _record_id("response", F.col("row"), F.col("page_id"), F.col("sha1"))
+    key = (F.col("row"), F.col("page_id"), F.col("url"), F.col("sha1"))
+    response_id = _record_id("response", *key)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri)]
     host = F.regexp_extract(F.coalesce(uri, F.lit("")), r"://([^/?#]*)", 1)
     place = F.regexp_extract(F.coalesce(uri, F.lit("")), r"://[^/?#]*([^#]*)", 1)
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", F.col("row"), F.col("page_id"), F.col("sha1"))), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", *key)), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.when(place == "", "/").otherwise(place), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")),
     )
     response = _record(
@@ -104,20 +131,21 @@ def write_captures(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
             *common,
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", F.when(revisit, PROFILE)),
-            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("response_row"), F.col("response_page"), F.col("sha1")))),
+            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.lit(0), F.col("response_page"), F.col("response_url"), F.col("sha1")))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", F.col("row"), F.col("page_id"), F.col("sha1"))), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", *key)), *common, ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page-id: "), page, F.lit("\r\n")),
     )
     (
         rows.select(F.concat_ws(END, request, response, metadata).alias("value"))
         .write.option("lineSep", END)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", max(1, FILE_BYTES // each))
+        .option("maxRecordsPerFile", most)
+        .mode("append")
         .text(path)
     )
 
