@@ -60,6 +60,25 @@ def losses(values: DataFrame, of: list[str]) -> DataFrame:
     return values.groupBy(*of).agg(F.round(dice, 6).alias("dice"), F.round(F.avg(focal), 6).alias("focal"))
 
 
+def candidate_losses(values: DataFrame, ious: DataFrame, of: list[str], weights: dict[str, float]) -> DataFrame:
+    """Of several predictions of a mask (``candidate``) the one whose weighted focal and dice loss is least, the first on ties.
+
+    ``values`` are probabilities ``p`` and truths ``t`` of pixels, ``ious`` what each candidate says its overlap
+    is (iou); that loss is the squared error against the overlap at one half.  Losses of an object that the truth does
+    not have are 0; ``loss`` is the sum by ``weights`` (mask, dice, iou).
+    """
+    p, t = F.col("p"), F.col("t")
+    right = F.when(t == 1, p).otherwise(1 - p)
+    focal = F.when(t == 1, 0.25).otherwise(0.75) * (1 - right) * (1 - right) * -F.log(right)
+    seen = F.count_if((p > 0.5) & (t == 1)) / F.greatest(F.count_if((p > 0.5) | (t == 1)), F.lit(1))
+    each = values.groupBy(*of, "candidate").agg(F.max("t").alias("target"), F.avg(focal).alias("mask"), (1 - (2 * F.sum(p * t) + 1) / (F.sum(p) + F.sum(t) + 1)).alias("dice"), seen.alias("seen"))
+    each = each.join(ious.select(*of, "candidate", F.col("iou").alias("said")), [*of, "candidate"])
+    each = each.withColumns({"iou": (F.col("said") - F.col("seen")) * (F.col("said") - F.col("seen")), "combined": F.round(F.col("mask") * weights["mask"] + F.col("dice") * weights["dice"], 9)})
+    best = first_best(each, of, "combined, candidate")
+    total = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    return best.select(*of, "candidate", *(F.round(F.col(c) * F.col("target"), 6).alias(f"loss_{c}") for c in ("mask", "dice", "iou")), F.round(total * F.col("target"), 6).alias("loss"))
+
+
 def errors(values: DataFrame, of: list[str]) -> DataFrame:
     """False positives and negatives, and whether all is right."""
     return values.groupBy(*of).agg(F.count_if(F.col("found") & ~F.col("truth")).alias("n_fp"), F.count_if(~F.col("found") & F.col("truth")).alias("n_fn"), F.bool_and(F.col("found") == F.col("truth")).alias("all_right"))

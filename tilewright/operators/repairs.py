@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .depths import deepest
 from .geometry import grouped, overlapping
 from .graph import cut
 from .regions import EIGHT, FOUR, SHIFT, whole_image_components
@@ -87,42 +86,17 @@ def overlap_merged(cells: DataFrame, padding: int, cell: int) -> DataFrame:
     return whole.withColumn("is_merged", F.size("members") > 1)
 
 
-def _depth(inside: np.ndarray) -> np.ndarray:
-    """For each pixel the squared distance to the nearest one outside; all around the image is outside."""
-    padded = np.pad(inside, 1)
-    height, width = padded.shape
-    far = np.int64(height + width)
-    up = np.zeros(padded.shape, dtype=np.int64)
-    for y in range(1, height):  # along columns: downwards, then upwards
-        up[y] = np.where(padded[y], up[y - 1] + 1, 0)
-    for y in range(height - 2, -1, -1):
-        up[y] = np.minimum(up[y], up[y + 1] + 1)
-    squared, best = np.minimum(up, far) ** 2, np.full(padded.shape, far * far)
-    for x in range(width):  # along rows: a column's depth and how far it is
-        best = np.minimum(best, squared[:, x : x + 1] + (np.arange(width) - x) ** 2)
-    return best[1:-1, 1:-1]
-
-
 def error_centres(errors: DataFrame, keys: DataFrame, height: int, width: int) -> DataFrame:
     """Per key (image_id) the deepest point of its errors: x, y, and whether it was missed (a positive point).
 
     ``errors`` has image_id, y, x and ``missed`` (of the truth only); the rest are false
     pixels.  Missed pixels win if their depth is strictly greater; without errors it is
-    the first pixel, negative.  A task holds one image at a time.
+    the first pixel, negative.
     """
-
-    def deepest(part: pd.DataFrame) -> pd.DataFrame:
-        depth = []
-        for missed in (True, False):
-            inside = np.zeros((height, width), dtype=bool)
-            of = part[part["missed"] == missed]
-            inside[of["y"], of["x"]] = True
-            depth.append(_depth(inside).ravel())
-        first, other = (int(np.argmax(d)) for d in depth)
-        positive = bool(depth[0][first] > depth[1][other])
-        at = first if positive else other
-        return pd.DataFrame({"image_id": [part["image_id"].iloc[0]], "px": [at % width], "py": [at // width], "positive": [positive]})
-
-    found = errors.select("image_id", "y", "x", "missed").groupBy("image_id").applyInPandas(deepest, "image_id long, px int, py int, positive boolean")
-    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return keys.select("image_id").join(found, "image_id", "left").select("image_id", zero("px", 0), zero("py", 0), zero("positive", False))
+    found = deepest(errors.select("image_id", "missed", "y", "x"), ["image_id", "missed"], height, width)
+    of = lambda missed: F.max(F.when(F.col("missed") == missed, F.struct("depth", "x", "y")))
+    both = found.groupBy("image_id").agg(of(True).alias("t"), of(False).alias("f"))
+    positive = F.coalesce(F.col("t.depth") > F.coalesce("f.depth", F.lit(0)), F.lit(False))
+    at = lambda c: F.coalesce(F.when(F.col("positive"), F.col(f"t.{c}")).otherwise(F.col(f"f.{c}")), F.lit(0)).cast("int").alias(f"p{c}")
+    joined = keys.select("image_id").join(both, "image_id", "left").withColumn("positive", positive)
+    return joined.select("image_id", at("x"), at("y"), "positive")

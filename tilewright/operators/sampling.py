@@ -120,3 +120,30 @@ def prompt_points(pixels: DataFrame, of: Sequence[str], n: int, seed: int = 0) -
     chosen = placed.where((F.col("_n") <= n) | (F.col("_p") < n)).select(*of, F.lit(False).alias("is_centre"), "x", "y")
     centre = placed.where(F.col("_n") > n).groupBy(*of).agg(F.avg("x").cast("int").alias("x"), F.avg("y").cast("int").alias("y")).withColumn("is_centre", F.lit(True))
     return chosen.unionByName(centre)
+
+
+def prompt_plans(videos: DataFrame, points: float, boxes: float, n_init: int, n_correct: int, random_init: bool, random_correct: bool, seed: int = 0) -> DataFrame:
+    """Which frames of each video (video, start, n_frames) are prompted, and how: video, frame, is_init, prompt, corrects.
+
+    With probability ``points`` a video's initial frames get points, else masks; an initial frame with points
+    gets a box with probability ``boxes``.  The first frame and others without replacement are initial, ``n_init`` or a
+    random number up to it; correction points (only with points) are added on the initial frames and on further ones up to
+    ``n_correct``, or to a random number from the initial ones' on.  A single image always has one frame with points, which is corrected.
+    Where a video has fewer frames than drawn, all of them are taken.
+    """
+    draw = lambda *what: uniform(F.col("video"), *(F.lit(w) if isinstance(w, str) else w for w in what), seed=seed)
+    single = F.col("n_frames") == 1
+    most_init, most_correct = F.when(single, 1).otherwise(n_init), F.when(single, 1).otherwise(n_correct)
+    up_to = lambda least, most, what: (least + F.floor(draw(what) * (most - least + 1))).cast("int")
+    plan = videos.select("video", "start", "n_frames", (single | (draw("points") < points)).alias("by_points"), up_to(F.lit(1), most_init, "init").alias("drawn"), most_init.alias("most_init"), most_correct.alias("most_correct"))
+    plan = plan.withColumn("n_init", F.col("drawn") if random_init else F.col("most_init"))
+    more = F.col("by_points") & (F.col("most_correct") > F.col("n_init"))
+    wanted = F.when(more, up_to(F.col("n_init"), F.col("most_correct"), "correct")) if random_correct else F.when(more, F.col("most_correct"))
+    plan = plan.withColumn("n_correct", F.when(F.col("by_points"), F.coalesce(wanted, F.col("n_init"))).otherwise(0))
+    each = plan.withColumn("frame", F.explode(F.sequence("start", F.col("n_frames") - 1)))
+    keyed = each.withColumn("u", F.when(F.col("frame") == F.col("start"), -1.0).otherwise(draw("init frame", F.col("frame"))))
+    init = ranked(keyed, ["video"], "u, frame", "init_place").withColumn("is_init", F.col("init_place") <= F.col("n_init"))
+    later = init.withColumn("v", F.when(F.col("is_init"), -1.0).otherwise(draw("correct frame", F.col("frame"))))
+    chosen = ranked(later, ["video"], "v, frame", "correct_place").withColumn("corrects", F.col("by_points") & (F.col("correct_place") <= F.col("n_correct")))
+    prompt = F.when(~F.col("is_init"), None).when(~F.col("by_points"), "mask").when(draw("box", F.col("frame")) < boxes, "box").otherwise("point")
+    return chosen.where("is_init OR corrects").select("video", "frame", "is_init", prompt.alias("prompt"), "corrects")
