@@ -64,10 +64,13 @@ def overlap(truth: DataFrame, found: DataFrame, keys: DataFrame, of: list[str])
     })
 
 
-def stability(values: DataFrame, of: list[str], threshold: float, offset: float) -> DataFrame:
-    """Pixels above the threshold plus the offset, over those above it minus the offset (1 if there are none)."""
+def stability(values: DataFrame, of: list[str], threshold: float, offset: float, plain: bool = False) -> DataFrame:
+    """Pixels above the threshold plus the offset, over those above it minus the offset.
+
+    Without any of the latter it is 1, or not a number where the ``plain`` quotient is wanted.
+    """
     high, low = F.count_if(F.col("v") > threshold + offset), F.count_if(F.col("v") > threshold - offset)
-    return values.groupBy(*of).agg(F.when(low == 0, 1.0).otherwise(F.round(high / low, 6)).alias("stability"))
+    return values.groupBy(*of).agg(F.when(low == 0, float("nan") if plain else 1.0).otherwise(F.round(F.try_divide(high, low), 6)).alias("stability"))
 
 
 def boundary(pix: DataFrame, of: list[str], height: int, width: int) -> DataFrame:

@@ -92,10 +92,10 @@ def metadata(spark, sf):
 
 
 def sequences(spark, sf):
-    n = derived.read(spark, sf, "nation").select("n_nationkey", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k"))
-    angle = F.col("n_nationkey") / F.pow(F.lit(10_000.0), F.col("k") / 4)
-    start, length = scalars.clip_window(F.when(F.col("k") > 1, F.col("k").cast("double")), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey").cast("double")), 10.0)
-    return n.select("n_nationkey", "k", F.round(F.sin(angle), 6).alias("sine"), F.round(F.cos(angle), 6).alias("cosine"), start.alias("start"), length.alias("length"))
+    n = derived.read(spark, sf, "customer").select("c_custkey", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k"))
+    angle = F.col("c_custkey") / F.pow(F.lit(10_000.0), F.col("k") / 4)
+    start, length = scalars.clip_window(F.when(F.col("k") > 1, F.col("k").cast("double")), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey").cast("double")), 10.0)
+    return n.select("c_custkey", "k", F.round(F.sin(angle), 6).alias("sine"), F.round(F.cos(angle), 6).alias("cosine"), start.alias("start"), length.alias("length"))
 
 
 def patterns(spark, sf):
@@ -203,8 +203,8 @@ QUERIES = {
         o AS (SELECT *, CASE WHEN layer = 0 THEN 0 ELSE CAST(trunc({512 / 1500}::DOUBLE * least(w, h) * 2 / side) AS INT) END AS overlap FROM l),
         c AS (SELECT *, ceil((overlap * (side - 1) + w) / side)::BIGINT AS cw, ceil((overlap * (side - 1) + h) / side)::BIGINT AS ch FROM o)
         SELECT p_partkey, w, h, layer, ((cw - overlap) * i)::BIGINT AS x1, ((ch - overlap) * j)::BIGINT AS y1, least((cw - overlap) * i + cw, w)::BIGINT AS x2, least((ch - overlap) * j + ch, h)::BIGINT AS y2 FROM c JOIN range(4) a(i) ON i < side JOIN range(4) b(j) ON j < side"""),
-    "X18_X19_sequences": (sequences, """SELECT n_nationkey, k, round(sin(n_nationkey / pow(10000.0, k / 4)), 6) AS sine, round(cos(n_nationkey / pow(10000.0, k / 4)), 6) AS cosine, CASE WHEN k > 1 THEN k ELSE 0 END::DOUBLE AS start, CASE WHEN n_nationkey % 3 > 0 THEN least(n_nationkey, 10) ELSE 10 END::DOUBLE AS length
-        FROM nation, (VALUES (0), (1), (2), (3)) v(k)"""),
+    "X18_X19_sequences": (sequences, """SELECT c_custkey, k, round(sin(c_custkey / pow(10000.0, k / 4)), 6) AS sine, round(cos(c_custkey / pow(10000.0, k / 4)), 6) AS cosine, CASE WHEN k > 1 THEN k ELSE 0 END::DOUBLE AS start, CASE WHEN c_custkey % 3 > 0 THEN least(c_custkey, 10) ELSE 10 END::DOUBLE AS length
+        FROM customer, (VALUES (0), (1), (2), (3)) v(k)"""),
     "U06_patterns": (patterns, "SELECT p_partkey FROM part WHERE p_type GLOB '*S*' AND NOT p_brand GLOB 'Brand#1?'"),
     "U07_annotations": (annotations, FR + " SELECT video, frame, 'manual' AS kind FROM frames WHERE object = 'click' UNION ALL SELECT video, frame, 'auto' FROM frames WHERE object = 'view' AND value > 10"),
     "T01_T06_pages": (pages, "SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey // 300 ORDER BY c_custkey::VARCHAR) AS lexical, row_number() OVER (PARTITION BY c_custkey // 300 ORDER BY c_custkey) AS numeric, (row_number() OVER (PARTITION BY c_custkey // 300 ORDER BY c_custkey) - 1) // 10 AS page FROM customer"),

@@ -27,13 +27,13 @@ def code_texts(spark, sf):
 
 def _dense(spark, sf):
     """A mask with few and small holes."""
-    return derived.pixels(spark, sf).where("y < 48 AND x < 48 AND (y % 5 > 0 OR x % 4 > 0 OR r > 200)").unionByName(
-        derived.pixels(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("y"), "x", "r", "g", "b").where("x < 48 AND y % 3 > 0")
+    return derived.pixels(spark, sf).where("y % 5 > 0 OR x % 4 > 0 OR r > 200").unionByName(
+        derived.pixels(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"), "x", "r", "g", "b").where("y % 3 > 0")
     ).select("image_id", "y", "x").distinct()
 
 
 def holes(spark, sf):
-    return repairs.holes(cut(_dense(spark, sf)), 48, 48, MOST, WORK_TILE)
+    return repairs.holes(cut(_dense(spark, sf)), SIDE, SIDE, MOST, WORK_TILE)
 
 
 def _cells(spark, sf):
@@ -119,8 +119,8 @@ TEXT_SQL = RUNS_SQL + f""", l AS (SELECT image_id, list_concat(flatten(list([zer
   d AS (SELECT image_id, i, CASE WHEN i > 3 THEN counts[i] - counts[i - 2] ELSE counts[i] END::BIGINT AS x FROM l, unnest(generate_series(1, len(counts))) t(i)),
   n AS (SELECT image_id, i, x, {_LENGTH} AS n FROM d), c AS (SELECT image_id, i, j, chr((48 + ((x >> (5 * j)) & 31) + CASE WHEN j < n - 1 THEN 32 ELSE 0 END)::INT) AS c FROM n, range(7) r(j) WHERE j < n)
   SELECT image_id, string_agg(c, '' ORDER BY i, j) AS code, true AS is_same FROM c GROUP BY 1"""
-DENSE_SQL = derived.PIXELS_SQL + """, m AS (SELECT image_id, y, x FROM pix WHERE y < 48 AND x < 48 AND (y % 5 > 0 OR x % 4 > 0 OR r > 200) UNION SELECT DISTINCT image_id, k::INT, x FROM pix, range(48) r(k) WHERE x < 48 AND k % 3 > 0),
-  bg AS (SELECT i.image_id, a.y::INT AS y, b.x::INT AS x FROM (SELECT DISTINCT image_id FROM m) i, range(48) a(y), range(48) b(x) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.image_id = i.image_id AND m.y = a.y AND m.x = b.x))"""
+DENSE_SQL = derived.PIXELS_SQL + f""", m AS (SELECT image_id, y, x FROM pix WHERE y % 5 > 0 OR x % 4 > 0 OR r > 200 UNION SELECT DISTINCT image_id, k::INT, x FROM pix, range({SIDE}) r(k) WHERE k % 3 > 0),
+  bg AS (SELECT i.image_id, a.y::INT AS y, b.x::INT AS x FROM (SELECT DISTINCT image_id FROM m) i, range({SIDE}) a(y), range({SIDE}) b(x) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.image_id = i.image_id AND m.y = a.y AND m.x = b.x))"""
 BORDER_SQL = CC8_SQL + f""", kind AS (SELECT image_id, component, CASE WHEN count(*) FILTER (r >= b) >= count(*) FILTER (r < b) THEN 'positive' ELSE 'negative' END AS class FROM comp GROUP BY 1, 2 HAVING count(*) > 3),
   b1 AS (SELECT p.image_id, p.y + s.dy AS y, p.x + s.dx AS x, arg_min(class, component) AS class FROM comp p JOIN kind USING (image_id, component), {STEPS4}
     WHERE p.y * {SHIFT} + p.x <> component AND p.y + s.dy BETWEEN 0 AND {SIDE - 1} AND p.x + s.dx BETWEEN 0 AND {SIDE - 1} AND NOT EXISTS (SELECT 1 FROM comp q WHERE q.image_id = p.image_id AND q.y = p.y + s.dy AND q.x = p.x + s.dx) GROUP BY 1, 2, 3)"""

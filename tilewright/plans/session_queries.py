@@ -59,8 +59,7 @@ def _evaluated(spark, sf):
     truth = pix.where("r + b > 120 AND g <= 80 AND (object <> 2 OR video % 3 > 0)").select(*evaluation.OF, "y", "x")
     found = pix.where("r + b > 150 AND g <= 60").select(*evaluation.OF, "y", "x")
     size = lambda df: df.select("video", F.explode(F.array(*(F.lit(k) for k in range(WIDTH // FRAME)))).alias("frame"), F.lit(FRAME).alias("height"), F.lit(WIDTH).alias("width"))
-    videos = pix.select("video").distinct()
-    return truth, found, evaluation.matched_frames(size(videos), size(videos))
+    return truth, found, evaluation.matched_frames(size(truth.select("video").distinct()), size(found.select("video").distinct()))
 
 
 def evaluated(spark, sf):
@@ -151,8 +150,8 @@ QUERIES = {
         p AS (SELECT session, obj, frame, mask_at, count(*) FILTER (action = 'points' AND at_ > greatest(cut, coalesce(mask_at, -1))) AS n_points FROM n JOIN req USING (session, obj, frame) GROUP BY 1, 2, 3, 4)
         SELECT session, obj, frame, CASE WHEN n_points > 0 THEN 'points' ELSE 'mask' END AS kind, n_points FROM p WHERE n_points > 0 OR mask_at IS NOT NULL"""),
     "addition_tumbling_windows": (windows, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(CAST(floor(value) AS BIGINT))::BIGINT AS total FROM events GROUP BY 1, 2"),
-    "J09_A27_A28_A29_K12_evaluation": (evaluated, "WITH " + EVALUATED_SQL + """ SELECT 'Global score' AS sequence, '' AS obj, round((avg(j) + avg(f)) / 2, 6) AS jf, round(avg(j), 6) AS j, round(avg(f), 6) AS f FROM per
-        UNION ALL SELECT video::VARCHAR, lpad(object::VARCHAR, 3, '0'), round((j + f) / 2, 6), round(j, 6), round(f, 6) FROM per"""),
+    "J09_A27_A28_A29_K12_evaluation": (evaluated, "WITH " + EVALUATED_SQL + """ SELECT 'Global score' AS sequence, '' AS obj, round((avg(j) + avg(f)) / 2 + 1e-9::DOUBLE, 6) AS jf, round(avg(j), 6) AS j, round(avg(f), 6) AS f FROM per
+        UNION ALL SELECT video::VARCHAR, lpad(object::VARCHAR, 3, '0'), round((j + f) / 2 + 1e-9::DOUBLE, 6), round(j, 6), round(f, 6) FROM per"""),
     "Z01_sessions": (opened, """WITH r AS (SELECT user_id AS session, event_id AS at_, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'close' ELSE 'points' END AS action FROM events),
         p AS (SELECT *, max(at_) FILTER (action = 'start') OVER w AS s, max(at_) FILTER (action <> 'points') OVER w AS t FROM r WINDOW w AS (PARTITION BY session ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT session, coalesce(max(at_) FILTER (action = 'start') > coalesce(max(at_) FILTER (action = 'close'), -1), false) AS is_open, count(*) FILTER (action <> 'start' AND NOT coalesce(s = t, false)) AS n_refused, count(*) FILTER (action = 'start') AS n_starts FROM p GROUP BY 1"""),

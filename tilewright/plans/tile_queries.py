@@ -13,7 +13,7 @@ from . import region_queries
 from .region_queries import CC8_SQL, STEPS4
 
 FR = "WITH " + FRAMES_SQL
-SIZE, PATCH, OVERLAP = 100, 48, 8
+SIZE, PATCH, OVERLAP = SIDE, 48, 8
 PHASES, EPOCH = 3, 7
 SHARES = {"click": 0.5, "view": 0.25, "purchase": 0.15, "signup": 0.07, "error": 0.03}
 
@@ -41,20 +41,20 @@ def sidecars(spark, sf):
 
 
 def grid_sizes(spark, sf):
-    p = derived.read(spark, sf, "part").where("p_partkey % 5 > 0")
+    p = derived.read(spark, sf, "part")
     tiles = p.select("p_brand", (F.col("p_partkey") % 13).alias("tile_row"), (F.col("p_size") % 7).alias("tile_col"), F.when(F.col("p_brand") > "Brand#3", F.col("p_partkey") % 13 * 40).alias("offset_y"), F.when(F.col("p_brand") > "Brand#3", F.col("p_size") % 7 * 40).alias("offset_x"))
     return tiling.grid_size(tiles, ["p_brand"], 64)
 
 
 def stitched(spark, sf):
     """Images cut into tiles and put together again; each value tells its tile."""
-    pix = derived.foreground(spark, sf).where(f"y < {SIZE} AND x < {SIZE}").select("image_id", "y", "x", "r")
+    pix = derived.foreground(spark, sf).select("image_id", "y", "x", "r")
     tiles = cut(tiling.cut_tiles(pix, SIZE, SIZE, PATCH, OVERLAP)).withColumn("v", F.col("r") + 1000 * F.col("tile_x") + 1_000_000 * F.col("tile_y"))
     return tiling.stitched(tiles, ["image_id"], SIZE, SIZE, PATCH, OVERLAP)
 
 
 def mirrored(spark, sf):
-    p = derived.read(spark, sf, "part").where("p_size < 20").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("at"))
+    p = derived.read(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("at"))
     return p.select("p_partkey", "at", tiling.mirrored(F.col("at"), 20).cast("int").alias("source"))
 
 
@@ -167,9 +167,9 @@ GRID = f"range({SIDE}) gy(y), range({SIDE}) gx(x)"
 QUERIES = {
     "S05_tile_catalogue": (catalogue, "WITH " + PATHS_SQL + " SELECT r AS tile_row, c AS tile_col, max(path) AS path, CASE WHEN arg_max(p_partkey, path) % 4 = 0 THEN arg_max(p_partkey, path) END::INT AS offset_y, CASE WHEN arg_max(p_partkey, path) % 4 = 0 THEN 0 END::INT AS offset_x FROM paths WHERE p_partkey % 4 < 3 GROUP BY 1, 2"),
     "S03_S06_tile_sidecars": (sidecars, "WITH " + PATHS_SQL + " SELECT split_part(path, '/', 2) AS filename, r AS tile_row, c AS tile_col, p_partkey::INT AS offset_y, 0 AS offset_x, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 50 ELSE 0 END::BIGINT AS num_instances FROM paths WHERE p_partkey % 4 = 0"),
-    "A32_grid_extents": (grid_sizes, "WITH t AS (SELECT p_brand, p_partkey % 13 AS r, p_size % 7 AS c, p_brand > 'Brand#3' AS o FROM part WHERE p_partkey % 5 > 0) SELECT p_brand, (max(r) + 1)::BIGINT AS n_rows, (max(c) + 1)::INT AS n_cols, CASE WHEN bool_or(o) THEN max(r * 40) + 64 ELSE (max(r) + 1) * 64 END::BIGINT AS height, CASE WHEN bool_or(o) THEN max(c * 40) + 64 ELSE (max(c) + 1) * 64 END::INT AS width FROM t GROUP BY 1"),
-    "X12_X13_stitched_tiles": (stitched, "WITH " + FOREGROUND_SQL + f", t AS (SELECT image_id, y, x, r, b.s AS ty, a.s AS tx FROM fg, (VALUES {BEGINS}) a(s), (VALUES {BEGINS}) b(s) WHERE y < {SIZE} AND x < {SIZE} AND {_axis('y', 'b.s')} AND {_axis('x', 'a.s')}) SELECT image_id, y, x, arg_max(r + 1000 * tx + 1000000 * ty, ty * 1000 + tx)::INT AS v FROM t GROUP BY 1, 2, 3"),
-    "X12_mirrored": (mirrored, "SELECT p_partkey, k::INT AS at, CASE WHEN k % 40 < 20 THEN k % 40 ELSE 39 - k % 40 END::INT AS source FROM part, range(48) r(k) WHERE p_size < 20"),
+    "A32_grid_extents": (grid_sizes, "WITH t AS (SELECT p_brand, p_partkey % 13 AS r, p_size % 7 AS c, p_brand > 'Brand#3' AS o FROM part) SELECT p_brand, (max(r) + 1)::BIGINT AS n_rows, (max(c) + 1)::INT AS n_cols, CASE WHEN bool_or(o) THEN max(r * 40) + 64 ELSE (max(r) + 1) * 64 END::BIGINT AS height, CASE WHEN bool_or(o) THEN max(c * 40) + 64 ELSE (max(c) + 1) * 64 END::INT AS width FROM t GROUP BY 1"),
+    "X12_X13_stitched_tiles": (stitched, "WITH " + FOREGROUND_SQL + f", t AS (SELECT image_id, y, x, r, b.s AS ty, a.s AS tx FROM fg, (VALUES {BEGINS}) a(s), (VALUES {BEGINS}) b(s) WHERE {_axis('y', 'b.s')} AND {_axis('x', 'a.s')}) SELECT image_id, y, x, arg_max(r + 1000 * tx + 1000000 * ty, ty * 1000 + tx)::INT AS v FROM t GROUP BY 1, 2, 3"),
+    "X12_mirrored": (mirrored, "SELECT p_partkey, k::INT AS at, CASE WHEN k % 40 < 20 THEN k % 40 ELSE 39 - k % 40 END::INT AS source FROM part, range(48) r(k)"),
     "X08_layered_grids": (layers, "WITH g AS (SELECT p_partkey, l.layer::INT AS layer, floor((p_size % 7 + 2) / pow(2.0, layer))::INT AS per FROM part, range(3) l(layer)) SELECT p_partkey, layer, round((i + 0.5) / per, 6)::DOUBLE AS x, round((j + 0.5) / per, 6)::DOUBLE AS y FROM g, range(9) a(i), range(9) b(j) WHERE i < per AND j < per"),
     "A30_size_thresholds": (size_thresholds, "WITH RECURSIVE " + CC8_SQL + """, sized AS (SELECT image_id, component, count(*) * CASE WHEN component % 3 = 0 THEN 60 ELSE 9 END AS size FROM comp GROUP BY 1, 2), ends AS (SELECT image_id, count(*) AS n, (max(sqrt(size)) + 1) / 500 AS step FROM sized GROUP BY 1),
         dens AS (SELECT image_id, i, step, n, round(sum(exp(-(i * step - sqrt(size)) * (i * step - sqrt(size)) / 2)) / n, 9) AS d FROM sized JOIN ends USING (image_id), range(500) r(i) GROUP BY 1, 2, 3, 4), dips AS (SELECT *, lag(d) OVER v AS a, lead(d) OVER v AS z FROM dens WINDOW v AS (PARTITION BY image_id ORDER BY i)),

@@ -76,7 +76,7 @@ def q_tiles(spark, sf):
 
 
 def q_grid(spark, sf):
-    n = derived.read(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 4 + 1).alias("n"))
+    n = derived.read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 4 + 1).alias("n"))
     g = n.select("k", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("k", "n", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     return g.select("k", F.round((F.col("i") + 0.5) / F.col("n"), 6).alias("x"), F.round((F.col("j") + 0.5) / F.col("n"), 6).alias("y"))
 
@@ -129,7 +129,7 @@ QUERIES = {
     "S20_units": (q_units, FR + " SELECT DISTINCT video, object FROM frames"),
     "S22_truncate_and_stride": (lambda s, f: ranking.truncate_and_stride(fr(s, f), V, "frame", 20, 3).select("video", "frame"), FR + " SELECT video, frame FROM frames WHERE frame < 20 AND frame % 3 = 0"),
     "R02_evaluation_sample": (q_eval_sample, FR + " SELECT a.video, a.frame, b.object FROM frames a JOIN frames b ON a.video = b.video AND b.frame = 0"),
-    "X07_X08_point_grids": (q_grid, "SELECT n_nationkey AS k, round((i.i + 0.5) / n, 6)::DOUBLE AS x, round((j.j + 0.5) / n, 6)::DOUBLE AS y FROM (SELECT n_nationkey, n_nationkey % 4 + 1 AS n FROM nation) t JOIN range(9) i(i) ON i.i < n JOIN range(9) j(j) ON j.j < n"),
+    "X07_X08_point_grids": (q_grid, "SELECT c_custkey AS k, round((i.i + 0.5) / n, 6)::DOUBLE AS x, round((j.j + 0.5) / n, 6)::DOUBLE AS y FROM (SELECT c_custkey, c_custkey % 4 + 1 AS n FROM customer) t JOIN range(9) i(i) ON i.i < n JOIN range(9) j(j) ON j.j < n"),
     "X12_overlapping_tiles": (q_tiles, "SELECT p_partkey, k::INT AS k, least(k * 448, greatest(w - 512, 0))::BIGINT AS start FROM (SELECT p_partkey, p_size * 40 + 300 AS w FROM part) t JOIN range(40) r(k) ON r.k <= greatest(ceil((w - 512) / 448), 0)"),
     "S04_S06_tile_names": (q_names, """WITH p AS (SELECT p_partkey, p_partkey % 13 AS r, p_partkey % 7 AS c FROM part) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN r + 1 WHEN 1 THEN r WHEN 2 THEN r END::INT AS tile_row, CASE p_partkey % 4 WHEN 0 THEN c + 1 WHEN 1 THEN c WHEN 2 THEN c END::INT AS tile_col,
         CASE WHEN p_partkey % 4 = 0 THEN r * 32 END::INT AS offset_y, CASE WHEN p_partkey % 4 = 0 THEN c * 32 END::INT AS offset_x FROM p"""),

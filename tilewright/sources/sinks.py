@@ -21,6 +21,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_merged_regions(regions: DataFrame, path: str) -> None:
+    """Merged regions (image_id, region_id, pixel_count, avg_score, member_instances) as CSV, scores with four places."""
+    write_csv(regions.select("image_id", "region_id", "pixel_count", F.format_string("%.4f", "avg_score").alias("avg_score"), "member_instances"), path)
+
+
 def append_stats(rows: DataFrame, path: str) -> None:
     """One JSON object for each row, after those that are there."""
     rows.write.mode("append").json(path)
