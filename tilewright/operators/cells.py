@@ -64,7 +64,7 @@ def flooded_background(pix: DataFrame, side: int, tile: int) -> DataFrame:
     images = pix.select("image_id").distinct()
     grid = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"))
     holes = cut(tile_regions(grid.join(pix, ["image_id", "y", "x"], "left_anti"), tile, diagonal=False))
-    labelled = cut(merged_regions(holes, seam_pairs(holes)))
+    labelled = cut(merged_regions(holes, seam_pairs(holes, tile)))
     last = side - 1
     outer = labelled.where(f"y = 0 OR x = 0 OR y = {last} OR x = {last}").select("image_id", "global_region").distinct().withColumn("outside", F.lit(True))
     return labelled.join(outer, ["image_id", "global_region"], "left").select("image_id", "y", "x", F.coalesce("outside", F.lit(False)).alias("outside"))

@@ -27,34 +27,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Moved roots that are broadcast at most; beyond, their nodes are spread over so many salted keys.
+MAX_BROADCAST, SALTS = 500_000, 32
+
+
+def _relabelled(rows: DataFrame, moved: DataFrame, column: str, by: str) -> DataFrame:
+    """``rows`` whose ``column`` names a moved root (of, r) get the new one.
+
+    Rows of roots that stay, however many there are of one, meet no partner; they are not shuffled at all while the moved
+    roots can be broadcast, and are spread by ``by`` where they can't.
+    """
+    moved = moved.select(F.col("of").alias("_of"), F.col("r").alias("_r"))
+    on = F.col(column) == F.col("_of")
+    if moved.count() <= MAX_BROADCAST:
+        moved = F.broadcast(moved)
+    else:
+        moved = moved.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+        on = on & (F.col("_salt") == F.col("_of_salt"))
+    return rows.join(moved, on, "left").withColumn(column, F.coalesce("_r", column)).drop("_of", "_r", "_salt", "_of_salt")
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """The least node that each node is connected with: node, root.
 
-    Every round links each node to the least root in its neighbourhood and then
-    follows roots one step (pointer jumping), so rounds grow with the logarithm
-    of the longest path.  ``nodes`` (column node) adds nodes without edges.
+    In every round each root hooks on to the least root next to it, chains of hooks are halved by
+    pointer jumping until they are one step long, and edges become edges between roots, those within one root
+    being dropped.  So rounds grow with the logarithm of the longest path.  A node that very many
+    others hook on to (the hub of a star) is a common key of no join: only hooks that lead on are looked
+    up, and they are broadcast or salted.  ``nodes`` (column node) adds nodes without edges.
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct())
-    named = both.select(F.col("u").alias("node")).distinct()
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
     if nodes is not None:
-        named = named.unionByName(nodes.select("node")).distinct()
-    roots = cut(named.withColumn("root", F.col("node")))
-    while True:
-        lookup = roots.select(F.col("node").alias("of"), F.col("root").alias("r"))
-        # the least root next to each node, offered to the node's own root
-        seen = both.join(lookup, F.col("v") == F.col("of")).groupBy("u").agg(F.min("r").alias("near"))
-        offers = roots.join(seen, F.col("node") == F.col("u")).where("near < root").groupBy(F.col("root").alias("of")).agg(F.min("near").alias("r"))
-        offers = cut(offers)
-        if offers.isEmpty():
-            return roots
-        hooked = cut(roots.join(offers, F.col("root") == F.col("of"), "left").select("node", F.coalesce("r", "root").alias("root")))
-        while True:
-            up = hooked.select(F.col("node").alias("of"), F.col("root").alias("r"))
-            jumped = cut(hooked.join(up, F.col("root") == F.col("of"), "left").select("node", F.coalesce("r", "root").alias("root"), (F.coalesce("r", "root") != F.col("root")).alias("moved")))
-            hooked = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
+        named = named.unionByName(nodes.select("node"))
+    roots = named.distinct().select("node", F.col("node").alias("root"))
+    # from the greater root to the less
+    down = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not down.isEmpty():
+        hooks = cut(down.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("of"), F.col("v").alias("r")))
+        while True:  # hooks on to roots that are hooked themselves
+            on = hooks.select(F.col("r").alias("next")).distinct()
+            further = cut(on.join(hooks, F.col("next") == F.col("of")).select("of", "r"))
+            if further.isEmpty():
                 break
-        roots = hooked
+            hooks = cut(_relabelled(hooks, further, "r", "of"))
+        roots = cut(_relabelled(roots, hooks, "root", "node"))
+        both = _relabelled(_relabelled(down, hooks, "u", "v"), hooks, "v", "u").where("u <> v")
+        down = cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    return roots
 
 
 def components_sql(nodes: str, edges: str) -> str:

@@ -19,6 +19,8 @@ from .graph import components, cut
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 SHIFT = 1 << 20
+#: Side of the block of pixels that a task labels at once, where tiles are not larger.
+BLOCK = 512
 
 
 def pixel_key(y: Column, x: Column) -> Column:
@@ -61,46 +63,64 @@ def label_tile(y: np.ndarray, x: np.ndarray, around: list[tuple[int, int]]) -> n
     return out
 
 
-def tile_regions(pix: DataFrame, tile: int, diagonal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
-    """Adds tile_row, tile_col and region: the least pixel key of the pixel's component within its tile.  Columns in ``carry`` stay."""
+def tile_regions(pix: DataFrame, tile: int, diagonal: bool = True, carry: Sequence[str] = (), near: bool = False) -> DataFrame:
+    """Adds tile_row, tile_col and region: the least pixel key of the pixel's component within its tile.  Columns in ``carry`` stay.
+
+    A task labels a block of tiles at once.  With ``near`` there is also the number of the pixel's eight neighbours within its tile.
+    """
     around = EIGHT if diagonal else FOUR
+    block = tile * max(1, BLOCK // tile)
 
     def label(part: pd.DataFrame) -> pd.DataFrame:
-        part["region"] = label_tile(part["y"].to_numpy(), part["x"].to_numpy(), around)
-        return part
-
-    rows = pix.select("image_id", "y", "x", *carry, F.floor(F.col("y") / tile).cast("int").alias("tile_row"), F.floor(F.col("x") / tile).cast("int").alias("tile_col"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy("image_id", "tile_row", "tile_col").applyInPandas(label, f"{schema}, region long")
-
-
-def seam_pairs(labelled: DataFrame, diagonal: bool = False) -> DataFrame:
+        # a gap between tiles, so that they do not touch
+        y, x = part["y"].to_numpy().astype(np.int64), part["x"].to_numpy().astype(np.int64)
+        apart = (y + y // tile, x + x // tile)
+        first = label_tile(*apart, around)
+        fy, fx = first // SHIFT, first % SHIFT
+        part["region"] = (fy - fy // (tile + 1)) * SHIFT + fx - fx // (tile + 1)
+        if near:
+            top, left = apart[0].min() - 1, apart[1].min() - 1
+            there = np.zeros((apart[0].max() - top + 2, apart[1].max() - left + 2), dtype=np.int32)
+            there[apart[0] - top, apart[1] - left] = 1
+            part["near"] = sum(there[apart[0] - top + dy, apart[1] - left + dx] for dy, dx in EIGHT)
+        return part.drop(columns=["block_row", "block_col"])
+
+    at = lambda c, n: F.floor(F.col(c) / n).cast("int")
+    rows = pix.select("image_id", "y", "x", *carry, at("y", tile).alias("tile_row"), at("x", tile).alias("tile_col"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", region long" + (", near int" if near else "")
+    dealt = rows.withColumns({"block_row": at("y", block), "block_col": at("x", block)})
+    return dealt.groupBy("image_id", "block_row", "block_col").applyInPandas(label, schema)
+
+
+def seam_pairs(labelled: DataFrame, tile: int, diagonal: bool = False) -> DataFrame:
     """Regions of neighbouring tiles that touch across a seam: image_id, a, b.
 
-    Straight across only, unless ``diagonal``.
+    Straight across only, unless ``diagonal``.  Only pixels beside a seam are joined.
     """
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+    rim = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    seam = labelled.where(rim("y") | rim("x"))
     near = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps)))
-    left = labelled.select("image_id", F.col("tile_row").alias("row_a"), F.col("tile_col").alias("col_a"), F.col("region").alias("a"), near.alias("at"))
+    left = seam.select("image_id", F.col("tile_row").alias("row_a"), F.col("tile_col").alias("col_a"), F.col("region").alias("a"), near.alias("at"))
     left = left.select("image_id", "row_a", "col_a", "a", F.col("at.y").alias("y"), F.col("at.x").alias("x"))
-    right = labelled.select("image_id", "y", "x", F.col("tile_row").alias("row_b"), F.col("tile_col").alias("col_b"), F.col("region").alias("b"))
-    met = left.join(right, ["image_id", "y", "x"]).where("row_a <> row_b OR col_a <> col_b")
-    return met.select("image_id", "a", "b").distinct()
+    left = left.where((F.floor(F.col("y") / tile) != F.col("row_a")) | (F.floor(F.col("x") / tile) != F.col("col_a")))
+    right = seam.select("image_id", "y", "x", F.col("region").alias("b"))
+    return left.join(right, ["image_id", "y", "x"]).select("image_id", "a", "b").distinct()
 
 
 def merged_regions(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds global_region: the least region of those connected through ``pairs``."""
-    node = lambda c: (F.col("image_id") * (SHIFT * SHIFT) + F.col(c)).cast("decimal(38,0)")
+    node = lambda c: F.struct(F.col("image_id").cast("long").alias("i"), F.col(c).alias("r"))
     roots = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
-    roots = roots.select("node", (F.col("root") % F.lit(SHIFT * SHIFT)).cast("long").alias("global_region"))
-    keyed = labelled.withColumn("node_key", node("region"))
-    return keyed.join(roots, F.col("node_key") == F.col("node"), "left").withColumn("global_region", F.coalesce("global_region", "region")).drop("node_key", "node")
+    roots = roots.select(F.col("node.i").alias("of_image"), F.col("node.r").alias("of_region"), F.col("root.r").alias("global_region"))
+    joined = labelled.join(roots, (F.col("image_id") == F.col("of_image")) & (F.col("region") == F.col("of_region")), "left")
+    return joined.withColumn("global_region", F.coalesce("global_region", "region")).drop("of_image", "of_region")
 
 
 def whole_image_components(pix: DataFrame, tile: int, diagonal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Pixels with ``component``: the least pixel key of the component in the whole image.  Columns in ``carry`` stay."""
     labelled = cut(tile_regions(pix, tile, diagonal, carry))
-    return merged_regions(labelled, seam_pairs(labelled, diagonal)).select("image_id", "y", "x", *carry, F.col("global_region").alias("component"))
+    return merged_regions(labelled, seam_pairs(labelled, tile, diagonal)).select("image_id", "y", "x", *carry, F.col("global_region").alias("component"))
 
 
 def shape(of: list[str], pix: DataFrame) -> DataFrame:
@@ -119,20 +139,35 @@ def border_flags(labelled: DataFrame, tile: int) -> DataFrame:
     return out.withColumn("edges", F.array_join(edges, ","))
 
 
-def perimeters(pix: DataFrame, of: str) -> DataFrame:
-    """Per group: its pixels with any of the eight neighbours outside the group."""
-    near = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in EIGHT)))
-    around = pix.select("image_id", F.col(of).alias("g"), "y", "x", near.alias("n")).select("image_id", "g", (F.col("y") + F.col("n.dy")).alias("y"), (F.col("x") + F.col("n.dx")).alias("x"))
-    inner = around.groupBy("image_id", "g", "y", "x").agg(F.count("*").alias("near")).where("near = 8")
-    full = pix.select("image_id", F.col(of).alias("g"), "y", "x").join(inner.drop("near"), ["image_id", "g", "y", "x"], "left_anti")
-    return full.groupBy("image_id", F.col("g").alias(of)).agg(F.count("*").alias("perimeter"))
-
+def perimeters(merged: DataFrame, tile: int) -> DataFrame:
+    """Per merged region: its pixels with any of the eight neighbours outside the region.
 
-def global_regions(merged: DataFrame) -> DataFrame:
+    ``merged`` has ``near``, the neighbours within the tile, which are of one region; only pixels at a tile's
+    edge are joined with those across.
+    """
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    seam = merged.where(edge("y") | edge("x"))
+    steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in EIGHT)))
+    across = seam.select("image_id", "global_region", "y", "x", "tile_row", "tile_col", steps.alias("n"))
+    across = across.withColumns({"ny": F.col("y") + F.col("n.dy"), "nx": F.col("x") + F.col("n.dx")}).where((F.floor(F.col("ny") / tile) != F.col("tile_row")) | (F.floor(F.col("nx") / tile) != F.col("tile_col")))
+    there = seam.select(F.col("image_id").alias("i"), F.col("global_region").alias("g"), F.col("y").alias("ty"), F.col("x").alias("tx"))
+    met = across.join(there, (F.col("image_id") == F.col("i")) & (F.col("global_region") == F.col("g")) & (F.col("ny") == F.col("ty")) & (F.col("nx") == F.col("tx")))
+    more = met.groupBy("image_id", "global_region", "y", "x").agg(F.count("*").alias("more"))
+    at_edge = seam.select("image_id", "global_region", "y", "x", "near").join(more, ["image_id", "global_region", "y", "x"], "left").where(F.col("near") + F.coalesce("more", F.lit(0)) < 8)
+    rim = merged.where(~(edge("y") | edge("x")) & (F.col("near") < 8)).select("image_id", "global_region").unionByName(at_edge.select("image_id", "global_region"))
+    return rim.groupBy("image_id", "global_region").agg(F.count("*").alias("perimeter"))
+
+
+def global_regions(merged: DataFrame, tile: int) -> DataFrame:
     """Per merged region: shape, tiles, source regions, perimeter and circularity (0 without a perimeter)."""
-    stats = shape(["image_id", "global_region"], merged)
-    sources = merged.groupBy("image_id", "global_region").agg(F.countDistinct("tile_row", "tile_col").alias("n_tiles"), F.countDistinct("region").alias("n_sources"))
-    out = stats.join(sources, ["image_id", "global_region"]).join(perimeters(merged, "global_region"), ["image_id", "global_region"], "left")
+    key = ["image_id", "global_region"]
+    # a region lies in one tile
+    each = merged.groupBy(*key, "tile_row", "tile_col", "region").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum("x").alias("sx"), F.min("y").alias("y1"), F.min("x").alias("x1"), F.max("y").alias("y2"), F.max("x").alias("x2"))
+    stats = each.groupBy(*key).agg(
+        F.sum("n").alias("area"), (F.sum("sy") / F.sum("n")).alias("cy"), (F.sum("sx") / F.sum("n")).alias("cx"), F.min("y1").alias("y1"), F.min("x1").alias("x1"), F.max("y2").alias("y2"), F.max("x2").alias("x2"),
+        F.count_distinct(F.struct("tile_row", "tile_col")).alias("n_tiles"), F.count("*").alias("n_sources"),
+    )
+    out = stats.join(perimeters(merged, tile), key, "left")
     perimeter = F.coalesce("perimeter", F.lit(0))
     return out.withColumn("perimeter", perimeter).withColumn("circularity", F.when(F.col("perimeter") > 0, 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).otherwise(0.0))
 

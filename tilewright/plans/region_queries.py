@@ -54,8 +54,8 @@ def labelled(spark, sf):
 
 
 def merged(spark, sf):
-    lab = cut(labelled(spark, sf))
-    return cut(regions.merged_regions(lab, regions.seam_pairs(lab)))
+    lab = cut(regions.tile_regions(derived.foreground(spark, sf), TILE, near=True))
+    return cut(regions.merged_regions(lab, regions.seam_pairs(lab, TILE)))
 
 
 def tile_region_stats(spark, sf):
@@ -63,7 +63,7 @@ def tile_region_stats(spark, sf):
 
 
 def seam_pairs(spark, sf):
-    return regions.seam_pairs(cut(labelled(spark, sf)))
+    return regions.seam_pairs(cut(labelled(spark, sf)), TILE)
 
 
 def tile_adjacency(spark, sf):
@@ -72,12 +72,12 @@ def tile_adjacency(spark, sf):
 
 
 def global_regions(spark, sf):
-    out = regions.global_regions(merged(spark, sf))
+    out = regions.global_regions(merged(spark, sf), TILE)
     return out.withColumns({c: F.round(c, 6) for c in ("cy", "cx", "circularity")})
 
 
 def area_summary(spark, sf):
-    return regions.area_summary(regions.global_regions(merged(spark, sf)), ["image_id"], 0.25)
+    return regions.area_summary(regions.global_regions(merged(spark, sf), TILE), ["image_id"], 0.25)
 
 
 def components8(spark, sf, carry=()):
