@@ -77,6 +77,60 @@ def test_kneser_ney_probabilities_sum_to_one(monkeypatch):
         assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def kneser_ney(counts: dict[tuple, int], alphabet: int):
+    """Modified Kneser-Ney over tuples, from its definition: returns the probability of a tuple's last symbol."""
+    order = len(next(iter(counts)))
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off = {}
+    for k, level in levels.items():
+        n = [max(1, sum(c == i for c in level.values())) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        off[k] = [0, *(min(max(d, 0.1), top) for d, top in zip(raw, (0.9, 1.9, 2.9)))]
+    after = {k: defaultdict(list) for k in levels}
+    for k, level in levels.items():
+        for g, c in level.items():
+            after[k][g[:-1]].append(c)
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        seen = after[len(gram)].get(gram[:-1])
+        if seen is None:
+            return p(gram[1:])
+        cut = lambda c: off[len(gram)][min(c, 3)]
+        c = levels[len(gram)].get(gram, 0)
+        return (c - cut(c) + sum(map(cut, seen)) * p(gram[1:])) / sum(seen)
+
+    return p
+
+
+def test_the_model_is_modified_kneser_ney():
+    rng = np.random.default_rng(6)
+    size = perplexity_rules.ALPHABET
+    symbols = np.array([1, 5, 6, 7, 9, 20, 39])
+    text = symbols[np.minimum(rng.geometric(0.35, 3000) - 1, 6)]
+    grams = Counter(tuple(int(v) for v in text[i : i + 4]) for i in range(len(text) - 3))
+    code = lambda g: ((g[0] * size + g[1]) * size + g[2]) * size + g[3]
+    model = perplexity_rules.Model(np.array([code(g) for g in grams]), np.array(list(grams.values())))
+    p = kneser_ney(grams, size)
+    tried = [*grams, *(tuple(int(v) for v in rng.choice([1, 5, 6, 20, 38], 4)) for _ in range(300))]
+    assert np.allclose(model.log_p(np.array([code(g) for g in tried])), [np.log(p(g)) for g in tried], atol=1e-4)
+
+
+def test_surprise_is_the_mean_over_characters():
+    rng = np.random.default_rng(7)
+    codes = np.unique(rng.integers(0, 40**4, 500))
+    model = perplexity_rules.Model(codes, rng.integers(1, 5, len(codes)))
+    texts = ["abc de", "", "Zé 9$"]
+    for text, got in zip(texts, perplexity_rules.surprises(texts, model)):
+        ids = [0, 0, 0, *(int(perplexity_rules._symbol_table()[ord(c)]) for c in text)]
+        own = np.array([((ids[i] * 40 + ids[i + 1]) * 40 + ids[i + 2]) * 40 + ids[i + 3] for i in range(len(text))], dtype=np.int64)
+        assert got == pytest.approx(-np.mean(model.log_p(own)) if text else 0.0, abs=1e-5)
+
+
 def test_op2(spark, small, empty):
     got = additive_classifier.op2_additive_classifier(spark, small).collect()
     rows = rows_of(small)

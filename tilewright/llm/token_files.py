@@ -21,7 +21,7 @@ system the path names, a task's file appears only when the task has succeeded,
 and a lost task is simply run again.
 
 Null texts count as empty: a document then has only its end id.  A null
-document id sorts first.  Repeated ids keep one entry per row, ordered by text.
+document id sorts first.  Repeated ids keep one entry per row, by text within a file and by its hash across files.
 """
 
 from __future__ import annotations
