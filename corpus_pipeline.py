@@ -2,7 +2,8 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on everything its
 predecessor kept.  All but the last return the columns of ``documents``; the
-last returns one row per remaining document with its ids and their digests.
+last returns one row per remaining document: its id, the number of its tokens,
+and digests of the token ids and of what they decode to.
 ``run`` writes every stage's rows to the shared folder of the session and reads
 them back, so a lost executor costs one stage's tasks at most.
 """
@@ -39,7 +40,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every remaining document, and digests of the ids and of what they decode to."""
+    """How many tokens every remaining document has, and digests of their ids and of what they decode to."""
     return trie_codec.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
