@@ -95,6 +95,17 @@ def test_packing(bits):
         assert (token_files.unpack(packed, n, bits) == ids).all()
 
 
+@pytest.mark.parametrize("together", [1, 3, 256])
+def test_words_encoded_as_one_text_equal_the_library(library, monkeypatch, together):
+    monkeypatch.setattr(token_files, "TOGETHER", together)
+    rng = random.Random(together)
+    signs = ["'s", "'", " ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\u180e", "ab", "Zürich", "漢字", "12", "?!", "<|endoftext|>", "<|", "endoftext", "|>", "\U0001f600"]
+    texts = ["", " ", "''s 's", "it's 'twas ''ll", "<|endoftext|> a<|endoftext|>", "é" * 3_000, " " + "x" * 3_000, "\x00 \x00"]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(400)]
+    encoder = token_files.library_encoder.__wrapped__(PATH)
+    assert encoder.texts(texts) == [ids_of(library, t).tobytes() for t in texts]
+
+
 def test_file_and_random_access(monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 64)
     rng = np.random.default_rng(1)

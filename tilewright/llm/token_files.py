@@ -45,6 +45,8 @@ BLOCK_IDS = 65_536
 #: Text that one file takes, about.
 FILE_BYTES = 48_000_000
 END_ID = 0
+#: Words that the library encodes as one text, and the characters of a word that is encoded alone.
+TOGETHER, LONG_WORD = 256, 1_000
 _BLOCK = struct.Struct("<4sB3xIIQQ")
 _FOOT = struct.Struct("<4sIQ")
 _TAIL = struct.Struct("<I4s")
@@ -171,7 +173,7 @@ def ids_at(content: bytes, start: int, n: int) -> np.ndarray:
 
 @functools.cache
 def library_encoder(path: str) -> WordCache:
-    """Pieces encoded by the tokenizers library, each distinct piece once."""
+    """Pieces encoded by the tokenizers library, each distinct piece of a batch once and many of them in one text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,15 +183,54 @@ def library_encoder(path: str) -> WordCache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(words: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
+    vocab = vocabs.load(path)
+    specials = vocab.specials
+    lengths = np.fromiter(map(len, vocab.bytes_of), dtype=np.int64)
+
+    def one_by_one(words: list[str]) -> Iterator[tuple[bytes, bytes]]:
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
-            found = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found))
+            for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                yield word.encode(), np.array(found.ids, dtype="<u4").tobytes()
+
+    def together(words: list[str], between: str, alone: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of words that the library cuts apart where they meet; those of a text that it cuts otherwise go to ``alone``."""
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        texts = [between.join(p) for p in parts]
+        for at in range(0, len(parts), 16):
+            for part, text, found in zip(parts[at : at + 16], texts[at : at + 16], tokenizer.encode_batch_fast(texts[at : at + 16], add_special_tokens=False)):
+                known = [word.encode() for word in part]
+                ends = np.cumsum(np.fromiter(map(len, known), dtype=np.int64, count=len(part)) + len(between)) - len(between)
+                ids = np.array(found.ids, dtype="<u4")
+                # Tokens end where words end, seen by the bytes that tokens stand for.
+                after = np.cumsum(lengths[ids])
+                stop = np.minimum(np.searchsorted(after, ends), len(ids) - 1)
+                if (after[stop] != ends).any() or any(s in text for s in specials):
+                    alone += part
+                    continue
+                start = np.append(0, stop[:-1] + 1 + len(between))
+                raw = ids.tobytes()
+                for word, a, b in zip(known, (4 * start).tolist(), (4 * stop + 4).tolist()):
+                    yield word, raw[a:b]
+
+    def encode(words: list[bytes]) -> dict[bytes, bytes]:
+        # A word without white space ends where white space comes, so words that begin with a space
+        # can follow one another in one text, and others with line feeds (words of their own) between them.
+        spaced, bare, alone = [], [], []
+        for word in map(bytes.decode, words):
+            core = word.split()
+            if len(core) == 1 and len(word) <= LONG_WORD and core[0] == word:
+                bare.append(word)
+            elif len(core) == 1 and len(word) <= LONG_WORD and word[0] == " " and core[0] == word[1:]:
+                spaced.append(word)
+            else:
+                alone.append(word)
+        out = dict(together(spaced, "", alone))
+        out.update(together(bare, "\n", alone))
+        out.update(one_by_one(alone))
         return out
 
-    return WordCache(encode, vocabs.load(path).specials)
+    return WordCache(encode, specials)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
