@@ -114,3 +114,28 @@ def test_losses_of_an_absent_object_are_zero(spark):
     got = {r.object: r for r in lookups.candidate_losses(values, ious, ["object"], {"mask": 2.0, "dice": 3.0, "iou": 1.0}).collect()}
     assert got[1].loss == 0 and (got[2].candidate, got[2].loss_iou) == (0, 0.5625)  # the first on ties
     assert got[2].loss == pytest.approx(2 * got[2].loss_mask + 3 * got[2].loss_dice + got[2].loss_iou, abs=1e-5)
+
+
+def test_jitter(spark):
+    rng = np.random.default_rng(8)
+    images = {k: rng.integers(0, 256, (5, 7, 3)) for k in (1, 2)}
+    images[3] = np.full((1, 1, 3), 255)
+    rows = [(k, y, x, *map(int, im[y, x])) for k, im in images.items() for y in range(im.shape[0]) for x in range(im.shape[1])]
+    pix = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
+    limits = {"brightness": 0.4, "contrast": 1.5, "saturation": 0.6}
+    drawn = spark.createDataFrame([(k,) for k in images], "image_id long").select("image_id", *(sampling.uniform(F.lit(w), F.col("image_id"), seed=9).alias(w) for w in limits)).collect()
+    luma = np.array([0.299, 0.587, 0.114])
+    want = {}
+    for d in drawn:
+        light, contrast, saturation = (max(0, 1 - v) + d[w] * (1 + v - max(0, 1 - v)) for w, v in limits.items())
+        im = np.clip(images[d.image_id] * light, 0, 255)
+        mean = (im @ luma).mean()
+        im = np.clip(mean + (im - mean) * contrast, 0, 255)
+        gray = (im @ luma)[..., None]
+        im = np.clip(gray + (im - gray) * saturation, 0, 255)
+        want |= {(d.image_id, y, x): im[y, x] for y in range(im.shape[0]) for x in range(im.shape[1])}
+    got = {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in resampling.jittered(pix, limits, ["image_id"], seed=9).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    # without limits nothing changes, and an empty table stays empty
+    assert sorted(map(tuple, resampling.jittered(pix, {}, ["image_id"]).collect())) == sorted(map(tuple, pix.collect()))
+    assert resampling.jittered(pix.limit(0), limits, ["image_id"]).count() == 0

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import cut
+from .sampling import uniform
 
 
 def chained(pix: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -37,6 +38,27 @@ def in_gray(pix: DataFrame, r: str = "r", g: str = "g", b: str = "b") -> DataFra
     return pix.withColumns({c: luma for c in (r, g, b)})
 
 
+def jittered(pix: DataFrame, limits: dict[str, float], keys: Sequence[str], seed: int = 0, channels: Sequence[str] = ("r", "g", "b"), decimals: int = 6) -> DataFrame:
+    """Brightness, contrast and saturation changed by factors drawn once for each ``keys``, in that order.
+
+    ``limits`` has the most that a factor is from 1; a factor is never below 0.  Contrast is about the
+    image's mean luma, saturation about each pixel's.  Values stay from 0 to 255.
+    """
+    def factor(what: str) -> Column:
+        low, high = max(0.0, 1 - limits.get(what, 0.0)), 1 + limits.get(what, 0.0)
+        return F.lit(low) + uniform(F.lit(what), *(F.col(k) for k in keys), seed=seed) * (high - low)
+
+    inside = lambda c: F.greatest(F.least(c, F.lit(255.0)), F.lit(0.0))
+    luma = lambda: F.col(channels[0]) * LUMA[0] + F.col(channels[1]) * LUMA[1] + F.col(channels[2]) * LUMA[2]
+    lit = pix.withColumns({c: inside(F.col(c) * factor("brightness")) for c in channels})
+    # one mean an image comes back by a join, so no image is whole in a task
+    means = lit.groupBy(F.col("image_id").alias("_image")).agg(F.round(F.avg(luma()), decimals).alias("_mean"))
+    met = lit.join(means, F.col("image_id") == F.col("_image")).drop("_image")
+    met = met.withColumns({c: inside(F.col("_mean") + (F.col(c) - F.col("_mean")) * factor("contrast")) for c in channels}).drop("_mean")
+    met = met.withColumn("_luma", luma())
+    return met.withColumns({c: F.round(inside(F.col("_luma") + (F.col(c) - F.col("_luma")) * factor("saturation")), decimals) for c in channels}).drop("_luma")
+
+
 def coloured(pix: DataFrame, matrix: dict[str, tuple[float, float, float]], r: str = "r", g: str = "g", b: str = "b") -> DataFrame:
     """Channels as weighted sums of the three, cut off to whole numbers from 0 to 255."""
     value = lambda w: F.least(F.greatest(F.floor(F.round(F.col(r) * w[0] + F.col(g) * w[1] + F.col(b) * w[2] + 0.5, 9)), F.lit(0)), F.lit(255)).cast("int")

@@ -39,6 +39,13 @@ def coloured(spark, sf):
     return resampling.coloured(derived.pixels(spark, sf), resampling.NUCLEI)
 
 
+JITTER = {"brightness": 0.1, "contrast": 0.05, "saturation": 0.2}
+
+
+def jittered(spark, sf):
+    return resampling.jittered(derived.pixels(spark, sf), JITTER, ["image_id"], seed=5, decimals=4)
+
+
 def prompt_plans(spark, sf):
     videos = derived.frames(spark, sf).groupBy("video").agg(F.count("*").alias("n_frames"))
     videos = videos.select("video", (F.col("video") % 3).cast("int").alias("start"), F.when(F.col("video") % 10 == 9, F.col("video") % 3 + 1).otherwise(F.col("n_frames")).cast("int").alias("n_frames"))
@@ -66,6 +73,13 @@ _AT = f"""i AS (SELECT DISTINCT image_id FROM pix), at_ AS (SELECT image_id, y::
 _TAPS = """taps AS (SELECT image_id, y, x, (floor(sy) + dy)::INT AS py, (floor(sx) + dx)::INT AS px, (CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS w FROM at_, range(2) u(dy), range(2) v(dx))"""
 _U = lambda *what: sampling.uniform_sql("video", *what, seed=11)
 
+def _factor(what):
+    return f"({1 - JITTER[what]!r}::DOUBLE + {sampling.uniform_sql(repr(what), 'image_id', seed=5)} * {1 + JITTER[what] - (1 - JITTER[what])!r}::DOUBLE)"
+
+
+_L = "r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE"
+_inside = "greatest(least({}, 255::DOUBLE), 0::DOUBLE) AS {}".format
+
 QUERIES = {
     "X21_affine": (turned, f"WITH {PIXELS_SQL}, {_AT}, {_TAPS} SELECT t.image_id, t.y, t.x, " + ", ".join(f"round(sum(w * {c}), 6) AS {c}" for c in "rgb") + " FROM taps t JOIN pix p ON p.image_id = t.image_id AND p.y = t.py AND p.x = t.px WHERE w > 0 GROUP BY 1, 2, 3"),
     "X21_affine_masks": (turned_mask, f"WITH {PIXELS_SQL}, {_AT} SELECT t.image_id, t.y, t.x FROM at_ t JOIN pix p ON p.image_id = t.image_id AND p.y = round_even(sy, 0)::INT AND p.x = round_even(sx, 0)::INT WHERE r + b > 120 AND g <= 80"),
@@ -73,6 +87,9 @@ QUERIES = {
         at_ AS (SELECT image_id, y::INT AS y, x::INT AS x, round((x + 0.5::DOUBLE) * {SIDE / SMALL!r}::DOUBLE - 0.5::DOUBLE, 9) AS sx, round((y + 0.5::DOUBLE) * {SIDE / SMALL!r}::DOUBLE - 0.5::DOUBLE, 9) AS sy FROM i, range({SMALL}) a(y), range({SMALL}) b(x)), {_TAPS}
         SELECT t.image_id, t.y, t.x, round(sum(w), 6) AS v FROM taps t JOIN fg p ON p.image_id = t.image_id AND p.y = greatest(least(t.py, {SIDE - 1}), 0) AND p.x = greatest(least(t.px, {SIDE - 1}), 0) WHERE w > 0 GROUP BY 1, 2, 3"""),
     "V05_X21_chained": (chained, f"WITH {PIXELS_SQL}, l AS (SELECT image_id, y, ({SIDE - 1} - x)::INT AS x, (r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE) / 255 AS v FROM pix) SELECT image_id, y, x, " + ", ".join(f"round((v - {m}::DOUBLE) / {d}::DOUBLE, 6) AS {c}" for c, (m, d) in CHANNELS.items()) + " FROM l"),
+    "X21_jittered": (jittered, f"WITH {PIXELS_SQL}, j1 AS (SELECT image_id, y, x, " + ", ".join(_inside(f"{c} * {_factor('brightness')}", c) for c in "rgb") + f" FROM pix), jm AS (SELECT image_id, round(avg({_L}), 4) AS m FROM j1 GROUP BY 1), "
+        + "j2 AS (SELECT j1.image_id, y, x, " + ", ".join(_inside(f"m + ({c} - m) * {_factor('contrast').replace('image_id', 'j1.image_id')}", c) for c in "rgb") + f" FROM j1 JOIN jm ON j1.image_id = jm.image_id), j3 AS (SELECT *, {_L} AS l FROM j2) "
+        + "SELECT image_id, y, x, " + ", ".join(f"round(greatest(least(l + ({c} - l) * {_factor('saturation')}, 255::DOUBLE), 0::DOUBLE), 4) AS {c}" for c in "rgb") + " FROM j3"),
     "F22_coloured": (coloured, f"WITH {PIXELS_SQL}, l AS (SELECT image_id, y, x, least(floor(round(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE + 0.5::DOUBLE, 9)), 255)::INT AS v FROM pix) SELECT image_id, y, x, 0 AS r, v AS g, v AS b FROM l"),
     "R10_prompt_plans": (prompt_plans, f"""WITH {FRAMES_SQL}, n AS (SELECT video, (video % 3)::INT AS start, (CASE WHEN video % 10 = 9 THEN video % 3 + 1 ELSE count(*) END)::INT AS n_frames FROM frames GROUP BY video), o AS (SELECT video, start, CASE WHEN video % 30 = 9 THEN 1 ELSE n_frames END AS n_frames FROM n WHERE n_frames > start),
         d AS (SELECT *, n_frames = 1 OR {_U("'points'")} < 0.7 AS by_points, CASE WHEN n_frames = 1 THEN 1 ELSE 3 END AS mi, CASE WHEN n_frames = 1 THEN 1 ELSE 7 END AS mc FROM o),
