@@ -317,6 +317,26 @@ def test_many_items_take_several_passes(spark, small, monkeypatch):
     assert {tuple(r) for r in decontaminate.op10_decontaminate(spark, small).collect()} == one
 
 
+def test_op10_rare_and_frequent_seeds_find_the_same(spark, small, monkeypatch):
+    one = {tuple(r) for r in decontaminate.op10_decontaminate(spark, small).collect()}
+    for least, most in ((0, 0), (2, 2), (10**9, 10**9)):  # no seed is rare, some are, all are
+        monkeypatch.setattr(decontaminate, "MIN_KEY", least)
+        monkeypatch.setattr(decontaminate, "MAX_KEY", most)
+        assert {tuple(r) for r in decontaminate.op10_decontaminate(spark, small).collect()} == one
+    assert one
+
+
+def test_op10_passages_hold_what_alignments_reach(spark):
+    filler = " ".join(f"w{k}" for k in range(400))
+    item = "the quick brown fox jumps over the lazy dog near a river"
+    docs = spark.createDataFrame([(1, f"{filler} {item} {filler} {item.replace('fox', 'cat')} {filler}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    held = spark.sparkContext.broadcast(decontaminate.gathered(decontaminate.item_seeds(items)))
+    rows = sorted(decontaminate.passages(docs, held, [3]).collect(), key=lambda r: r.start)
+    assert [(r.start, len(r.words) // 8, r.places[0]) for r in rows] == [(376, 60, 24), (788, 60, 24)]
+    assert [(r.score, r.first_word, r.last_word) for r in decontaminate.leaks(docs, items).collect()] == [(1.0, 400, 411)]
+
+
 def test_blocks_find_links_that_the_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     monkeypatch.setattr(jaccard_join, "COLUMNS", 16)

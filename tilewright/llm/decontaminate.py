@@ -3,13 +3,17 @@
 * Texts and test items are lower-cased and cut into words at white space and
   ASCII punctuation.  An item's seeds are its three-word sequences (all its
   words, if it has fewer).
-* Every seed counts, however many documents have it, so a copy with any intact
-  seed is found whatever else quotes the item.  The tasks hold the items, look
-  their seeds up in each document and pair the two where they stand: no seed is
-  a key that rows meet on, so a frequent one makes no large group.
-* A pair goes on if the document, and then a passage around the item's seeds,
-  has enough of the item's words to reach the threshold by matches alone.  A
-  passage reaches as far as an alignment of the threshold can.
+* One scan cuts the passages around seeds out of the documents: a passage reaches
+  as far as an alignment of the threshold can, and near ones are one.  They are
+  written to the shared folder; all later steps read them, not the texts.
+* Spark counts the passages of each seed.  Rare seeds are the keys of a join of
+  passages with items.  A seed is rare if its key makes at most a thousandth of the
+  join's rows (``MIN_KEY`` of them at least, ``MAX_KEY`` at most), so no key is hot.
+* Frequent seeds are no keys.  Where a passage has no rare seed of an item, its task
+  looks the frequent ones up where they stand.  So every seed counts, and a copy
+  with any intact seed is found whatever else quotes the item.
+* A pair goes on if the passage has enough of the item's words to reach the
+  threshold by matches alone.
 * A Smith-Waterman alignment of the words scores what is left: a match counts 2,
   a substitution -1, a gap -1, over twice the item's words.  So edited and
   paraphrased copies score by what they keep.  Pairs of ``THRESHOLD`` or more are
@@ -33,6 +37,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,8 @@ from .common import frees, mix64, saved, table, text_steps, without, words_of
 GRAM = 3
 THRESHOLD = 0.5
 MAX_SEEDS = 4_000_000
+#: Rows of the join with items that one seed makes at most: SHARE of all, within these bounds.
+SHARE, MIN_KEY, MAX_KEY = 0.001, 1_000, 200_000
 #: Words of items that are looked up at once, and alignments that a task remembers.
 LOOKUP, REMEMBERED = 1_000_000, 50_000
 #: Pairs whose ids are broadcast at most.
@@ -125,6 +132,9 @@ class Items:
     item_begin: np.ndarray
     of_seed: np.ndarray  # the items of each seed
     seed_begin: np.ndarray
+    reach: np.ndarray  # how far from each seed an alignment of the threshold can lie
+    keys: np.ndarray  # sorted hashes of the items that the join names them by
+    of_key: np.ndarray  # the item of each key
     ids: list[list[int | None]]  # the ids that share the item
 
     def item(self, k: int) -> np.ndarray:
@@ -134,6 +144,11 @@ class Items:
         """The items that have any of the seeds."""
         return np.unique(np.concatenate([self.of_seed[self.seed_begin[n] : self.seed_begin[n + 1]] for n in numbers.tolist()]))
 
+    def with_keys(self, keys: np.ndarray) -> np.ndarray:
+        """The items of the given hashes."""
+        begin, end = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+        return np.concatenate([self.of_key[a:b] for a, b in zip(begin, end)])
+
     def worded(self, items: np.ndarray, found: np.ndarray, threshold: float) -> np.ndarray:
         """Those of the items so many of whose words are in ``found`` that matches alone reach the threshold."""
         there, out = np.unique(found), []
@@ -150,16 +165,26 @@ class Items:
         return np.concatenate(out)
 
 
-def gathered(prepared: DataFrame) -> Items:
+def gathered(prepared: DataFrame, threshold: float = THRESHOLD) -> Items:
     """The items of one pass: about ``MAX_SEEDS`` seeds."""
-    rows = prepared.groupBy("item").agg(F.collect_list(F.struct("item_id")).alias("ids"), F.first("seeds").alias("seeds")).toArrow()
+    rows = prepared.groupBy("item").agg(F.collect_list(F.struct("item_id")).alias("ids"), F.first("seeds").alias("seeds"), F.xxhash64("item").alias("key")).toArrow()
     words_ = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in rows["item"]]
     seeds = [np.asarray(x.values.to_numpy(), dtype=np.int64).view(np.uint64) for x in rows["seeds"]]
     begins = lambda parts: np.cumsum([0, *map(len, parts)])
     distinct, number = np.unique(np.concatenate(seeds), return_inverse=True)
     owner = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
     pairs = np.unique(np.stack([number, owner]), axis=1)
-    return Items(np.concatenate(words_), begins(words_), distinct, number, begins(seeds), pairs[1], np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), [[x["item_id"] for x in ids] for ids in rows["ids"].to_pylist()])
+    seed_begin, keys = np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), rows["key"].to_numpy()
+    reach = np.maximum.reduceat(reach_of(np.array([len(w) for w in words_]), threshold)[pairs[1]], seed_begin[:-1])
+    order = np.argsort(keys, kind="stable")
+    return Items(
+        np.concatenate(words_), begins(words_), distinct, number, begins(seeds), pairs[1], seed_begin, reach, keys[order], order, [[x["item_id"] for x in ids] for ids in rows["ids"].to_pylist()]
+    )
+
+
+def reach_of(n_words: np.ndarray, threshold: float) -> np.ndarray:
+    """So many matches and insertions of items of so many words that the score is still the threshold."""
+    return (n_words * max(1, 3 - 2 * threshold)).astype(np.int64)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -177,12 +202,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def found_in(items: Items, found: np.ndarray, places: np.ndarray, numbers: np.ndarray, threshold: float, known: dict) -> Iterator[tuple[int, float, int, int]]:
-    """The leaked items of a document's words, given the places of seeds: item, score, first and last word."""
-    for k in items.worded(items.with_seeds(np.unique(numbers)), found, threshold).tolist():
+def found_in(items: Items, ks: np.ndarray, found: np.ndarray, places: np.ndarray, numbers: np.ndarray, threshold: float, known: dict) -> Iterator[tuple[int, float, int, int]]:
+    """Those of the items ``ks`` that leak into a passage's words, given the places of seeds: item, score, first and last word."""
+    for k in items.worded(ks, found, threshold).tolist():
         item, own = items.item(k), places[np.isin(numbers, items.of_item[items.item_begin[k] : items.item_begin[k + 1]])]
-        # So many matches and insertions that the score is still the threshold.
-        reach, results = int(len(item) * max(1, 3 - 2 * threshold)), []
+        reach, results = int(reach_of(np.array(len(item)), threshold)), []
         cut = np.flatnonzero(np.diff(own) > 2 * reach) + 1
         for first, last in zip(own[np.append(0, cut)].tolist(), own[np.append(cut - 1, -1)].tolist()):
             start = max(0, first - reach)
@@ -213,28 +237,71 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     return out
 
 
-def _leaks(docs: DataFrame, prepared: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
-    schema = "doc_id long, text_hash long, item_id long, score double, first_word long, last_word long"
-    if prepared.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    held = docs.sparkSession.sparkContext.broadcast(gathered(prepared))
+def passages(docs: DataFrame, held: Broadcast[Items], sizes: list[int]) -> DataFrame:
+    """The passages around seeds: doc_id, text_hash, start (a word's place), words (hashes), seeds and their places in the passage."""
+    schema = "doc_id long, text_hash long, start long, words binary, seeds array<long>, places array<int>"
 
     @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, known = held.value, {}
+        of = held.value
         for batch in batches:
             at = 0
             for ids, texts in text_steps(iter([batch])):
                 ids_, hashes, rows = ids.to_pylist(), batch.column(2).slice(at, len(ids)).to_pylist(), []
                 at += len(ids)
                 for n, found, places, numbers in _hits(texts, of.seeds, sizes):
-                    for k, *result in found_in(of, found, places, numbers, threshold, known):
-                        rows += [(ids_[n], hashes[n], item_id, *result) for item_id in of.ids[k]]
+                    low = places - of.reach[numbers]
+                    order = np.argsort(low, kind="stable")
+                    low, places, numbers = low[order], places[order], numbers[order]
+                    high = np.maximum.accumulate(places + GRAM + of.reach[numbers])
+                    border = np.append(np.flatnonzero(np.append(True, low[1:] > high[:-1])), len(low))
+                    for a, b in zip(border[:-1], border[1:]):
+                        start, by_place = max(0, int(low[a])), a + np.argsort(places[a:b], kind="stable")
+                        rows.append((ids_[n], hashes[n], start, found[start : high[b - 1]].tobytes(), of.seeds[numbers[by_place]].view(np.int64), places[by_place] - start))
                 if rows:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "text_hash", "item_id", "score", "first_word", "last_word"])
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "text_hash", "start", "words", "seeds", "places"])
+
+    return _texts(docs).mapInArrow(run, schema)
+
 
-    best = _texts(docs).mapInArrow(run, schema).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("best"))
+def _leaks(docs: DataFrame, prepared: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
+    schema = "doc_id long, text_hash long, item_id long, score double, first_word long, last_word long"
+    spark = docs.sparkSession
+    if prepared.isEmpty():
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(gathered(prepared, threshold))
+    cut = saved(passages(docs, held, sizes).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    hits = cut.select("passage", F.explode(F.array_distinct("seeds")).alias("seed"))
+    keys = prepared.select(F.explode("seeds").alias("seed"), F.xxhash64("item").alias("item")).distinct()
+    made = hits.groupBy("seed").agg(F.count("*").alias("n")).join(keys.groupBy("seed").agg(F.count("*").alias("items")), "seed")
+    made = saved(made.select("seed", (F.col("n") * F.col("items")).alias("made")), "seeds")
+    limit = min(MAX_KEY, max(MIN_KEY, int(SHARE * (made.agg(F.sum("made")).first()[0] or 0))))
+    frequent = made.where(F.col("made") > limit).select("seed")  # of the at most MAX_SEEDS seeds of a pass
+    rare = hits.join(F.broadcast(frequent), "seed", "left_anti").join(keys, "seed")
+    candidates = rare.groupBy("passage").agg(F.collect_set("item").alias("items"))
+    often = spark.sparkContext.broadcast(np.sort(frequent.toArrow()["seed"].to_numpy().view(np.uint64)))
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, known, none = held.value, {}, np.zeros(0, np.int64)
+        for batch in batches:
+            rows = []
+            for doc_id, text_hash, start, packed, seeds, places, items in zip(*(batch.column(c) for c in range(7))):
+                here = seeds.values.to_numpy().view(np.uint64)
+                ks = of.with_keys(items.values.to_numpy()) if items.is_valid else none
+                unkeyed = np.intersect1d(here, often.value)
+                if len(unkeyed):
+                    ks = np.union1d(ks, of.with_seeds(np.searchsorted(of.seeds, unkeyed)))
+                found = found_in(of, ks, np.frombuffer(packed.as_buffer(), np.uint64), places.values.to_numpy(), np.searchsorted(of.seeds, here), threshold, known)
+                for k, score, first, last in found:
+                    rows += [(doc_id.as_py(), text_hash.as_py(), item_id, score, start.as_py() + first, start.as_py() + last) for item_id in of.ids[k]]
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "text_hash", "item_id", "score", "first_word", "last_word"])
+
+    paired = cut.join(candidates, "passage", "left").select("doc_id", "text_hash", "start", "words", "seeds", "places", "items")
+    best = paired.mapInArrow(run, schema).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("best"))
     return best.select("doc_id", "text_hash", "item_id", "best.score", "best.first_word", "best.last_word")
 
 
