@@ -76,7 +76,7 @@ def test_op7_scores_one_by_one(spark):
             slot = mine.get(int(token), maxent_lm.OWN + at)
             group, size = slot // maxent_lm.SLOTS, model.weights.shape[1]
             total += factor(model.weights[0], [int(f) % size for f in features[:, k]], model.class_bias, group)
-            keyed = maxent_lm.mix64(features[:, k] + np.uint64(group) * np.uint64(0x9E3779B97F4A7C15))
+            keyed = maxent_lm.mix64(features[:, k] + np.uint64(group * 0x9E3779B97F4A7C15 % 2**64))
             total += factor(model.weights[1], [int(f) % size for f in keyed], model.slot_bias[group], slot % maxent_lm.SLOTS)
             if int(token) not in mine:
                 total += np.log((of.get(token, 0) + 1) / (shared_n[at] + shared_v[at] + 1))
@@ -163,3 +163,29 @@ def test_op10_null_and_repeated_ids(spark):
     assert Counter(r.doc_id for r in decontaminate.keep(docs, bench).collect()) == Counter([1, 2])
 
 
+
+
+def test_op7_means_in_levels(spark, monkeypatch):
+    """Groups that share a task, and levels of groups, give each row's weighed mean."""
+    rng = np.random.default_rng(5)
+    rows, total, n = [], np.zeros((3, maxent_lm.BLOCK_ROWS, maxent_lm.CLASSES)), np.zeros((3, maxent_lm.BLOCK_ROWS))
+    for part in range(9):
+        for block in range(3):
+            of = np.sort(rng.choice(maxent_lm.BLOCK_ROWS, 40, replace=False))
+            evidence, weights = rng.integers(1, 9, 40).astype(np.float32), rng.normal(size=(40, maxent_lm.CLASSES)).astype(np.float16)
+            rows.append((block, part, of.astype(np.uint16).tobytes(), evidence.tobytes(), weights.tobytes()))
+            total[block, of] += weights.astype(np.float64) * evidence[:, None]
+            n[block, of] += evidence
+    monkeypatch.setattr(maxent_lm, "FAN", 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = maxent_lm.means(spark.createDataFrame(rows, maxent_lm.PACKED), 9).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.block for r in got) == [0, 1, 2]
+    for r in got:
+        of = np.frombuffer(r.rows, np.uint16)
+        assert of.tolist() == np.flatnonzero(n[r.block]).tolist()
+        assert np.allclose(np.frombuffer(r.evidence, np.float32), n[r.block, of])
+        assert np.allclose(np.frombuffer(r.weights, np.float16).reshape(-1, maxent_lm.CLASSES), total[r.block, of] / n[r.block, of, None], atol=0.01)

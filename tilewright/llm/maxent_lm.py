@@ -254,26 +254,32 @@ def means(blocks: DataFrame, parts: int) -> DataFrame:
     """Per block the mean of its tasks' rows, each weighed by the task's evidence for it; and the summed evidence.
 
     Beyond ``FAN`` tasks the means are taken in levels, so that no group holds more than ``FAN`` parts of a block.
+    A task holds one group at a time, however many come to it.
     """
 
     @frees
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        total, n = np.zeros((BLOCK_ROWS, CLASSES)), np.zeros(BLOCK_ROWS)
+        group = None  # rows come sorted, so one group is held at a time
         for batch in batches:
             for block, part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-                total, n = sums.setdefault((block, part), (np.zeros((BLOCK_ROWS, CLASSES)), np.zeros(BLOCK_ROWS)))
+                if group not in (None, (block, part)):
+                    rows = np.flatnonzero(n)
+                    yield _packed(*group, rows, n[rows], total[rows] / n[rows, None])
+                    total[:], n[:] = 0, 0
+                group = block, part
                 rows, evidence, weights = (np.frombuffer(x, dtype=t) for x, t in zip(packed, (np.uint16, np.float32, np.float16)))
                 total[rows] += weights.reshape(-1, CLASSES).astype(np.float64) * evidence[:, None]
                 n[rows] += evidence
-        for (block, part), (total, n) in sums.items():
+        if group is not None:
             rows = np.flatnonzero(n)
-            yield _packed(block, part, rows, n[rows], total[rows] / n[rows, None])
+            yield _packed(*group, rows, n[rows], total[rows] / n[rows, None])
 
     while True:
         last = parts <= FAN
         grouped = blocks.withColumn("part", F.lit(0) if last else F.floor(F.col("part") / FAN).cast("int"))
         parts = 1 if last else -(-parts // FAN)
-        blocks = grouped.repartition("block", "part").mapInArrow(mean, PACKED)
+        blocks = grouped.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(mean, PACKED)
         if last:
             return blocks
 
