@@ -9,9 +9,9 @@
 * Spark counts the passages of each seed.  Rare seeds are the keys of a join of
   passages with items.  A seed is rare if its key makes at most a thousandth of the
   join's rows (``MIN_KEY`` of them at least, ``MAX_KEY`` at most), so no key is hot.
-* Frequent seeds are no keys.  Where a passage has no rare seed of an item, its task
-  looks the frequent ones up where they stand.  So every seed counts, and a copy
-  with any intact seed is found whatever else quotes the item.
+* Frequent seeds are no keys: the tasks hold the items, and look these seeds up where
+  they stand.  So every seed counts, and a copy with any intact seed is found whatever
+  else quotes the item.
 * A pair goes on if the passage has enough of the item's words to reach the
   threshold by matches alone.
 * A Smith-Waterman alignment of the words scores what is left: a match counts 2,
