@@ -114,6 +114,17 @@ def test_op12(spark, tables, monkeypatch, block, bins, few):
     assert Counter(map(tuple, got.collect())) == brute_top(integers(tables / "some", 256), 5, lambda i: i % 50 == 0)
 
 
+def test_op12_scores_over_a_refined_range_are_counted_once(spark, tmp_path):
+    # close vectors: more than FEW scores in the bin of the k-th, and some just above that bin
+    rng = np.random.default_rng(0)
+    middles = rng.normal(0, 1, (8, 64))
+    middles /= np.linalg.norm(middles, axis=1)[:, None]
+    rows = [{"vec_id": k, "embedding": (middles[k % 8] + rng.normal(0, 0.003, 64)).tolist(), "label": 1, "cluster": "c", "score": "s", "n": 1} for k in range(4000)]
+    pq.write_table(pa.Table.from_pylist(rows, schema=SCHEMA), tmp_path / "embeddings.parquet")
+    got = histogram_topk.op12_histogram_topk(spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == brute_top(integers(tmp_path, 256), 5, lambda i: i % 50 == 0)
+
+
 def test_op12_every_row_a_query_and_more_wanted_than_there_are(spark, tables):
     rows = spark.read.parquet(str(tables / "some" / "embeddings.parquet"))
     got = histogram_topk.top_k(rows, F.col("vec_id") >= 255, k=1000)

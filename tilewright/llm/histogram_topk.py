@@ -64,7 +64,8 @@ class Block:
     vectors: dict[int, tuple[int, np.ndarray]]
     low: np.ndarray
     width: np.ndarray
-    above: np.ndarray  # scores at or over low + BINS * width
+    top: np.ndarray  # the range ends before it; the last bin may reach beyond
+    above: np.ndarray  # scores at or over top
     few: np.ndarray  # few scores lie at or above low
 
     @classmethod
@@ -77,7 +78,7 @@ class Block:
         norms = np.concatenate([np.sqrt(np.square(m).sum(axis=1)) for _, m in vectors.values()])
         reach = np.minimum(np.ceil(norms * longest * (1 + 1e-9)) + 1, 2.0**62).astype(np.int64)  # no score is beyond
         n = len(rows)
-        return cls(np.array([r.query_no for r in rows]), np.array([r.vec_id for r in rows]), vectors, -reach, 2 * reach // BINS + 1, np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool))
+        return cls(np.array([r.query_no for r in rows]), np.array([r.vec_id for r in rows]), vectors, -reach, 2 * reach // BINS + 1, reach + 1, np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool))
 
     def open(self) -> Block:
         """The queries whose range is to be refined."""
@@ -88,7 +89,7 @@ class Block:
             if len(part):
                 vectors[length] = (begin, part)
                 begin += len(part)
-        return Block(self.numbers[keep], self.ids[keep], vectors, self.low[keep], self.width[keep], self.above[keep], self.few[keep])
+        return Block(self.numbers[keep], self.ids[keep], vectors, self.low[keep], self.width[keep], self.top[keep], self.above[keep], self.few[keep])
 
     def scores(self, column: pa.Array, ids: np.ndarray, known: np.ndarray, scale: int, tile_queries: int, tile_rows: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
         """Tile by tile: the queries, the candidates' places, their scores, and which of them take part."""
@@ -121,11 +122,11 @@ def histograms(rows: DataFrame, block: Block, k: int, scale: int) -> DataFrame:
         b = held.value
         need = k - b.above
         count = np.zeros((len(b.ids), BINS), dtype=np.int64)
-        floor, top = b.low.copy(), b.low + b.width * BINS
+        floor = b.low.copy()
         for batch in batches:
             ids, known = _ids(batch.column(0))
             for tile, _, score, other in b.scores(batch.column(1), ids, known, scale, TILE_QUERIES, TILE_ROWS):
-                q, c = np.nonzero(other & (score >= floor[tile, None]) & (score < top[tile, None]))
+                q, c = np.nonzero(other & (score >= floor[tile, None]) & (score < b.top[tile, None]))
                 bins = (score[q, c] - b.low[tile][q]) // b.width[tile][q]
                 count[tile] += np.bincount(q * BINS + bins, minlength=len(score) * BINS).reshape(-1, BINS)
                 from_top = np.cumsum(count[tile, ::-1], axis=1)
@@ -154,6 +155,7 @@ def refine(rows: DataFrame, block: Block, k: int, scale: int) -> None:
     for r in found.select("query_no", "bin", "n", "from_top").collect():  # one row a query of the block
         i = at[r.query_no]
         block.low[i] += r.bin * block.width[i]
+        block.top[i] = min(block.low[i] + block.width[i], block.top[i])  # scores from there on are counted in above
         block.above[i] += r.from_top - r.n
         block.few[i] = block.above[i] + r.n <= max(FEW, k) or block.width[i] == 1
         block.width[i] = -(-block.width[i] // BINS)
