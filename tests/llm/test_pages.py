@@ -154,3 +154,10 @@ def test_many_members_are_read_in_linear_time():
     began = time.process_time()
     assert sum(1 for _ in warc_captures.records(member * 40_000)) == 40_000
     assert time.process_time() - began < 20
+
+
+def test_every_rule_says_what_its_contract_says(spark, tmp_path):
+    urls = {"http://a.com/en/1": ("com/en/", "block"), "http://m.example.com/en/71": ("example.com/en/7", "allow"), "http://x.net/de/1": ("net/de/", "allow"), "http://example.net/de/81": ("example.net/de/8", "block"), "http://org/es/": ("org/es/", "block")}
+    spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = url_filter.op6_url_filter(spark, str(tmp_path)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in found} == dict(enumerate(urls.values()))
