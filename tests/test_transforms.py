@@ -139,3 +139,12 @@ def test_jitter(spark):
     # without limits nothing changes, and an empty table stays empty
     assert sorted(map(tuple, resampling.jittered(pix, {}, ["image_id"]).collect())) == sorted(map(tuple, pix.collect()))
     assert resampling.jittered(pix.limit(0), limits, ["image_id"]).count() == 0
+
+
+@pytest.mark.parametrize("how", ["nearest", "linear"])
+def test_the_map_is_made_once_for_all_images(spark, how):
+    rows = spark.createDataFrame([(i, y, x, i + y * x) for i in range(3) for y in range(3) for x in range(4)], "image_id long, y int, x int, v int")
+    out = resampling.affine(rows, ["v"], 3, 4, resampling.inverse_affine(10, (1, 0), 1, (0, 0), 3, 4), how)
+    # a grid for each image would be taken for small, whatever it unfolds to, and be broadcast
+    steps = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in line]
+    assert steps and not any("image_id" in line for line in steps)

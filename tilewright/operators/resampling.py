@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
 from .sampling import uniform
 
 
@@ -84,23 +83,25 @@ def inverse_affine(angle: float, translate: tuple[float, float], scale: float, s
     return m[0], m[1], cx - m[0] * x0 - m[1] * y0, m[2], m[3], cy - m[2] * x0 - m[3] * y0
 
 
-def _sampled(pix: DataFrame, images: DataFrame, channels: Sequence[str], size: tuple[int, int], source: tuple[int, int], sx: Column, sy: Column, how: str, clamp: bool, decimals: int) -> DataFrame:
-    grid = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1))).alias("x"))
-    at = grid.select("image_id", "y", "x", F.round(sx, 9).alias("sx"), F.round(sy, 9).alias("sy"))
+def _sampled(pix: DataFrame, channels: Sequence[str], size: tuple[int, int], source: tuple[int, int], sx: Column, sy: Column, how: str, clamp: bool, decimals: int) -> DataFrame:
+    # the map is the same for all images, so it is one table of the size of an image; its rows are known to Spark, which
+    # broadcasts it or not.  Source pixels go to the output pixels that see them: no image is laid out as a grid of its own.
+    along = lambda n, c: pix.sparkSession.range(n).select(F.col("id").cast("int").alias(c))
+    at = along(size[0], "y").crossJoin(along(size[1], "x")).select("y", "x", F.round(sx, 9).alias("sx"), F.round(sy, 9).alias("sy"))
     if how == "nearest":
         # halves go to the even pixel
         taps = F.array(F.struct(F.bround("sy", 0).cast("int").alias("py"), F.bround("sx", 0).cast("int").alias("px"), F.lit(1.0).alias("w")))
     else:
         fy, fx = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
         taps = F.array(*(F.struct((F.floor("sy") + dy).cast("int").alias("py"), (F.floor("sx") + dx).cast("int").alias("px"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w")) for dy in (0, 1) for dx in (0, 1)))
-    each = at.select("image_id", "y", "x", F.explode(taps).alias("t")).where("t.w > 0")
+    each = at.select("y", "x", F.explode(taps).alias("t")).where("t.w > 0")
     if clamp:  # the border goes on beyond the image
         inside = lambda c, n: F.greatest(F.least(F.col(c), F.lit(n - 1)), F.lit(0))
-        each = each.select("image_id", "y", "x", inside("t.py", source[0]).alias("py"), inside("t.px", source[1]).alias("px"), "t.w")
+        each = each.select("y", "x", inside("t.py", source[0]).alias("py"), inside("t.px", source[1]).alias("px"), "t.w")
     else:
-        each = each.select("image_id", "y", "x", "t.py", "t.px", "t.w").where(F.col("py").between(0, source[0] - 1) & F.col("px").between(0, source[1] - 1))
-    there = pix.select(F.col("image_id").alias("image"), F.col("y").alias("iy"), F.col("x").alias("ix"), *channels)
-    met = each.join(there, (F.col("image_id") == F.col("image")) & (F.col("py") == F.col("iy")) & (F.col("px") == F.col("ix")))
+        each = each.select("y", "x", "t.py", "t.px", "t.w").where(F.col("py").between(0, source[0] - 1) & F.col("px").between(0, source[1] - 1))
+    there = pix.select("image_id", F.col("y").alias("iy"), F.col("x").alias("ix"), *channels)
+    met = there.join(each, (F.col("py") == F.col("iy")) & (F.col("px") == F.col("ix")))
     return met.groupBy("image_id", "y", "x").agg(*(F.round(F.sum(F.col("w") * F.col(c)), decimals).alias(c) for c in channels))
 
 
@@ -111,10 +112,10 @@ def affine(pix: DataFrame, channels: Sequence[str], height: int, width: int, inv
     """
     a, b, c, d, e, f = (F.lit(v) for v in inverse)
     x, y = F.col("x"), F.col("y")
-    return _sampled(pix, cut(pix.select("image_id").distinct()), channels, (height, width), (height, width), a * x + b * y + c, d * x + e * y + f, how, False, decimals)
+    return _sampled(pix, channels, (height, width), (height, width), a * x + b * y + c, d * x + e * y + f, how, False, decimals)
 
 
 def resized(pix: DataFrame, channels: Sequence[str], source: tuple[int, int], size: tuple[int, int], decimals: int = 6) -> DataFrame:
     """Rasters of ``source`` height and width as ``size``, linearly between pixel centres; at borders the outer pixel counts on."""
     place = lambda c, s, t: (F.col(c) + 0.5) * (s / t) - 0.5
-    return _sampled(pix, cut(pix.select("image_id").distinct()), channels, size, source, place("x", source[1], size[1]), place("y", source[0], size[0]), "linear", True, decimals)
+    return _sampled(pix, channels, size, source, place("x", source[1], size[1]), place("y", source[0], size[0]), "linear", True, decimals)
