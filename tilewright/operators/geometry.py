@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, cut
+from .graph import components, cut, shuffled
 
 
 def overlapping(boxes: DataFrame, cell: int, by: list[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def overlapping(boxes: DataFrame, cell: int, by: list[str]) -> DataFrame:
     low = lambda c: F.floor(F.col(c) / cell)
     cells = boxes.select(*by, "id", "x1", "y1", "x2", "y2", F.explode(F.sequence(low("x1"), low("x2"))).alias("cx")).select("*", F.explode(F.sequence(low("y1"), low("y2"))).alias("cy"))
     b = cells.select(*by, "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in ("id", "x1", "y1", "x2", "y2")))
-    met = cells.join(b, [*by, "cx", "cy"]).where("id < b_id AND x1 <= b_x2 AND b_x1 <= x2 AND y1 <= b_y2 AND b_y1 <= y2")
+    met = cells.join(shuffled(b), [*by, "cx", "cy"]).where("id < b_id AND x1 <= b_x2 AND b_x1 <= x2 AND y1 <= b_y2 AND b_y1 <= y2")
     first = (F.col("cx") == F.floor(F.greatest("x1", "b_x1") / cell)) & (F.col("cy") == F.floor(F.greatest("y1", "b_y1") / cell))
     return met.where(first).select(*by, F.col("id").alias("a"), F.col("b_id").alias("b"), *(F.col(c) for c in ("x1", "y1", "x2", "y2", "b_x1", "b_y1", "b_x2", "b_y2")))
 
@@ -32,7 +32,7 @@ def within_distance(points: DataFrame, distance: int, inclusive: bool = False) -
     near = near.select("b", "bx", "by", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
     squared = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
     close = squared <= distance * distance if inclusive else squared < distance * distance
-    return here.join(near, ["cx", "cy"]).where((F.col("id") < F.col("b")) & close).select(F.col("id").alias("a"), "b", squared.alias("squared"))
+    return here.join(shuffled(near), ["cx", "cy"]).where((F.col("id") < F.col("b")) & close).select(F.col("id").alias("a"), "b", squared.alias("squared"))
 
 
 def matching_boxes(one: DataFrame, two: DataFrame, by: list[str], most: int = 2) -> DataFrame:
@@ -44,7 +44,7 @@ def matching_boxes(one: DataFrame, two: DataFrame, by: list[str], most: int = 2)
     edges = ("x1", "y1", "x2", "y2")
     left = one.select(*by, F.col("id").alias("a"), *edges, F.explode(F.sequence(band("x1") - 1, band("x1") + 1)).alias("_band"))
     right = two.select(*by, F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in edges), band("x1").alias("_band"))
-    near = left.join(right, [*by, "_band"]).where("x1 <= b_x2 AND b_x1 <= x2 AND y1 <= b_y2 AND b_y1 <= y2")
+    near = left.join(shuffled(right), [*by, "_band"]).where("x1 <= b_x2 AND b_x1 <= x2 AND y1 <= b_y2 AND b_y1 <= y2")
     for c in edges:
         near = near.where(F.abs(F.col(c) - F.col(f"b_{c}")) <= most)
     return near.select(*by, "a", "b")
@@ -53,7 +53,7 @@ def matching_boxes(one: DataFrame, two: DataFrame, by: list[str], most: int = 2)
 def grouped(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """``items`` with the least id of the group that ``pairs`` connect them to."""
     roots = components(pairs).select(F.col("node").alias("of"), "root")
-    return items.join(roots, F.col("id") == F.col("of"), "left").withColumn("grp_id", F.coalesce("root", "id")).drop("of", "root")
+    return items.join(shuffled(roots), F.col("id") == F.col("of"), "left").withColumn("grp_id", F.coalesce("root", "id")).drop("of", "root")
 
 
 def group_rollup(members: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, cut
+from .graph import components, cut, shuffled
 
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -105,7 +105,7 @@ def seam_pairs(labelled: DataFrame, tile: int, diagonal: bool = False) -> DataFr
     left = left.select("image_id", "row_a", "col_a", "a", F.col("at.y").alias("y"), F.col("at.x").alias("x"))
     left = left.where((F.floor(F.col("y") / tile) != F.col("row_a")) | (F.floor(F.col("x") / tile) != F.col("col_a")))
     right = seam.select("image_id", "y", "x", F.col("region").alias("b"))
-    return left.join(right, ["image_id", "y", "x"]).select("image_id", "a", "b").distinct()
+    return left.join(shuffled(right), ["image_id", "y", "x"]).select("image_id", "a", "b").distinct()
 
 
 def merged_regions(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def merged_regions(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
     node = lambda c: F.struct(F.col("image_id").cast("long").alias("i"), F.col(c).alias("r"))
     roots = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
     roots = roots.select(F.col("node.i").alias("of_image"), F.col("node.r").alias("of_region"), F.col("root.r").alias("global_region"))
-    joined = labelled.join(roots, (F.col("image_id") == F.col("of_image")) & (F.col("region") == F.col("of_region")), "left")
+    joined = labelled.join(shuffled(roots), (F.col("image_id") == F.col("of_image")) & (F.col("region") == F.col("of_region")), "left")
     return joined.withColumn("global_region", F.coalesce("global_region", "region")).drop("of_image", "of_region")
 
 
