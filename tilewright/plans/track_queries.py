@@ -94,7 +94,8 @@ def q_strings(spark, sf):
     from ..functions import scalars
 
     c = derived.read(spark, sf, "customer")
-    colour = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("c_custkey") * 997)), 6, "0"))
+    # the last six digits: a key times 997 may have more
+    colour = F.concat(F.lit("#"), F.lpad(F.lower(F.hex((F.col("c_custkey") * 997) % (1 << 24))), 6, "0"))
     r, g, b = scalars.hex_colour(colour)
     return c.select("c_custkey", r.alias("r"), g.alias("g"), b.alias("b"), scalars.humanised(F.col("c_custkey") * 977).alias("time"), scalars.content_name(F.col("c_name")).alias("stored_as"))
 
