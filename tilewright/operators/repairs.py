@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Area, moved, on_blocks
 from .depths import deepest
 from .geometry import grouped, overlapping
-from .graph import cut
+from .graph import cut, shuffled
 from .regions import EIGHT, FOUR, SHIFT, whole_image_components
 
 PIXEL = ["image_id", "y", "x"]
@@ -28,13 +31,7 @@ def holes(pix: DataFrame, height: int, width: int, most: int, tile: int) -> Data
     """
     labelled = cut(whole_image_components(background(pix, height, width), tile))
     small = labelled.groupBy("image_id", "component").agg(F.count("*").alias("area")).where(F.col("area") <= most)
-    return labelled.join(small, ["image_id", "component"]).select(*PIXEL, "component", "area")
-
-
-def _around(pix: DataFrame, steps: list[tuple[int, int]], height: int, width: int, *columns: str) -> DataFrame:
-    near = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps)))
-    moved = pix.select("image_id", "y", "x", *columns, near.alias("n")).select("image_id", (F.col("y") + F.col("n.dy")).alias("y"), (F.col("x") + F.col("n.dx")).alias("x"), *columns)
-    return moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    return labelled.join(shuffled(small), ["image_id", "component"]).select(*PIXEL, "component", "area")
 
 
 def borders(labelled: DataFrame, classes: DataFrame, height: int, width: int) -> DataFrame:
@@ -44,18 +41,40 @@ def borders(labelled: DataFrame, classes: DataFrame, height: int, width: int) ->
     class of each cell that is painted.  Cells paint in the order of their first pixels,
     over background only, and a cell's first pixel paints no neighbours.
     """
-    painted = labelled.join(classes.select("image_id", "component", "class"), ["image_id", "component"])
-    near = _around(painted.where(F.col("y") * SHIFT + F.col("x") != F.col("component")), FOUR, height, width, "component", "class")
-    free = near.join(labelled.select(*PIXEL), PIXEL, "left_anti")
-    return free.groupBy(*PIXEL).agg(F.min_by("class", "component").alias("class"))
+    painted = labelled.select(*PIXEL, "component").join(shuffled(classes.select("image_id", "component", "class")), ["image_id", "component"], "left")
+    paints = F.col("class").isNotNull() & (F.col("y") * SHIFT + F.col("x") != F.col("component"))
+
+    def run(part: pd.DataFrame, area: Area) -> pd.DataFrame:
+        paint = np.flatnonzero(part["paints"].to_numpy())
+        codes, names = pd.factorize(part["class"])
+        none = np.iinfo(np.int64).max
+        first, name = area.dense(part["component"].to_numpy()[paint], none, np.int64, paint), area.dense(codes[paint], -1, np.int64, paint)
+        best, chosen = np.full(area.shape, none), np.full(area.shape, -1)
+        for dy, dx in FOUR:
+            near, near_name = moved(first, dy, dx, none), moved(name, dy, dx, -1)
+            chosen = np.where(near < best, near_name, chosen)
+            best = np.minimum(best, near)
+        y, x = np.nonzero((chosen >= 0) & ~area.dense(True, False, bool) & area.mine & area.inside(height, width))
+        return pd.DataFrame({"y": y + area.top, "x": x + area.left, "class": np.asarray(names, dtype=object)[chosen[y, x]]})
+
+    return on_blocks(painted.withColumn("paints", paints), ["image_id"], ["component", "class", "paints"], 1, run, f"y int, x int, class {classes.schema['class'].dataType.simpleString()}")
 
 
 def dilated(edges: DataFrame, cells: DataFrame, height: int, width: int) -> DataFrame:
     """``edges`` and the background around them, each new pixel of the first edge pixel's class in reading order."""
-    taken = cells.select(*PIXEL).unionByName(edges.select(*PIXEL))
-    near = _around(edges.withColumn("from", F.col("y") * SHIFT + F.col("x")), EIGHT, height, width, "class", "from")
-    new = near.join(taken, PIXEL, "left_anti").groupBy(*PIXEL).agg(F.min_by("class", "from").alias("class"))
-    return edges.select(*PIXEL, "class").unionByName(new)
+    taken = edges.select(*PIXEL, "class").unionByName(cells.select(*PIXEL, F.lit(None).cast(edges.schema["class"].dataType).alias("class")))
+
+    def run(part: pd.DataFrame, area: Area) -> pd.DataFrame:
+        codes, names = pd.factorize(part["class"])
+        edge = np.flatnonzero(codes >= 0)
+        name = area.dense(codes[edge], -1, np.int64, edge)
+        chosen = np.full(area.shape, -1)
+        for dy, dx in sorted(EIGHT):  # in reading order
+            chosen = np.where(chosen < 0, moved(name, dy, dx, -1), chosen)
+        y, x = np.nonzero((chosen >= 0) & ~area.dense(True, False, bool) & area.mine & area.inside(height, width))
+        return pd.DataFrame({"y": y + area.top, "x": x + area.left, "class": np.asarray(names, dtype=object)[chosen[y, x]]})
+
+    return edges.select(*PIXEL, "class").unionByName(on_blocks(taken, ["image_id"], ["class"], 1, run, f"y int, x int, class {edges.schema['class'].dataType.simpleString()}"))
 
 
 def merged_instances(pix: DataFrame, scores: DataFrame, least: int, tile: int) -> DataFrame:
@@ -86,6 +105,18 @@ def overlap_merged(cells: DataFrame, padding: int, cell: int) -> DataFrame:
     return whole.withColumn("is_merged", F.size("members") > 1)
 
 
+def widened_errors(wide: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+    """Errors (image_id, y, x, missed) of two masks, ``t`` of the truth and ``f`` as found, each widened by a square of ``reach``."""
+    def run(part: pd.DataFrame, area: Area) -> pd.DataFrame:
+        t, f = (area.dense(part[c].to_numpy().astype(bool), False, bool) for c in ("t", "f"))
+        for down in (True, False):
+            t, f = (np.logical_or.reduce([moved(m, d * down, d * (not down)) for d in range(-reach, reach + 1)]) for m in (t, f))
+        y, x = np.nonzero((t != f) & area.mine & area.inside(height, width))
+        return pd.DataFrame({"y": y + area.top, "x": x + area.left, "missed": t[y, x]})
+
+    return on_blocks(wide.where("t OR f"), ["image_id"], ["t", "f"], reach, run, "y int, x int, missed boolean")
+
+
 def error_centres(errors: DataFrame, keys: DataFrame, height: int, width: int) -> DataFrame:
     """Per key (image_id) the deepest point of its errors: x, y, and whether it was missed (a positive point).
 

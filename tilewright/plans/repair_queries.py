@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import cells, geometry, masks, pixels, regions, repairs, run_strings
-from ..operators.graph import components_sql, cut
+from ..operators.graph import components_sql, cut, shuffled
 from ..operators.regions import SHIFT
 from ..sources import derived
 from ..sources.derived import SIDE, TILE
@@ -27,9 +27,10 @@ def code_texts(spark, sf):
 
 def _dense(spark, sf):
     """A mask with few and small holes."""
-    return derived.pixels(spark, sf).where("y % 5 > 0 OR x % 4 > 0 OR r > 200").unionByName(
-        derived.pixels(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"), "x", "r", "g", "b").where("y % 3 > 0")
-    ).select("image_id", "y", "x").distinct()
+    return derived.pixels(spark, sf).where("y % 5 > 0 OR x % 4 > 0 OR r > 200").select("image_id", "y", "x").unionByName(
+        # whole columns, each once however many of its pixels there are
+        derived.read(spark, sf, "lineitem").select(*derived.place()).select("image_id", "x").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"), "x").where("y % 3 > 0")
+    ).distinct()
 
 
 def holes(spark, sf):
@@ -48,7 +49,7 @@ def borders(spark, sf):
     first = cut(repairs.borders(comp, kinds, SIDE, SIDE))
     second = cut(repairs.dilated(first, comp, SIDE, SIDE))
     third = repairs.dilated(second, comp, SIDE, SIDE)
-    return third.join(first.select(*repairs.PIXEL, F.lit(1).alias("one")), repairs.PIXEL, "left").select(*repairs.PIXEL, "class", F.col("one").isNotNull().alias("is_first"))
+    return third.join(shuffled(first.select(*repairs.PIXEL, F.lit(1).alias("one"))), repairs.PIXEL, "left").select(*repairs.PIXEL, "class", F.col("one").isNotNull().alias("is_first"))
 
 
 def merged(spark, sf):
@@ -73,10 +74,7 @@ def error_centres(spark, sf):
     pix = derived.pixels(spark, sf)
     truth, found = F.expr("r + b > 120 AND g <= 80"), F.expr("r > 60 AND image_id % 3 > 0 OR r + b > 120 AND g <= 80 AND image_id % 5 = 0")
     wide = pix.select("image_id", "y", "x", truth.alias("t"), found.alias("f"))
-    near = wide.select("image_id", F.explode(F.sequence(F.greatest(F.col("y") - 2, F.lit(0)), F.least(F.col("y") + 2, F.lit(SIDE - 1)))).alias("y"), "x", "t", "f")
-    near = near.select("image_id", "y", F.explode(F.sequence(F.greatest(F.col("x") - 2, F.lit(0)), F.least(F.col("x") + 2, F.lit(SIDE - 1)))).alias("x"), "t", "f")
-    whole = near.groupBy("image_id", "y", "x").agg(F.bool_or("t").alias("t"), F.bool_or("f").alias("f"))
-    errors = whole.where("t <> f").select("image_id", "y", "x", F.col("t").alias("missed"))
+    errors = repairs.widened_errors(wide, 2, SIDE, SIDE)
     return repairs.error_centres(errors, pix.select("image_id").distinct(), SIDE, SIDE)
 
 
