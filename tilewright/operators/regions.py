@@ -10,10 +10,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Boxes, box_runs, on_groups
 from .graph import components, cut, shuffled
 
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -27,24 +28,23 @@ def pixel_key(y: Column, x: Column) -> Column:
     return (y * SHIFT + x).cast("long")
 
 
-def label_tile(y: np.ndarray, x: np.ndarray, around: list[tuple[int, int]]) -> np.ndarray:
-    """For each pixel the least key of its component within the tile.
+def label_tiles(y: np.ndarray, x: np.ndarray, group: np.ndarray, around: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel the place of the first pixel of its component within its group, and how many of its eight neighbours are there.
 
     Each round takes the least label around and then follows labels to labels, so
     rounds grow with the logarithm of the longest path.
     """
-    top, left = y.min(), x.min()
-    place = np.full((y.max() - top + 3, x.max() - left + 3), len(y))
-    at = (y - top + 1, x - left + 1)
-    order = np.lexsort([x, y])  # in the order of keys, so that labels are positions
-    at = (at[0][order], at[1][order])
-    place[at] = np.arange(len(y))
-    near = [place[at[0] + dy, at[1] + dx] for dy, dx in around]
-    label = np.arange(len(y) + 1)
+    order = np.lexsort([x, y, group])  # in the order of keys, so that labels are positions
+    boxes = Boxes(y[order], x[order], group[order])
+    at, wide, n = boxes.at, boxes.wide, len(y)
+    place = np.full(boxes.size, n)
+    place[at] = np.arange(n)
+    near = [place[at + dy * wide + dx] for dy, dx in around]
+    label = np.arange(n + 1)
     while True:
         least = label[:-1]
-        for n in near:
-            least = np.minimum(least, label[n])
+        for k in near:
+            least = np.minimum(least, label[k])
         if (least == label[:-1]).all():
             break
         # a pixel's label may improve that of the pixel it names
@@ -57,39 +57,41 @@ def label_tile(y: np.ndarray, x: np.ndarray, around: list[tuple[int, int]]) -> n
                 break
             new = jumped
         label = new
-    key = y.astype(np.int64) * SHIFT + x
-    out = np.empty(len(y), dtype=np.int64)
-    out[order] = key[order][label[:-1]]
-    return out
+    first, count = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int32)
+    first[order] = order[label[:-1]]
+    count[order] = sum((place[at + dy * wide + dx] < n).astype(np.int32) for dy, dx in EIGHT)
+    return first, count
+
+
+def label_tile(y: np.ndarray, x: np.ndarray, around: list[tuple[int, int]]) -> np.ndarray:
+    """For each pixel of one tile the least key of its component."""
+    first, _ = label_tiles(y, x, np.zeros(len(y), dtype=np.int64), around)
+    return y[first].astype(np.int64) * SHIFT + x[first]
 
 
 def tile_regions(pix: DataFrame, tile: int, diagonal: bool = True, carry: Sequence[str] = (), near: bool = False) -> DataFrame:
     """Adds tile_row, tile_col and region: the least pixel key of the pixel's component within its tile.  Columns in ``carry`` stay.
 
-    A task labels a block of tiles at once.  With ``near`` there is also the number of the pixel's eight neighbours within its tile.
+    A task labels a block of tiles at once, and blocks of few pixels together.  With ``near`` there is also the number of the pixel's eight neighbours within its tile.
     """
     around = EIGHT if diagonal else FOUR
     block = tile * max(1, BLOCK // tile)
 
-    def label(part: pd.DataFrame) -> pd.DataFrame:
+    def label(part: pa.Table, group: np.ndarray) -> pa.Table:
+        y, x = (part[c].to_numpy().astype(np.int64) for c in ("y", "x"))
         # a gap between tiles, so that they do not touch
-        y, x = part["y"].to_numpy().astype(np.int64), part["x"].to_numpy().astype(np.int64)
         apart = (y + y // tile, x + x // tile)
-        first = label_tile(*apart, around)
-        fy, fx = first // SHIFT, first % SHIFT
-        part["region"] = (fy - fy // (tile + 1)) * SHIFT + fx - fx // (tile + 1)
-        if near:
-            top, left = apart[0].min() - 1, apart[1].min() - 1
-            there = np.zeros((apart[0].max() - top + 2, apart[1].max() - left + 2), dtype=np.int32)
-            there[apart[0] - top, apart[1] - left] = 1
-            part["near"] = sum(there[apart[0] - top + dy, apart[1] - left + dx] for dy, dx in EIGHT)
-        return part.drop(columns=["block_row", "block_col"])
+        region, count = np.empty(len(y), dtype=np.int64), np.empty(len(y), dtype=np.int32)
+        for run in box_runs(*apart, group):
+            first, count[run] = label_tiles(apart[0][run], apart[1][run], group[run], around)
+            region[run] = y[run][first] * SHIFT + x[run][first]
+        part = part.drop_columns(["block_row", "block_col"]).append_column("region", pa.array(region))
+        return part.append_column("near", pa.array(count)) if near else part
 
     at = lambda c, n: F.floor(F.col(c) / n).cast("int")
     rows = pix.select("image_id", "y", "x", *carry, at("y", tile).alias("tile_row"), at("x", tile).alias("tile_col"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", region long" + (", near int" if near else "")
-    dealt = rows.withColumns({"block_row": at("y", block), "block_col": at("x", block)})
-    return dealt.groupBy("image_id", "block_row", "block_col").applyInPandas(label, schema)
+    return on_groups(rows.withColumns({"block_row": at("y", block), "block_col": at("x", block)}), ["image_id", "block_row", "block_col"], label, schema)
 
 
 def seam_pairs(labelled: DataFrame, tile: int, diagonal: bool = False) -> DataFrame:
