@@ -24,15 +24,23 @@ def overlapping(boxes: DataFrame, cell: int, by: list[str]) -> DataFrame:
 
 
 def within_distance(points: DataFrame, distance: int, inclusive: bool = False) -> DataFrame:
-    """Pairs of points closer than ``distance`` (or as close): a < b, and the squared distance."""
-    cell = lambda c: F.floor(F.col(c) / distance)
-    here = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    near = here.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy", steps.alias("s"))
-    near = near.select("b", "bx", "by", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
+    """Pairs of points closer than ``distance`` (or as close): a < b, and the squared distance.
+
+    Cells are two distances wide.  A point looks for others in its own cell and in those after it that it reaches, so
+    two points meet once, in the cell of the later one.
+    """
+    cell = lambda c: F.floor(F.col(c) / (2 * distance))
+    side = lambda c: F.when(F.pmod(F.col(c), F.lit(2 * distance)) < distance, -1).otherwise(1)
+    here = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy"))
+    # a disk reaches the cells on one side of each axis only (the middle of a cell counts to the side after it)
+    steps = F.array(*(F.struct(dx.alias("dx"), dy.alias("dy")) for dx in (F.lit(0), side("x")) for dy in (F.lit(0), side("y"))))
+    after = F.filter(steps, lambda s: (s["dx"] > 0) | ((s["dx"] == 0) & (s["dy"] >= 0)))
+    near = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"), F.explode(after).alias("s"))
+    near = near.select("id", "x", "y", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("same"))
     squared = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
     close = squared <= distance * distance if inclusive else squared < distance * distance
-    return here.join(shuffled(near), ["cx", "cy"]).where((F.col("id") < F.col("b")) & close).select(F.col("id").alias("a"), "b", squared.alias("squared"))
+    met = here.join(shuffled(near), ["cx", "cy"]).where(F.when(F.col("same"), F.col("id") < F.col("b")).otherwise(F.col("id") != F.col("b")) & close)
+    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), squared.alias("squared"))
 
 
 def matching_boxes(one: DataFrame, two: DataFrame, by: list[str], most: int = 2) -> DataFrame:
@@ -83,10 +91,13 @@ def density_clusters(points: DataFrame, eps: int, least: int) -> DataFrame:
     """
     if points.limit(least).count() < least:
         return points.select("id", F.expr("min(id) OVER ()").alias("cluster"))  # fewer than ``least`` rows
-    pairs = within_distance(points, eps, inclusive=True)
+    pairs = cut(within_distance(points, eps, inclusive=True).select("a", "b"))  # met once, read for each use
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     n = both.groupBy("a").count()
-    cores = points.join(n, F.col("id") == F.col("a"), "left").where(F.coalesce("count", F.lit(0)) + 1 >= least).select(F.col("id").alias("core"))
+    if least > 1:  # a core has neighbours, so points without any need not be looked up
+        cores = cut(n.where(F.col("count") + 1 >= least).select(F.col("a").alias("core")))
+    else:
+        cores = points.select(F.col("id").alias("core"))
     of_cores = pairs.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi")
     named = components(of_cores, cores.select(F.col("core").alias("node")))
     border = both.join(named, F.col("b") == F.col("node")).join(cores, F.col("a") == F.col("core"), "left_anti").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("cluster"))
