@@ -57,11 +57,16 @@ def gamma(values: DataFrame, by: list[str], power: float, low: float = 0.0, high
     return values.join(ends, by).withColumn("v", F.when(F.col("a") == F.col("z"), F.col("v").cast("double")).otherwise(scaled)).drop("a", "z")
 
 
+def weighted_stack(planes: Column, weights: list[float]) -> Column:
+    """Sum of an array's values times the weights of their positions; null values keep their position and add nothing."""
+    parts = F.filter(F.transform(planes, lambda v, i: v * F.get(F.array(*map(F.lit, weights)), i)), lambda p: p.isNotNull())
+    return F.when(F.size(parts) > 0, F.round(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), 6))
+
+
 def weighted_planes(planes: DataFrame, weights: list[float], keys: list[str]) -> DataFrame:
     """Sum of the planes' values times the weights of their positions; missing planes shift the weights."""
-    place = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY plane)")
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("place"))
-    return planes.withColumn("place", place).where(F.col("place") <= len(weights)).groupBy(*keys).agg(F.round(F.sum(F.col("v") * weight), 6).alias("v"))
+    stacked = planes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("plane", "v"))).alias("p"))
+    return stacked.select(*keys, weighted_stack(F.transform("p", lambda p: p["v"]), weights).alias("v"))
 
 
 def score_to_byte(score: Column) -> Column:

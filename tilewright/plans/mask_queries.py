@@ -36,8 +36,8 @@ def gamma(spark, sf):
 
 def weighted(spark, sf):
     pix = derived.pixels(spark, sf).where("b > 0 OR g > 0")
-    planes = pix.select("image_id", "y", "x", F.explode(F.array(F.struct(F.lit(1).alias("plane"), F.col("r").alias("v")), F.struct(F.lit(2).alias("plane"), F.col("g").alias("v")), F.struct(F.lit(3).alias("plane"), F.col("b").alias("v")))).alias("p")).select("image_id", "y", "x", "p.*").where("plane <> 2 OR v > 0")
-    return pixels.weighted_planes(planes, [0.25, 0.15, 0.25], ["image_id", "y", "x"])
+    # a pixel's planes are in one row, so they are not unfolded
+    return pix.select("image_id", "y", "x", pixels.weighted_stack(F.when(F.col("g") > 0, F.array("r", "g", "b")).otherwise(F.array("r", "b")), [0.25, 0.15, 0.25]).alias("v"))
 
 
 def scalings(spark, sf):
