@@ -19,10 +19,10 @@ MOST, LEAST, PADDING = 12, 6, 2
 
 def code_texts(spark, sf):
     """Run-length codes as text and back again; only codes that come back whole count as such."""
-    coded = cut(masks.encode_runs(derived.foreground(spark, sf), SIDE, SIDE, ["image_id"]))
-    text = coded.select("image_id", "counts", run_strings.to_text().alias("code"))
-    back = run_strings.from_text(text.select("image_id", "code"), ["image_id"]).withColumnRenamed("counts", "back")
-    return text.join(back, "image_id").select("image_id", "code", (F.col("counts").cast("array<bigint>") == F.col("back")).alias("is_same"))
+    coded = masks.encode_runs(derived.foreground(spark, sf), SIDE, SIDE, ["image_id"])
+    text = cut(cut(coded).select("image_id", "counts", run_strings.to_text().alias("code")))
+    back = run_strings.from_text(text.withColumnRenamed("counts", "sent"), ["image_id", "code", "sent"])
+    return back.select("image_id", "code", (F.col("sent").cast("array<bigint>") == F.col("counts")).alias("is_same"))
 
 
 def _dense(spark, sf):
