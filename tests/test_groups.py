@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import blocks, regions
+from tilewright.operators import blocks, contours, regions
 
 
 def test_many_images_are_labelled_in_few_calls(spark, tmp_path, monkeypatch):
@@ -56,3 +56,29 @@ def test_groups_come_whole(spark, monkeypatch, rows):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(want) and {(r.a, r.b): r.n for r in got} == want
+
+
+def test_borders_of_many_tiles_are_walked_in_few_calls(spark, tmp_path, monkeypatch):
+    rows = [(i, y, x, 1 + (x > 8)) for i in range(200) for y in range(3) for x in (*range(2 + i % 3), *range(10, 13)) if (y, x) != (1, 11)]
+    whole, folder = contours.tile_chains, str(tmp_path)
+
+    def counted(*args):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return whole(*args)
+
+    monkeypatch.setattr(contours, "tile_chains", counted)
+    got = contours.contours(spark.createDataFrame(rows, "image_id long, y int, x int, inst long"), 6, 0.01).collect()
+    assert 0 < len(list(tmp_path.iterdir())) <= 8  # not one for each tile
+    want = {(i, 1): {(0, 0), (0, 2), (1 + i % 3, 0), (1 + i % 3, 2)} for i in range(200)} | {(i, 2): {(10, 0), (10, 2), (12, 0), (12, 2)} for i in range(200)}
+    assert len(got) == len(want) and {(r.image_id, r.inst): {(p.x, p.y) for p in r.points} for r in got} == want
+
+
+def test_rings_are_simplified_together_as_one_by_one():
+    rng = np.random.default_rng(2)
+    sizes = [1, 3, 40, 2, 9, 200]
+    y, x = (rng.integers(0, 30, sum(sizes)) for _ in range(2))
+    begin, epsilon = np.cumsum([0, *sizes[:-1]]), np.array([1.0, 0.5, 3.0, 50.0, 2.0, 4.0])
+    want = [b + k for b, n, e in zip(begin, sizes, epsilon) for k in contours.simplified(y[b : b + n], x[b : b + n], e)]
+    assert contours.simplified_rings(y, x, begin, epsilon).tolist() == want

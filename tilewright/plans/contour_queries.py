@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contours
+from ..operators.graph import cut
 from ..sources import derived
 from ..sources.derived import FOREGROUND_SQL, SIDE, TILE
 
@@ -27,7 +28,7 @@ def k05_contours(spark, sf):
 
 def k05_k06_annotations(spark, sf):
     """One document an image, with the tighter bound that the export takes; an instance with an odd number is positive."""
-    pix = instances(spark, sf)
+    pix = cut(instances(spark, sf))
     cells = pix.select("image_id", "inst").distinct().withColumn("is_positive", F.col("inst") % 2 == 1)
     images = pix.select("image_id").distinct().select("image_id", F.concat(F.lit("image_"), F.col("image_id").cast("string"), F.lit(".png")).alias("name"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
     return contours.annotations(contours.shapes(contours.contours(pix, 512, 0.01), cells), images)
