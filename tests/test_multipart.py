@@ -61,6 +61,40 @@ def test_tables_of_chunks(spark, monkeypatch, block):
     assert {r.stream: r.problem for r in damaged.collect()} == {name: p for name, (_, _, p) in streams.items() if p}
 
 
+def test_few_rows_are_written_between_steps(spark, monkeypatch):
+    written, cut = [], multipart.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(multipart, "cut", counted)
+    data, n = stream_of(spark, BODIES), 60
+    rows = [(name, k, bytearray(c)) for name in "abcdef" for k, c in enumerate(cut_up(data * 10, random.Random(7), 90))]
+    found, damaged = multipart.parts(spark.createDataFrame(rows, "stream string, seq long, data binary"))
+    assert found.count() == n * len(BODIES) and damaged.isEmpty()
+    # not a row for each place of each stream, of which a part has several
+    assert sum(written) < 2 * n * len(BODIES)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_long_chunks_and_bodies_over_many_blocks(spark, monkeypatch, most):
+    for name, value in (("BLOCK", 300), ("MOST_HEADERS", 200), ("PIECE", 64), ("MAX_BROADCAST", most)):
+        monkeypatch.setattr(multipart, name, value)
+    bodies = {"long": ["y" * 2500, "", "--frame\r\n" * 200, "z"], "one": ["w" * 100], "many": [f"{k}" * 40 for k in range(12)]}
+    rows = [(name, k, bytearray(c)) for name, b in bodies.items() for k, c in enumerate(cut_up(stream_of(spark, b), random.Random(5), 700))]
+    rows += [("wordy", 0, bytearray(b"--frame\r\nA: " + b"a" * 900 + b"\r\nContent-Length: 1\r\n\r\nx"))]
+    random.Random(6).shuffle(rows)
+    found, damaged = multipart.parts(spark.createDataFrame(rows, "stream string, seq long, data binary"))
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.stream, r.part)):
+        assert r.part == len(got.setdefault(r.stream, []))
+        got[r.stream].append(bytes(r.body).decode())
+    assert got == bodies
+    assert [(r.stream, r.problem) for r in damaged.collect()] == [("wordy", "headers too long")]
+
+
 def test_files_round_trip(spark, tmp_path):
     frames = spark.createDataFrame([(s, k, f"{s} {b}") for s in (1, 2) for k, b in enumerate(BODIES)], "session long, at long, body string")
     multipart.write(frames, str(tmp_path))
