@@ -32,6 +32,22 @@ def test_random_graphs(spark, monkeypatch, broadcast):
     assert {r.node: r.root for r in found.collect()} == brute(edges, {n for e in edges for n in e} | {999})
 
 
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_many_moved_roots_are_never_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(graph, "HOT", hot, raising=False)
+    plans, with_cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), with_cut(df))[1])
+    rng = random.Random(5)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)] + [(500 + k % 2, k) for k in range(502, 560)] + [(k, k + 1) for k in range(700, 720)]
+    found = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == brute(edges, {n for e in edges for n in e})
+    joins = sum("Join" in p for p in plans)
+    assert joins > 3
+    if hot > len(edges):  # by the sizes of their files, Spark would take them for small
+        assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_a_star_and_a_path(spark):
     n = 100_000
     star = spark.range(1, n + 1).select(F.lit(n // 2 + 0.5).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
