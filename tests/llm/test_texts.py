@@ -1,6 +1,7 @@
 """Operators 2, 5, 7, 8 and 10 against plain Python."""
 
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,6 +132,33 @@ def test_surprise_is_the_mean_over_characters():
         assert got == pytest.approx(-np.mean(model.log_p(own)) if text else 0.0, abs=1e-5)
 
 
+def test_no_two_characters_are_taken_for_one():
+    table_ = perplexity_rules._symbol_table()
+    for cp in range(0x110000):  # letters beyond the first planes are letters too
+        kind = unicodedata.category(chr(cp))
+        assert cp < 0x80 or (kind[0] == "L") == (table_[cp] == 4 or 35 <= table_[cp] <= 38) and (kind[0] == "N") == (table_[cp] == 3)
+    counts = Counter("абвгд" * 20 + "ёж" + "éíñ" * 9 + "0000017" + "\U00030000")
+    grams = np.array([0, 40, 1640])
+    model = perplexity_rules.Model(grams, np.ones(3), np.array([ord(c) for c in counts]), np.array(list(counts.values())))
+    share = np.exp(model.log_shares().astype(float))
+    for symbol in np.unique(table_):  # the shares of a symbol's characters, seen or not
+        assert share[table_ == symbol].sum() == pytest.approx(1, abs=1e-3)
+    assert table_[ord("о")] == table_[ord("в")]
+    often, never = perplexity_rules.surprises(["в", "о"], model)
+    assert never > often + 3
+    plain = perplexity_rules.surprises(["в"], perplexity_rules.Model(grams, np.ones(3)))
+    assert often == pytest.approx(plain[0] - np.log(share[ord("в")]), abs=1e-4)
+
+
+def test_op8_tells_letters_of_one_symbol_apart(spark):
+    rng, turned = np.random.default_rng(4), str.maketrans("абвгдежзийклмноп", "".join(chr(ord(c) + 32) for c in "абвгдежзийклмноп"))
+    words = ["".join(rng.choice(list("абвгдежзийклмноп"), rng.integers(2, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 90)) for _ in range(80)]
+    rows = [(k, t, "ru") for k, t in enumerate(texts + [texts[0].translate(turned)])]
+    got = {r.doc_id: r.kept for r in perplexity_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k] for k in range(80)) and not got[80]
+
+
 def test_op2(spark, small, empty):
     got = additive_classifier.op2_additive_classifier(spark, small).collect()
     rows = rows_of(small)
